@@ -12,14 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space and line boundaries as Java regex classes.
-SPACE = r"[\s\x1c-\x1f\x85   -     　]"
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85  ]"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
 # Patterns and limits that decide results.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 NAME_PATTERN = r"\A[A-Za-z .'\-]{2,50}\z"
-UNPRINTABLE = r"[^\x09\x0A\x20-\x7E -￿]"
+UNPRINTABLE = r"[^\x09\x0A\x20-\x7E\u00a0-\uffff]"
 RULER_LINE = r"\A[\-=_*.]{3,}\z"
 UNSAFE_KEY_CHARS = r"[^a-zA-Z0-9._\-]"
 EMBEDDING_WORD_LIMIT = 6000
