@@ -111,17 +111,13 @@ def json_texts(raw: Column) -> Column:
     return F.when(opening == "[", from_list).when(opening == "{", from_object).when(value.isNotNull(), scalar)
 
 
-def xml_text(columns: Sequence[str], body: str = "_VALUE", present: Sequence[str] | None = None) -> Column:
+def xml_text(columns: Sequence[str], body: str = "_VALUE") -> Column:
     """Element text followed by `` tag: text`` for each child, in the given order.
 
-    An empty child is kept as ``tag: ``; a child that is absent leaves no trace.
-    ``present`` names children that always occur, whose null means empty.
+    An empty child reads as ``""`` and is kept as ``tag: ``; an absent one is
+    null and leaves no trace.
     """
-    always = set(present or ())
-    parts = [F.coalesce(F.col(body), F.lit(""))] if body else [F.lit("")]
+    parts = [F.coalesce(F.col(body), F.lit(""))]
     for name in columns:
-        if name in always:
-            parts.append(F.concat(F.lit(f" {name}: "), F.coalesce(F.col(name).cast("string"), F.lit(""))))
-        else:
-            parts.append(F.coalesce(F.concat(F.lit(f" {name}: "), F.col(name).cast("string")), F.lit("")))
+        parts.append(F.coalesce(F.concat(F.lit(f" {name}: "), F.col(name).cast("string")), F.lit("")))
     return strip(F.concat(*parts))
