@@ -6,15 +6,21 @@ white space that Java's default ``\\s`` leaves out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space and line boundaries as Java regex classes.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
-WORD = r"[\p{L}\p{N}_]"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+LINE_END_CHARS = r"\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+WORD = r"[a-z0-9_\p{L}\p{N}]"
+
+ASCII_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 # Patterns and limits that decide results.
 EMAIL_PATTERN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -28,20 +34,33 @@ MISSING = "N/A"
 UNKNOWN = "Unknown"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Remove white space, Unicode included, at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def lines(text: Column) -> Column:
     """Stripped, non-blank lines."""
-    stripped = F.transform(F.split(text, LINE_BREAK), strip)
+    # Both halves of a CR LF break the line; the empty one between them is dropped.
+    stripped = F.transform(F.split(text, f"[{LINE_END_CHARS}]"), strip)
     return F.filter(stripped, lambda line: line != "")
 
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda word: word != "")
+
+    def cut(t: Column) -> Column:
+        # Text of one byte per character needs only the quick ASCII class.
+        plain = (F.octet_length(t) == F.length(t)) & ~contains_any(t, ASCII_SEPARATORS)
+        split = F.when(plain, F.split(t, r"\s+")).otherwise(F.split(t, f"{SPACE}+"))
+        return F.when(t == "", F.array().cast("array<string>")).otherwise(split)
+
+    return let(strip(text), cut)
 
 
 def word_tokens(text: Column, shortest: int = 2) -> Column:
@@ -50,33 +69,48 @@ def word_tokens(text: Column, shortest: int = 2) -> Column:
 
 
 def first_email(text: Column) -> Column:
-    found = F.regexp_extract(text, EMAIL_PATTERN, 0)
+    found = F.when(text.contains("@"), F.regexp_extract(text, EMAIL_PATTERN, 0))
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(MISSING))
 
 
 def leading_name(text: Column) -> Column:
     """The first non-blank line when it looks like a person's name."""
-    first = F.try_element_at(lines(text), F.lit(1))
-    return F.when(first.rlike(NAME_PATTERN), first).otherwise(F.lit(UNKNOWN))
+    # All line ends are white space, so the first visible character opens that line.
+    first = strip(F.regexp_extract(text, rf"\A{SPACE}*([^{LINE_END_CHARS}]*)", 1))
+    return let(first, lambda f: F.when(f.rlike(NAME_PATTERN), f).otherwise(F.lit(UNKNOWN)))
 
 
 def first_words(text: Column, limit: int) -> Column:
     """Cut to ``limit`` words; only a text that is cut gets single spaces."""
-    split = words(text)
-    return F.when(F.size(split) > limit, F.array_join(F.slice(split, 1, limit), " ")).otherwise(text)
+
+    def cut(whole: Column) -> Column:
+        kept = let(
+            words(whole),
+            lambda ws: F.when(F.size(ws) > limit, F.array_join(F.slice(ws, 1, limit), " ")).otherwise(whole),
+        )
+        # More than ``limit`` words take at least twice as many characters, less one gap.
+        return F.when(F.length(whole) > 2 * limit, kept).otherwise(whole)
+
+    return let(text, cut)
 
 
 def clean_for_embedding(text: Column, limit: int = EMBEDDING_WORD_LIMIT) -> Column:
     """Printable, whitespace-collapsed text of at most ``limit`` words."""
     printable = F.regexp_replace(F.coalesce(text, F.lit("")), UNPRINTABLE, " ")
-    collapsed = F.regexp_replace(printable, r"[ \t]+", " ")
-    collapsed = F.regexp_replace(collapsed, r"\n{3,}", "\n\n")
-    return first_words(strip(collapsed), limit)
+
+    def one_space(t: Column) -> Column:
+        spaced = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
+        return F.when(t.contains("  ") | t.contains("\t"), spaced).otherwise(t)
+
+    def two_newlines(t: Column) -> Column:
+        return F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+
+    return first_words(strip(let(let(printable, one_space), two_newlines)), limit)
 
 
 def embeddable(text: Column, limit: int = EMBEDDING_WORD_LIMIT) -> Column:
     """The cleaned text, or null when nothing is left to embed."""
-    return F.nullif(clean_for_embedding(text, limit), F.lit(""))
+    return let(clean_for_embedding(text, limit), lambda cleaned: F.when(cleaned != "", cleaned))
 
 
 def searchable_text(
@@ -127,13 +161,16 @@ def file_suffix(path: Column) -> Column:
 
 def output_kind(output: Column) -> Column:
     """``error``, ``code`` or ``markdown``, by the look of an answer."""
-    text = strip(output)
     code_line = r"\A(def |class |import |print|#)"
-    return (
-        F.when(text.startswith("Traceback") | text.contains("Error"), F.lit("error"))
-        .when(F.exists(lines(text), lambda line: line.rlike(code_line)), F.lit("code"))
-        .otherwise(F.lit("markdown"))
-    )
+
+    def kind(text: Column) -> Column:
+        return (
+            F.when(text.startswith("Traceback") | text.contains("Error"), F.lit("error"))
+            .when(F.exists(lines(text), lambda line: line.rlike(code_line)), F.lit("code"))
+            .otherwise(F.lit("markdown"))
+        )
+
+    return let(strip(output), kind)
 
 
 def looks_like_code(code: Column) -> Column:
@@ -164,7 +201,8 @@ SEARCH_COMMANDS = (
 )
 
 
-def _first_match(lowered: Column, commands, otherwise: str, head: Column | None = None) -> Column:
+def first_match(lowered: Column, commands, otherwise: str, head: Column | None = None) -> Column:
+    """Label of the first command with a phrase in the text."""
     chain = head
     for label, phrases in commands:
         test = contains_any(lowered, phrases)
@@ -173,13 +211,15 @@ def _first_match(lowered: Column, commands, otherwise: str, head: Column | None
 
 
 def matcher_intent(message: Column) -> Column:
-    return _first_match(F.lower(strip(message)), MATCHER_COMMANDS, "other")
+    return let(F.lower(strip(message)), lambda m: first_match(m, MATCHER_COMMANDS, "other"))
 
 
 def search_intent(message: Column) -> Column:
-    lowered = F.lower(strip(message))
-    head = F.when(lowered.startswith("set results"), F.lit("set_results"))
-    return _first_match(lowered, SEARCH_COMMANDS, "query", head)
+    def intent(lowered: Column) -> Column:
+        head = F.when(lowered.startswith("set results"), F.lit("set_results"))
+        return first_match(lowered, SEARCH_COMMANDS, "query", head)
+
+    return let(F.lower(strip(message)), intent)
 
 
 def requested_results(message: Column, lowest: int = 1, highest: int = 20) -> Column:
@@ -210,4 +250,4 @@ def query_keywords(query: Column, stop_words: Sequence[str] = QUERY_STOP_WORDS)
 def mentions_any(document: Column, keywords: Column) -> Column:
     """Whether the lower-cased document contains any keyword literally."""
     lowered = F.lower(F.coalesce(document, F.lit("")))
-    return F.exists(keywords, lambda w: lowered.contains(w))
+    return let(lowered, lambda d: F.exists(keywords, lambda w: d.contains(w)))

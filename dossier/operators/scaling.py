@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,8 @@ BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SPLIT_ROWS = 5_000_000
 SALTS = 32
+RANGE_ROWS = 50_000
+MOST_RANGES = 20_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -31,8 +34,8 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` was measured to be small enough to send to every executor.
+def small_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> int | None:
+    """Row count of a table measured to be small enough for every executor, else None.
 
     Reads at most ``max_rows + 1`` rows of the input.
     """
@@ -40,7 +43,16 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     for field in df.schema.fields:
         size = size + _width(field)
     seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
-    return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+    return seen["n"] if seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes else None
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of a table that sits in few files over all cores.
+
+    A table with a task or more per core is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def join_small(
@@ -52,16 +64,19 @@ def join_small(
     salts: int = SALTS,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
+    bound: int | None = None,
 ) -> DataFrame:
     """Equi-join that never piles one hot key on one task.
 
-    The small side is broadcast when it is measured to fit. Otherwise the big
-    side is spread over ``salts`` by a hash of its ``spread`` columns and the
-    small side is repeated once per salt, so a key with a third of all rows is
-    shared by many tasks.
+    The small side is broadcast when it is measured to fit, or when the caller
+    knows a ``bound`` on its (short) rows from a limit. Otherwise the big side
+    is spread over ``salts`` by a hash of its ``spread`` columns and the small
+    side is repeated once per salt, so a key with a third of all rows is shared
+    by many tasks.
     """
     on = list(on)
-    if fits_broadcast(small, max_rows, max_bytes):
+    known = bound is not None and bound <= max_rows
+    if known or small_rows(small, max_rows, max_bytes) is not None:
         return big.join(F.broadcast(small), on, how)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -98,16 +113,19 @@ def ordered_position(
     order: Sequence[Column],
     position: str = "position",
     split_rows: int = SPLIT_ROWS,
+    key_values: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position of every row among the rows of its key.
 
     ``order`` must end in a column that is unique within a key. Keys of at most
     ``split_rows`` rows are numbered by a window. Larger ones are sorted across
     the cluster, checkpointed, and numbered from the row count of the sorted
-    partitions before them, so no task ever holds one whole hot key.
+    partitions before them, so no task ever holds one whole hot key. The keys
+    are counted in ``key_values`` when given, a cheaper table with the same keys
+    and at least as many rows of each.
     """
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (df if key_values is None else key_values).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     # At most (all rows / split_rows) keys can be this large.
     hot = sizes.filter(F.col("_rows") > split_rows).select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
     if hot.isEmpty():
@@ -143,7 +161,7 @@ def ordered_position(
     )
 
 
-def range_limits(df: DataFrame, column: str, rows_per_range: int = 1_000_000, most: int = 2_000) -> list:
+def range_limits(df: DataFrame, column: str, rows_per_range: int, most: int) -> list[float]:
     """Split points that cut ``df`` into ranges of similar row counts.
 
     At most ``most`` numbers reach the driver. The points only steer where rows
@@ -154,16 +172,18 @@ def range_limits(df: DataFrame, column: str, rows_per_range: int = 1_000_000, mo
     if ranges == 1:
         return []
     shares = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(column, shares, 10_000).alias("p")).first()["p"]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(column, shares, max(10_000, 10 * ranges)).alias("p")).first()["p"]
+    return sorted({float(p) for p in found or []})
 
 
-def range_number(column: Column, limits: Sequence) -> Column:
-    """Index of the range a value falls into, 0-based, by the given split points."""
+def in_ranges(df: DataFrame, column: str, limits: Sequence[float], out: str) -> DataFrame:
+    """Add the 0-based number of the range a numeric column falls into."""
     if not limits:
-        return F.lit(0)
-    points = F.array(*[F.lit(p) for p in limits])
-    return F.size(F.filter(points, lambda p: p <= column))
+        return df.withColumn(out, F.lit(0))
+    splits = [-float("inf"), *limits, float("inf")]
+    placed = df.withColumn("_order", F.col(column).cast("double"))
+    bucketed = Bucketizer(splits=splits, inputCol="_order", outputCol=out).transform(placed)
+    return bucketed.withColumn(out, F.col(out).cast("int")).drop("_order")
 
 
 def running_start(
@@ -171,25 +191,28 @@ def running_start(
     order: str,
     amount: str,
     start: str = "start",
-    rows_per_range: int = 1_000_000,
+    rows_per_range: int = RANGE_ROWS,
+    most_ranges: int = MOST_RANGES,
+    order_values: DataFrame | None = None,
 ) -> DataFrame:
-    """Sum of ``amount`` over all rows that come earlier by the unique ``order`` column.
+    """Sum of ``amount`` over all rows that come earlier by the unique numeric ``order``.
 
     Two passes instead of one global window: totals per range of ``order`` give
-    each range its offset, a window inside the range does the rest.
+    each range its offset, a window inside the range does the rest. The ranges
+    are laid out from ``order_values`` when given, a cheaper table with the same
+    order column.
     """
-    limits = range_limits(df.select(order), order, rows_per_range)
-    ranged = df.withColumn("_range", range_number(F.col(order), limits))
+    limits = range_limits((df if order_values is None else order_values).select(order), order, rows_per_range, most_ranges)
+    ranged = in_ranges(df, order, limits, "_range")
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    if not limits:
-        offset = F.lit(0).cast("long")
-    else:
-        totals = ranged.groupBy("_range").agg(F.sum(amount).alias("total")).collect()
-        by_range, before = {}, 0
-        for row in sorted(totals, key=lambda r: r["_range"]):
-            by_range[row["_range"]] = before
-            before += row["total"] or 0
-        table = F.array(*[F.lit(by_range.get(i, 0)).cast("long") for i in range(len(limits) + 1)])
-        offset = F.element_at(table, F.col("_range") + 1)
     local = F.coalesce(F.sum(amount).over(inside), F.lit(0).cast("long"))
-    return ranged.withColumn(start, local + offset).drop("_range")
+    if not limits:
+        return ranged.withColumn(start, local).drop("_range")
+    # One total per range, at most ``most_ranges`` of them.
+    totals = {r["_range"]: r["total"] or 0 for r in ranged.groupBy("_range").agg(F.sum(amount).alias("total")).collect()}
+    offsets, before = [], 0
+    for number in range(len(limits) + 1):
+        offsets.append(before)
+        before += totals.get(number, 0)
+    table = F.array(*[F.lit(o).cast("long") for o in offsets])
+    return ranged.withColumn(start, local + F.element_at(table, F.col("_range") + 1)).drop("_range")

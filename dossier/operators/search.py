@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import fit_label
 from ..functions.text import QUERY_STOP_WORDS, mentions_any, query_keywords, strip, upload_date
 from .nearest import nearest
-from .scaling import join_small
+from .scaling import join_small, small_rows
 
 DEFAULT_RESULTS, FEWEST_RESULTS, MOST_RESULTS = 5, 1, 20
 
@@ -63,12 +63,14 @@ def search_store(
     stored = store.filter(F.col("matches_jd") == 1) if only_matched else store
     close = nearest(asked, stored, 2 * wanted, "cosine", vector_id="doc_id", vector="embedding")
     texts = asked.select("query_id", "query_text")
-    hits = join_small(close, texts, ["query_id"], "inner", spread=["doc_id"])
+    count = small_rows(texts)
+    hits = join_small(close, texts, ["query_id"], "inner", spread=["doc_id"], bound=count)
     records = store.select(
         "doc_id", "document", "name", "email", "filename", "tfidf_score", "embedding_score",
         "hybrid_score", "matches_jd", "uploaded_at",
     )
-    found = join_small(records, hits, ["doc_id"], "inner", spread=["doc_id"])
+    most_hits = None if count is None else count * 2 * wanted
+    found = join_small(records, hits, ["doc_id"], "inner", spread=["doc_id"], bound=most_hits)
     ranked = keyword_first(found, stop_words=stop_words).filter(F.col("search_rank") <= wanted)
     return ranked.select(
         "query_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_tokens
-from .scaling import join_small, running_start
+from .scaling import RANGE_ROWS, join_small, running_start
 
 MAX_LENGTH = 128
 BLOCK_SIZE = 128
@@ -31,17 +31,26 @@ def build_vocabulary(texts: DataFrame, text: str = "text", size: int = VOCABULAR
     return best.select("term", (F.row_number().over(order) + (FIRST_TERM_ID - 1)).alias("id"))
 
 
-def encode(texts: DataFrame, vocabulary: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    texts: DataFrame,
+    vocabulary: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    vocabulary_size: int | None = None,
+) -> DataFrame:
     """``(doc_id, ids)`` for every text, an empty array for a text without terms.
 
+    ``vocabulary_size`` is a known bound on the vocabulary; without it the
+    vocabulary is measured before it is broadcast.
+
     Texts are placed by id first, so exploding, the vocabulary join and putting
     a text back together need no further shuffle.
     """
     placed = texts.select(doc_id, text).repartition(doc_id)
     terms = placed.select(doc_id, F.posexplode_outer(word_tokens(F.col(text))).alias("pos", "term"))
-    coded = join_small(terms, vocabulary, ["term"], "left", spread=[doc_id])
+    coded = join_small(terms, vocabulary, ["term"], "left", spread=[doc_id], bound=vocabulary_size)
     known = F.coalesce(F.col("id"), F.lit(UNKNOWN_ID))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id")))))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id")))))
     return coded.groupBy(doc_id).agg(F.transform(ordered, lambda t: t["id"]).alias("ids"))
 
 
@@ -105,16 +114,19 @@ def packed_blocks(
     order: str = "doc_id",
     ids: str = "ids",
     block_size: int = BLOCK_SIZE,
-    rows_per_range: int = 1_000_000,
+    rows_per_range: int = RANGE_ROWS,
+    order_values: DataFrame | None = None,
 ) -> DataFrame:
     """The whole corpus as one token run, cut into full blocks ``(block, input_ids)``.
 
     Every document learns its offset from a two-pass running sum, cuts its own
     tokens at block borders, and the pieces of a block (never more than
     ``block_size`` tokens) are put together. The last, partial block is dropped.
+    ``order_values`` is any cheap table with the same order column, say the
+    texts before encoding.
     """
     sized = encoded.select(order, ids, F.size(ids).cast("long").alias("n")).filter("n > 0")
-    placed = running_start(sized, order, "n", "start", rows_per_range)
+    placed = running_start(sized, order, "n", "start", rows_per_range, order_values=order_values)
     size = F.lit(block_size).cast("long")
     first = F.floor(F.col("start") / size)
     last = F.floor((F.col("start") + F.col("n") - 1) / size)
@@ -126,6 +138,6 @@ def packed_blocks(
         (F.col("start") + from_token).alias("at"),
         F.slice(F.col(ids), (from_token + 1).cast("int"), (to_token - from_token).cast("int")).alias("part"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "part")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "part")))
     joined = pieces.groupBy("block").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("input_ids"))
     return joined.filter(F.size("input_ids") == block_size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, tokens
+from ..operators.scaling import spread_out
 from . import sqltext as q
 from .catalog import query, table
 
@@ -19,13 +20,13 @@ def _chunk_report(chunks: DataFrame) -> DataFrame:
 @query("T1")
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of 1000 characters; the contract is tested on small texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return _chunk_report(chunking.recursive_chunks(docs))
 
 
 @query("T2")
 def gate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     size, overlap = chunking.GATE_CHUNK_SIZE, chunking.GATE_CHUNK_OVERLAP
     return _chunk_report(chunking.recursive_chunks(docs, size=size, overlap=overlap))
 
@@ -72,8 +73,9 @@ def _encoded_sql(size: int) -> str:
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokens.encode(docs, tokens.build_vocabulary(docs, size=size))
+    # Counting terms and encoding share this one shuffle.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return tokens.encode(docs, tokens.build_vocabulary(docs, size=size), vocabulary_size=size)
 
 
 @query(
@@ -113,13 +115,14 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "T5", "W8",
     sql=f"""
     WITH {_encoded_sql(tokens.VOCABULARY_SIZE)},
-    run AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS at FROM coded),
-    blocks AS (SELECT floor(at / 128.0)::BIGINT AS block, list(id ORDER BY at) AS ids FROM run GROUP BY 1)
+    run AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM coded),
+    blocks AS (SELECT floor(place / 128.0)::BIGINT AS block, list(id ORDER BY place) AS ids FROM run GROUP BY 1)
     SELECT block, array_to_string(ids, ' ') AS input_ids FROM blocks WHERE len(ids) = 128
     """,
 )
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = tokens.packed_blocks(encoded_documents(spark, sf_dir, tokens.VOCABULARY_SIZE))
+    encoded = encoded_documents(spark, sf_dir, tokens.VOCABULARY_SIZE)
+    blocks = tokens.packed_blocks(encoded, order_values=table(spark, sf_dir, "documents"))
     return blocks.select("block", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
 
 

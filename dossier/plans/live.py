@@ -20,7 +20,7 @@ from .usage import ROLE_SQL, query_log
     SELECT strftime(hour, '%Y-%m-%d %H:%M') AS hour, count(*) AS total_queries,
         count(*) FILTER (agent_type = 'conversational') AS conversational,
         count(*) FILTER (agent_type = 'factual_agent') AS factual_agent,
-        round(avg(response_time), 4) AS avg_response_time
+        round(avg(response_time), 10) AS avg_response_time
     FROM log
     WHERE hour + INTERVAL 1 HOUR <= (SELECT ts - INTERVAL 10 MINUTE FROM newest) GROUP BY hour
     """,
@@ -34,7 +34,7 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"),
         "total_queries", "conversational", "factual_agent",
-        F.round("avg_response_time", 4).alias("avg_response_time"),
+        F.round("avg_response_time", 10).alias("avg_response_time"),
     )
 
 

@@ -34,7 +34,7 @@ _COUNTS_SQL = f"""
             count(*) FILTER (agent_type = 'factual_agent') AS factual_agent,
             count(*) FILTER (agent_type = 'analytical_agent') AS analytical_agent,
             count(*) FILTER (agent_type = 'complex_agent') AS complex_agent,
-            round(avg(response_time), 4) AS avg_response_time
+            round(avg(response_time), 10) AS avg_response_time
         FROM log WHERE agent_type <> 'error' GROUP BY session_id)
 """
 
@@ -42,7 +42,7 @@ _COUNTS_SQL = f"""
 @query("A2", "A3", "C10", sql=f"WITH {_COUNTS_SQL} SELECT * FROM counted")
 def usage_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = usage.usage_counts(query_log(table(spark, sf_dir, "events")))
-    return counted.withColumn("avg_response_time", F.round("avg_response_time", 4))
+    return counted.withColumn("avg_response_time", F.round("avg_response_time", 10))
 
 
 @query(
@@ -64,11 +64,11 @@ def usage_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A3",
     sql="""
-    SELECT event_id, round(epoch_us(ts) / 1000000.0 - epoch_us(date_trunc('hour', ts)) / 1000000.0, 3) AS seconds
+    SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('hour', ts))) / 1000000.0::DOUBLE AS seconds
     FROM events
     """,
 )
 def response_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     taken = usage.response_seconds(F.date_trunc("hour", "ts"), F.col("ts"))
-    return events.select("event_id", F.round(taken, 3).alias("seconds"))
+    return events.select("event_id", taken.alias("seconds"))
