@@ -200,7 +200,7 @@ def running_start(
     Two passes instead of one global window: totals per range of ``order`` give
     each range its offset, a window inside the range does the rest. The ranges
     are laid out from ``order_values`` when given, a cheaper table with the same
-    order column.
+    order column; when it also has the ``amount``, the totals come from it.
     """
     limits = range_limits((df if order_values is None else order_values).select(order), order, rows_per_range, most_ranges)
     ranged = in_ranges(df, order, limits, "_range")
@@ -209,7 +209,10 @@ def running_start(
     if not limits:
         return ranged.withColumn(start, local).drop("_range")
     # One total per range, at most ``most_ranges`` of them.
-    totals = {r["_range"]: r["total"] or 0 for r in ranged.groupBy("_range").agg(F.sum(amount).alias("total")).collect()}
+    counted = ranged
+    if order_values is not None and amount in order_values.columns:
+        counted = in_ranges(order_values.select(order, amount), order, limits, "_range")
+    totals = {r["_range"]: r["total"] or 0 for r in counted.groupBy("_range").agg(F.sum(amount).alias("total")).collect()}
     offsets, before = [], 0
     for number in range(len(limits) + 1):
         offsets.append(before)

@@ -123,7 +123,8 @@ def packed_blocks(
     tokens at block borders, and the pieces of a block (never more than
     ``block_size`` tokens) are put together. The last, partial block is dropped.
     ``order_values`` is any cheap table with the same order column, say the
-    texts before encoding.
+    texts before encoding; with the token count as ``n`` the corpus is encoded
+    only once.
     """
     sized = encoded.select(order, ids, F.size(ids).cast("long").alias("n")).filter("n > 0")
     placed = running_start(sized, order, "n", "start", rows_per_range, order_values=order_values)

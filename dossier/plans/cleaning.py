@@ -228,7 +228,7 @@ _MESSAGE_SQL = """
             WHEN contains(m, 'show all') OR contains(m, 'remove filter') THEN 'show_all'
             WHEN contains(m, 'db stats') THEN 'stats' ELSE 'query' END AS search,
         CASE WHEN starts_with(m, 'set results') AND regexp_full_match(last, '[+-]?[0-9]+')
-            THEN greatest(1, least(20, last::BIGINT))::INTEGER END AS wanted
+            THEN greatest(1, least(20, last::BIGINT))::INTEGER ELSE 0 END AS wanted
     FROM lasts
     """,
 )
@@ -247,7 +247,7 @@ def message_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         text.matcher_intent(F.col("m")).alias("matcher"),
         text.search_intent(F.col("m")).alias("search"),
-        text.requested_results(F.col("m")).alias("wanted"),
+        F.coalesce(text.requested_results(F.col("m")), F.lit(0)).alias("wanted"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import word_tokens
 from ..operators import chunking, tokens
 from ..operators.scaling import spread_out
 from . import sqltext as q
@@ -105,8 +106,6 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import word_tokens
-
     docs = table(spark, sf_dir, "documents").select(word_tokens(F.col("text")).alias("ids"))
     return tokens.token_stats(docs).select("max_tokens", F.round("avg_tokens", 6).alias("avg_tokens"))
 
@@ -122,7 +121,9 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encoded_documents(spark, sf_dir, tokens.VOCABULARY_SIZE)
-    blocks = tokens.packed_blocks(encoded, order_values=table(spark, sf_dir, "documents"))
+    counted = F.size(word_tokens(F.col("text"))).cast("long").alias("n")
+    sizes = table(spark, sf_dir, "documents").select("doc_id", counted)
+    blocks = tokens.packed_blocks(encoded, order_values=sizes)
     return blocks.select("block", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
 
 

@@ -239,12 +239,13 @@ def as_docx(documents: DataFrame, text: str = "text") -> DataFrame:
     "S7", "F1", "A9",
     sql=f"""
     SELECT doc_id, array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) AS text,
-        NULL::VARCHAR AS error
+        TRUE AS readable
     FROM documents
     """,
 )
 def docx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.docx_texts(as_docx(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    read = readers.docx_texts(as_docx(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return read.select("doc_id", "text", F.col("error").isNull().alias("readable"))
 
 
 _RUN_SQL = """
@@ -259,7 +260,7 @@ _RUN_SQL = """
     sql=f"""
     WITH runs AS ({_RUN_SQL}), written AS (SELECT * FROM runs UNION ALL SELECT * FROM runs WHERE training_method = 'lora')
     SELECT training_method, version, count(*) AS runs, sum(epochs)::BIGINT AS epochs, max(total_time) AS longest,
-        max(lora_r) AS lora_r FROM written GROUP BY training_method, version
+        coalesce(max(lora_r), 0) AS lora_r FROM written GROUP BY training_method, version
     """,
 )
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +280,7 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("runs"),
         F.sum("epochs").alias("epochs"),
         F.max("total_time").alias("longest"),
-        F.max("lora_r").alias("lora_r"),
+        F.coalesce(F.max("lora_r"), F.lit(0)).alias("lora_r"),
     )
 
 

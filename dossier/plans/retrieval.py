@@ -432,14 +432,14 @@ def _stand_in_embedder(items: list[str]) -> dict:
     WITH cleaned AS (SELECT doc_id, text FROM documents),
     counted AS (SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_spaces,
         length(text) - length(replace(text, 'e', '')) AS n_e FROM cleaned)
-    SELECT doc_id, n_chars::DOUBLE AS a, n_spaces::DOUBLE AS b, n_e::DOUBLE AS c, NULL::VARCHAR AS error FROM counted
+    SELECT doc_id, n_chars::DOUBLE AS a, n_spaces::DOUBLE AS b, n_e::DOUBLE AS c, TRUE AS embedded FROM counted
     """,
 )
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = modelcalls.embed_texts(docs, _stand_in_embedder, clean=False)
     parts = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("abc")]
-    return done.select("doc_id", *parts, "error")
+    return done.select("doc_id", *parts, F.col("error").isNull().alias("embedded"))
 
 
 @query("V11", "V10")

@@ -10,6 +10,52 @@ from dossier.operators import chunking
 TEXTS = st.text(alphabet=st.sampled_from("ab \n"), max_size=400) | st.text(max_size=200)
 
 
+def plain_split(value: str, size: int, overlap: int, separators=chunking.SEPARATORS) -> list[str]:
+    """The same chunks from prefix sums over the pieces, written for checking only."""
+    found = [s for s in separators if s == "" or s in value]
+    separator = found[0] if found else separators[-1]
+    if separator:
+        marked = value.replace(separator, "\x00" + separator).split("\x00")
+    else:
+        marked = list(value)
+    finer = separators[separators.index(separator) + 1 :] if separator else ()
+    out, run = [], []
+
+    def flush():
+        ends = [0]
+        for piece in run:
+            ends.append(ends[-1] + len(piece))
+        start, text = 0, "".join(run)
+        while start < len(run):
+            stop = start + 1
+            while stop < len(run) and ends[stop + 1] - ends[start] <= size:
+                stop += 1
+            out.append(text[ends[start] : ends[stop]])
+            if stop == len(run):
+                break
+            start += 1
+            while start < stop and (ends[stop] - ends[start] > overlap or ends[stop + 1] - ends[start] > size):
+                start += 1
+        run.clear()
+
+    for piece in marked:
+        if 0 < len(piece) < size:
+            run.append(piece)
+        elif piece:
+            flush()
+            out.extend(plain_split(piece, size, overlap, finer) if finer else [piece])
+    flush()
+    return [c.strip() for c in out if c.strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(2, 60), st.data())
+def test_equals_plain_version(value, size, data):
+    value = value.replace("\x00", "")
+    overlap = data.draw(st.integers(0, size))
+    assert chunking.split_text(value, size, overlap) == plain_split(value, size, overlap)
+
+
 def squeezed(value: str) -> str:
     return "".join(value.split())
 
