@@ -18,14 +18,73 @@ def _chunk_report(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("T1")
+def _recursive_chunks_sql(size: int, overlap: int) -> str:
+    """Chunks from running lengths: pieces by line, long ones by word, long words by character.
+
+    Pieces of one level between two long ones form a run; a chunk of a run takes
+    pieces while they fit, the next one starts at the first piece that leaves at
+    most ``overlap`` old characters and room for one new piece.
+    """
+
+    def pieces(text: str, mark: str) -> str:
+        split = f"string_split({text}, {mark})"
+        return f"list_transform({split}, lambda p, i: CASE WHEN i = 1 THEN p ELSE {mark} || p END)"
+
+    return f"""
+    WITH RECURSIVE marked AS (
+        SELECT doc_id, text, CASE WHEN contains(text, chr(10) || chr(10)) THEN chr(10) || chr(10)
+            WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, ' ') THEN ' ' ELSE '' END AS mark
+        FROM documents),
+    first AS (
+        SELECT doc_id, mark, unnest(ps) AS piece, unnest(range(len(ps))) AS a, 0::BIGINT AS b, 0::BIGINT AS c
+        FROM (SELECT doc_id, mark, {pieces('text', 'mark')} AS ps FROM marked)),
+    second AS (
+        SELECT doc_id, mark, unnest(ps) AS piece, a, unnest(range(len(ps))) AS b, c
+        FROM (SELECT doc_id, a, c, mark2 AS mark, {pieces('piece', 'mark2')} AS ps
+            FROM (SELECT *, CASE WHEN mark = chr(10) AND contains(piece, ' ') THEN ' ' ELSE '' END AS mark2
+                FROM first WHERE length(piece) >= {size} AND mark <> ''))),
+    third AS (
+        SELECT doc_id, mark, unnest(ps) AS piece, a, b, unnest(range(len(ps))) AS c
+        FROM (SELECT doc_id, a, b, '' AS mark, string_split(piece, '') AS ps
+            FROM second WHERE length(piece) >= {size} AND mark <> '')),
+    leveled AS (
+        SELECT *, 'a' AS level, sum((length(piece) >= {size})::INTEGER) OVER (PARTITION BY doc_id ORDER BY a) AS broken
+        FROM first
+        UNION ALL SELECT *, 'b' || a, sum((length(piece) >= {size})::INTEGER) OVER (PARTITION BY doc_id, a ORDER BY b)
+        FROM second
+        UNION ALL SELECT *, 'c' || a || '-' || b, 0 FROM third),
+    small AS (SELECT *, doc_id || level || '/' || broken AS run FROM leveled WHERE length(piece) BETWEEN 1 AND {size - 1}),
+    summed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY run ORDER BY a, b, c)::BIGINT AS upto FROM small),
+    runs AS (
+        SELECT run, any_value(doc_id) AS doc_id, min((a * 100000 + b) * 100000 + c) AS spot,
+            list(upto ORDER BY upto) AS ends, string_agg(piece, '' ORDER BY a, b, c) AS body
+        FROM summed GROUP BY run),
+    cut AS (
+        SELECT run, 0::BIGINT AS n, 0::BIGINT AS s,
+            greatest(1, len([x for x in ends if x <= {size}]))::BIGINT AS e FROM runs
+        UNION ALL
+        SELECT run, n, s, greatest(s + 1, len([x for x in ends if x <= coalesce(ends[s], 0) + {size}]))::BIGINT AS e
+        FROM (
+            SELECT c.run, n + 1 AS n, ends, least(e, greatest(s + 1,
+                len([x for x in list_concat([0], ends) if x < greatest(ends[e] - {overlap}, ends[e + 1] - {size})])
+                ))::BIGINT AS s
+            FROM cut c JOIN runs r ON r.run = c.run WHERE e < len(ends))),
+    chunks AS (
+        SELECT doc_id, spot, n, {q.strip('body[coalesce(ends[s], 0) + 1:ends[e]]')} AS chunk
+        FROM cut c JOIN runs r ON r.run = c.run)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY spot, n) - 1)::INTEGER AS chunk_no,
+        length(chunk)::INTEGER AS n_chars, md5(chunk) AS digest
+    FROM chunks WHERE chunk <> ''
+    """
+
+
+@query("T1", sql=_recursive_chunks_sql(chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP))
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 1000 characters; the contract is tested on small texts."""
     docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return _chunk_report(chunking.recursive_chunks(docs))
 
 
-@query("T2")
+@query("T2", sql=_recursive_chunks_sql(chunking.GATE_CHUNK_SIZE, chunking.GATE_CHUNK_OVERLAP))
 def gate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     size, overlap = chunking.GATE_CHUNK_SIZE, chunking.GATE_CHUNK_OVERLAP

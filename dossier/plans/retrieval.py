@@ -72,6 +72,16 @@ def nearest_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rk")
 
 
+@query("V6", "V4", sql=_NEAREST_SQL.format(gap=q.distance("a.embedding", "b.embedding"), k=4))
+def nearest_in_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cell search with every cell probed, which makes it exact."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = nearest.fit_cells(vectors, cells=8, rounds=3)
+    celled = nearest.assign_cells(vectors, model)
+    found = nearest.nearest_in_cells(_vector_queries(spark, sf_dir), celled, model, 4, 8, vector_id="vec_id")
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rk")
+
+
 def record_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with vectors as stored records; good quality counts as matching."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
