@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import packing
+from . import decontamination, hostrules, packing
 from .catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -28,3 +28,98 @@ def op1_packing(spark, sf_dir):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), b AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), iw AS (
+    SELECT DISTINCT item, k, len(k) AS n FROM (
+        SELECT item, list_slice(ws, p, p + least(len(ws), 13) - 1) AS k
+        FROM (SELECT item, ws, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS p FROM b WHERE len(ws) > 0)
+    )
+), sizes AS (SELECT DISTINCT n FROM iw
+), dw AS (
+    SELECT doc_id, p, n, list_slice(ws, p, p + n - 1) AS k
+    FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes WHERE len(ws) >= n)
+), hits AS (SELECT doc_id, p, dw.n, item FROM dw JOIN iw ON dw.n = iw.n AND dw.k = iw.k
+), covered AS (
+    SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+    FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND coalesce(n_hit, 0) * 20 >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query(sql=DECONTAMINATION_SQL)
+def op7_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontamination.find_items(docs.select("doc_id", "text"), items)
+    return found.select(
+        "doc_id",
+        F.col("_found.n_words").alias("n_words"),
+        decontamination.hit_words().alias("n_hit"),
+        F.size("_found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_found.items", ","), 256).alias("items_sha256"),
+        decontamination.is_contaminated().alias("contaminated"),
+    )
+
+
+HOST_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), l AS (
+    SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), win AS (
+    SELECT doc_id, unnest(range(1, greatest(len(ws) - 3, 1))) AS p, ws FROM d
+), keyed AS (
+    SELECT doc_id, p, list_slice(ws, p, p + 4) AS k FROM win
+), counted AS (
+    SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS n FROM keyed
+), gaps AS (
+    SELECT doc_id, least(5, p - lag(p, 1, p - 5) OVER (PARTITION BY doc_id ORDER BY p)) AS g FROM counted WHERE n > 1
+), rep AS (
+    SELECT doc_id, sum(g) AS n FROM gaps GROUP BY doc_id
+), base AS (
+    SELECT d.doc_id, d.host, len(ws) AS n_words,
+           length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+           coalesce(rep.n, 0) AS n_repeat_words
+    FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)
+), ruled AS (
+    SELECT *, n_words < 10 AS r1, n_repeat_words * 100 > n_words * 20 AS r2, n_symbols * 2 > word_chars AS r3,
+           n_dup_lines * 2 > n_lines AS r4, word_chars < n_words * 2 OR word_chars > n_words * 30 AS r5
+    FROM base
+), long AS (
+    SELECT host, unnest([1, 2, 3, 4, 5]) AS rule, unnest([r1, r2, r3, r4, r5])::BIGINT AS failed FROM ruled
+), hosts AS (
+    SELECT host, rule, count(*) AS n, sum(failed)::DOUBLE AS f FROM long GROUP BY host, rule
+), moments AS (
+    SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)) AS v
+    FROM hosts GROUP BY rule
+), shrunk AS (
+    SELECT host, CASE WHEN v > 1e-12 THEN (f + m * greatest(0, m * (1 - m) / v - 1)) / (n + greatest(0, m * (1 - m) / v - 1)) ELSE m END AS rate
+    FROM hosts JOIN moments USING (rule)
+), verdicts AS (
+    SELECT host, max(rate) <= 0.5 AS ok FROM shrunk GROUP BY host
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       r1 OR r2 AS base_failed, NOT (r1 OR r2) AND ok AS kept
+FROM ruled JOIN verdicts USING (host)
+"""
+
+
+@query(sql=HOST_SQL)
+def op9_host_rules(spark, sf_dir):
+    return hostrules.judge_documents(table(spark, sf_dir, "documents"))
