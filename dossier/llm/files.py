@@ -1,0 +1,11 @@
+"""Folders on the shared file system."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a work folder of this run on any Hadoop file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import decontamination, hostrules, packing
+from ..session import checkpointed, work_folder
+from . import chatformat, decontamination, hostrules, packing, warc
+from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -123,3 +125,22 @@ FROM ruled JOIN verdicts USING (host)
 @query(sql=HOST_SQL)
 def op9_host_rules(spark, sf_dir):
     return hostrules.judge_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_chat_formatting(spark, sf_dir):
+    conflict = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], given.schema)
+    return chatformat.conversation_digests(chatformat.format_turns(given.unionByName(extra)))
+
+
+@query()
+def op8_warc(spark, sf_dir):
+    folder = work_folder(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_records(index, folder)
+    read = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = checkpointed(read)
+    remove_folder(spark, folder)
+    return found
