@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, work_folder
-from . import chatformat, decontamination, hostrules, packing, warc
+from . import chatformat, decontamination, hostrules, langid, packing, toxicity, warc
 from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
@@ -144,3 +144,16 @@ def op8_warc(spark, sf_dir):
     found = checkpointed(read)
     remove_folder(spark, folder)
     return found
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model)
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
