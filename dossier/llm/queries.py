@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, work_folder
-from . import chatformat, decontamination, hostrules, langid, packing, toxicity, warc
+from . import chatformat, decontamination, extraction, hostrules, langid, packing, toxicity, warc
 from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
@@ -157,3 +157,8 @@ def op4_toxicity(spark, sf_dir):
 def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.learn(docs))
+
+
+@query()
+def op6_html_extraction(spark, sf_dir):
+    return extraction.extract_text(table(spark, sf_dir, "pages"), extraction.trained())
