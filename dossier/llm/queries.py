@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, work_folder
-from . import chatformat, decontamination, extraction, hostrules, langid, packing, toxicity, warc
+from . import chatformat, decontamination, extraction, hostrules, langid, linededup, packing, toxicity, warc
 from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
@@ -162,3 +162,10 @@ def op10_language_id(spark, sf_dir):
 @query()
 def op6_html_extraction(spark, sf_dir):
     return extraction.extract_text(table(spark, sf_dir, "pages"), extraction.trained())
+
+
+@query()
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = linededup.dedup_lines(docs)
+    return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
