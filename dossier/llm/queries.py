@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, work_folder
-from . import chatformat, decontamination, extraction, hostrules, langid, linededup, packing, toxicity, warc
+from . import chatformat, decontamination, extraction, hostrules, jaccardjoin, langid, linededup, packing, toxicity, warc
 from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
@@ -169,3 +169,9 @@ def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = linededup.dedup_lines(docs)
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
+@query()
+def op3_jaccard_join(spark, sf_dir):
+    found = jaccardjoin.link_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
