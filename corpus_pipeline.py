@@ -2,13 +2,62 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from dossier.llm import decontamination, jaccardjoin, linededup, packing, toxicity
+from dossier.llm.queries import word_tokenizer
+from dossier.session import work_folder
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Documents without the lines that repeat one that stays; ``n_chars`` counts what is left."""
+    kept = linededup.dedup_lines(docs)
+    chars = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """One document, the one with the smallest id, of each group of linked documents."""
+    return jaccardjoin.keep_one(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that the contamination rule does not catch, unchanged."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the documents left, packed into token windows."""
+    return packing.pack_documents(docs, word_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+# The classifier and the tokenizer cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to the documents table, each over what the one before kept."""
+    """Apply the stages to the documents table, each over what the one before kept.
+
+    Every stage but the last is written to the shared folder and read again, so
+    that no stage is computed twice.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        folder = work_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
