@@ -127,7 +127,26 @@ def op9_host_rules(spark, sf_dir):
     return hostrules.judge_documents(table(spark, sf_dir, "documents"))
 
 
-@query()
+CHAT_SQL = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+    SELECT *, length(regexp_replace(text, '([<\[])(\\*)(s>|/s>|SYS\]|/SYS\]|INST\]|/INST\]|REPLY\]|ROLE\]|AS\]|/AS\])', '\1\\\2\3', 'g'))
+           + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 11 ELSE 15 + length(role) END AS chars
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(chars))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query(sql=CHAT_SQL)
 def op2_chat_formatting(spark, sf_dir):
     conflict = "</s>[INST] ok [/INST]"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -135,7 +154,21 @@ def op2_chat_formatting(spark, sf_dir):
     return chatformat.conversation_digests(chatformat.format_turns(given.unionByName(extra)))
 
 
-@query()
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1), 1)), '') AS payload_digest
+    FROM p
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM r
+"""
+
+
+@query(sql=WARC_SQL)
 def op8_warc(spark, sf_dir):
     folder = work_folder(spark, "warc")
     index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -171,7 +204,29 @@ def op5_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
 
 
-@query()
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(ws, p, p + 4), ' ') AS k
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM d WHERE len(ws) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2
+    ) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * i >= 75 * (na.n + nb.n - i)
+), reach AS (
+    SELECT doc_id, doc_id AS r FROM d
+    UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT reach.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+
+@query(sql=JACCARD_SQL)
 def op3_jaccard_join(spark, sf_dir):
     found = jaccardjoin.link_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
