@@ -173,6 +173,13 @@ def unindexed_pairs(infos: DataFrame) -> DataFrame:
     return met.select(*_pair(F.col("x"), F.col("y")))
 
 
+def shared_ids(infos: DataFrame) -> DataFrame:
+    """Links between the texts of rows that share an id."""
+    rows = infos.filter("n > 0 and doc is not null").select("doc", "rep")
+    several = rows.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").select("doc", "a")
+    return rows.join(several, "doc").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc``, ``n_shingles`` and ``component`` (smallest linked id, itself included) per row.
 
@@ -210,14 +217,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(infos)).distinct())
     nodes = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
     sets = checkpointed(sets_of(docs, nodes))
-    links = checkpointed(verified(first, sets))
+    links = checkpointed(verified(first, sets).union(shared_ids(infos)))
     groups = connected(links)
     second = checkpointed(far_pairs(buckets, groups).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more = checkpointed(verified(second, sets))
         groups = connected(links.union(more))
     placed = infos.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc"))
+    component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return placed.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))
 
 

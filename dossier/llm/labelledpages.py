@@ -81,7 +81,7 @@ class _Maker:
         r = self.random
         if r.random() < 0.8:
             self.block(r.choice(("h1", "h1", "h2")), self.words(r.randint(2, 10)).capitalize(), 1)
-        for _ in range(r.randint(2, 12)):
+        for _ in range(r.choice((1, 2, 3, 5, 8, 12))):
             kind = r.random()
             if kind < 0.72:
                 self.paragraph(1)
@@ -104,10 +104,11 @@ class _Maker:
 
     def page(self) -> tuple[str, list[int]]:
         r = self.random
-        title = self.words(5)
-        self.parts.append(f"<html><head><title>{title}</title><style>p{{}}</style></head><body>")
-        self.labels.append((title, 0))
-        for _ in range(r.randint(0, 4)):
+        title, around = self.words(5), r.choice((0, 2, 4, 4, 4))
+        if r.random() < 0.8:
+            self.parts.append(f"<html><head><title>{title}</title><style>p{{}}</style></head><body>")
+            self.labels.append((title, 0))
+        for _ in range(r.randint(0, around)):
             self.other(False)
         wraps = [
             ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"),
@@ -118,7 +119,7 @@ class _Maker:
         self.parts.append(before)
         self.main()
         self.parts.append(after)
-        for _ in range(r.randint(0, 4)):
+        for _ in range(r.randint(0, around)):
             self.other(False)
         self.parts.append("</body></html>")
         return "".join(self.parts), [label for _, label in self.labels]
