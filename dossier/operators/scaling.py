@@ -13,10 +13,11 @@ from ..session import checkpointed
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SPLIT_ROWS = 5_000_000
+SPLIT_ROWS = 1_000_000
+SPLIT_BYTES = 256 * 1024 * 1024
 SALTS = 32
 RANGE_ROWS = 50_000
-MOST_RANGES = 20_000
+FEWEST_RANGES, MOST_RANGES = 8, 20_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -34,25 +35,21 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
 
 
-def small_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> int | None:
-    """Row count of a table measured to be small enough for every executor, else None.
-
-    One aggregation: every task adds up its own rows and sends two numbers.
-    """
+def row_bytes(df: DataFrame) -> Column:
+    """Approximate bytes of a row."""
     size = F.lit(0).cast("long")
     for field in df.schema.fields:
         size = size + _width(field)
-    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
-    return seen["n"] if seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes else None
+    return size
 
 
-def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread the rows of a table that sits in few files over all cores.
+def small_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> int | None:
+    """Row count of a table measured to be small enough for every executor, else None.
 
-    A table with a task or more per core is left as it is.
+    One aggregation: every task adds up its own rows and sends two numbers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return seen["n"] if seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes else None
 
 
 def join_small(
@@ -114,20 +111,22 @@ def ordered_position(
     position: str = "position",
     split_rows: int = SPLIT_ROWS,
     key_values: DataFrame | None = None,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """1-based position of every row among the rows of its key.
 
     ``order`` must end in a column that is unique within a key. Keys of at most
-    ``split_rows`` rows are numbered by a window. Larger ones are sorted across
+    ``split_rows`` rows and ``split_bytes`` bytes are numbered by a window. Larger ones are sorted across
     the cluster, checkpointed, and numbered from the row count of the sorted
     partitions before them, so no task ever holds one whole hot key. The keys
     are counted in ``key_values`` when given, a cheaper table with the same keys
     and at least as many rows of each.
     """
     plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    sizes = (df if key_values is None else key_values).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    # At most (all rows / split_rows) keys can be this large.
-    hot = sizes.filter(F.col("_rows") > split_rows).select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
+    counted = df if key_values is None else key_values
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum(row_bytes(counted)).alias("_bytes"))
+    # At most (all rows / split_rows) + (all bytes / split_bytes) keys can be this large.
+    hot = sizes.filter((F.col("_rows") > split_rows) | (F.col("_bytes") > split_bytes)).select(*[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)])
     if hot.isEmpty():
         return df.withColumn(position, plain.cast("long"))
 
@@ -168,9 +167,7 @@ def range_limits(df: DataFrame, column: str, rows_per_range: int, most: int) ->
     go; they never decide a result.
     """
     rows = df.count()
-    ranges = max(1, min(most, -(-rows // rows_per_range)))
-    if ranges == 1:
-        return []
+    ranges = max(FEWEST_RANGES, min(most, -(-rows // rows_per_range)))
     shares = [i / ranges for i in range(1, ranges)]
     found = df.agg(F.percentile_approx(column, shares, max(10_000, 10 * ranges)).alias("p")).first()["p"]
     return sorted({float(p) for p in found or []})
@@ -197,25 +194,62 @@ def running_start(
 ) -> DataFrame:
     """Sum of ``amount`` over all rows that come earlier by the unique numeric ``order``.
 
-    Two passes instead of one global window: totals per range of ``order`` give
-    each range its offset, a window inside the range does the rest. The ranges
-    are laid out from ``order_values`` when given, a cheaper table with the same
-    order column; when it also has the ``amount``, the totals come from it.
+    Only (order, amount) rows are ranged and numbered; the sums are joined back
+    by the order column. Totals per range give each range its offset, a window
+    inside the range does the rest, so no task sees the whole table however
+    small or large it is. The numbers come from ``order_values`` when that has both
+    columns, a cheaper table of the same rows.
     """
-    limits = range_limits((df if order_values is None else order_values).select(order), order, rows_per_range, most_ranges)
-    ranged = in_ranges(df, order, limits, "_range")
+    cheap = order_values is not None and {order, amount} <= set(order_values.columns)
+    narrow = (order_values if cheap else df).select(order, amount)
+    limits = range_limits(narrow.select(order), order, rows_per_range, most_ranges)
+    ranged = in_ranges(narrow, order, limits, "_range")
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(amount).over(inside), F.lit(0).cast("long"))
-    if not limits:
-        return ranged.withColumn(start, local).drop("_range")
     # One total per range, at most ``most_ranges`` of them.
-    counted = ranged
-    if order_values is not None and amount in order_values.columns:
-        counted = in_ranges(order_values.select(order, amount), order, limits, "_range")
-    totals = {r["_range"]: r["total"] or 0 for r in counted.groupBy("_range").agg(F.sum(amount).alias("total")).collect()}
+    totals = {r["_range"]: r["total"] or 0 for r in ranged.groupBy("_range").agg(F.sum(amount).alias("total")).collect()}
     offsets, before = [], 0
     for number in range(len(limits) + 1):
         offsets.append(before)
         before += totals.get(number, 0)
     table = F.array(*[F.lit(o).cast("long") for o in offsets])
-    return ranged.withColumn(start, local + F.element_at(table, F.col("_range") + 1)).drop("_range")
+    starts = ranged.select(F.col(order), (local + F.element_at(table, F.col("_range") + 1)).alias(start))
+    return df.join(starts, order)
+
+
+def running_in_key(
+    df: DataFrame, keys: Sequence[str], position: str, amount: str, start: str, segment_rows: int
+) -> DataFrame:
+    """Sum of ``amount`` over the rows before by the 1-based ``position`` of a key.
+
+    A key is cut into segments of ``segment_rows`` positions; totals of the
+    segments give the offset of each, a window inside the segment does the rest.
+    """
+    cut = df.withColumn("_segment", F.floor((F.col(position) - 1) / F.lit(segment_rows)))
+    totals = cut.groupBy(*keys, "_segment").agg(F.sum(amount).alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(*keys, "_segment").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    summed = cut.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    joined = summed.join(totals, [*keys, "_segment"])
+    return joined.withColumn(start, (F.col("_before") + F.col("_inside")).cast("long")).drop("_segment", "_before", "_inside")
+
+
+def global_position(df: DataFrame, order: Sequence[Column], position: str = "position") -> DataFrame:
+    """1-based position of every row in a total order, without a task that sees all rows.
+
+    Rows are sorted across the cluster and checkpointed; each sorted partition
+    starts after the rows of those before it.
+    """
+    rows = checkpointed(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    runs = rows.groupBy("_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")).collect()  # one per partition
+    before, starts = 0, {}
+    for run in sorted(runs, key=lambda r: r["_part"]):
+        starts[run["_part"]] = before - run["_first"]
+        before += run["_rows"]
+    if not starts:
+        return rows.withColumn(position, F.lit(0).cast("long")).drop("_row", "_part")
+    table = F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts) + 1)])
+    shift = F.element_at(table, F.col("_part").cast("int") + 1)
+    return rows.withColumn(position, F.col("_row") + shift + 1).drop("_row", "_part")

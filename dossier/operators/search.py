@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import fit_label
 from ..functions.text import QUERY_STOP_WORDS, mentions_any, query_keywords, strip, upload_date
+from ..session import checkpointed
 from .nearest import nearest
-from .scaling import join_small, small_rows
+from .scaling import join_small
 
-DEFAULT_RESULTS, FEWEST_RESULTS, MOST_RESULTS = 5, 1, 20
+DEFAULT_RESULTS = 5
 
 
 def result_count(wanted: int | None) -> int:
-    """Requested number of results inside the allowed range, 5 when nothing is asked."""
-    return max(FEWEST_RESULTS, min(wanted or DEFAULT_RESULTS, MOST_RESULTS))
+    """Requested number of results, 5 when nothing is asked; less than one is an error."""
+    if wanted is None:
+        return DEFAULT_RESULTS
+    if wanted < 1:
+        raise ValueError("the number of results must be at least 1")
+    return wanted
 
 
 def asked_queries(queries: DataFrame, query_text: str = "query_text") -> DataFrame:
@@ -63,14 +68,14 @@ def search_store(
     stored = store.filter(F.col("matches_jd") == 1) if only_matched else store
     close = nearest(asked, stored, 2 * wanted, "cosine", vector_id="doc_id", vector="embedding")
     texts = asked.select("query_id", "query_text")
-    count = small_rows(texts)
-    hits = join_small(close, texts, ["query_id"], "inner", spread=["doc_id"], bound=count)
+    hits = checkpointed(close.select("query_id", "doc_id", "rk", "distance"))
     records = store.select(
         "doc_id", "document", "name", "email", "filename", "tfidf_score", "embedding_score",
         "hybrid_score", "matches_jd", "uploaded_at",
     )
-    most_hits = None if count is None else count * 2 * wanted
-    found = join_small(records, hits, ["doc_id"], "inner", spread=["doc_id"], bound=most_hits)
+    # Ids and numbers meet the records first; query texts join the survivors last, each side measured.
+    found = join_small(records, hits, ["doc_id"], "inner", spread=["doc_id"])
+    found = join_small(found, texts, ["query_id"], "inner", spread=["doc_id"])
     ranked = keyword_first(found, stop_words=stop_words).filter(F.col("search_rank") <= wanted)
     return ranked.select(
         "query_id",

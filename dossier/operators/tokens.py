@@ -5,30 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_tokens
-from .scaling import RANGE_ROWS, join_small, running_start
+from .scaling import RANGE_ROWS, global_position, join_small, running_start
 
 MAX_LENGTH = 128
 BLOCK_SIZE = 128
 IGNORED_LABEL = -100
 PAD_ID, UNKNOWN_ID, FIRST_TERM_ID = 0, 1, 2
-VOCABULARY_SIZE = 50_000
 
 
-def build_vocabulary(texts: DataFrame, text: str = "text", size: int = VOCABULARY_SIZE) -> DataFrame:
-    """``(term, id)`` of the ``size`` most frequent terms; id 0 pads, id 1 is unknown.
+def build_vocabulary(texts: DataFrame, text: str = "text", size: int | None = None) -> DataFrame:
+    """``(term, id)`` of all terms by frequency, or of the ``size`` most frequent; id 0 pads, id 1 is unknown.
 
-    The cut is a distributed top-k, so the one ordered window sees at most
-    ``size`` rows.
+    Terms are counted per task before they move. The order of the terms is that
+    of a sort across the cluster, so no task sees the whole vocabulary.
     """
     counts = texts.select(F.explode(word_tokens(F.col(text))).alias("term")).groupBy("term").count()
-    best = counts.orderBy(F.col("count").desc(), "term").limit(size)
-    order = Window.orderBy(F.col("count").desc(), "term")
-    return best.select("term", (F.row_number().over(order) + (FIRST_TERM_ID - 1)).alias("id"))
+    placed = global_position(counts, [F.col("count").desc(), F.col("term")])
+    if size is not None:
+        placed = placed.filter(F.col("position") <= size)
+    return placed.select("term", (F.col("position") + (FIRST_TERM_ID - 1)).cast("int").alias("id"))
 
 
 def encode(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import gates, prompts, records, scores, text
-from ..operators.scaling import spread_out
 from . import sqltext as q
 from .catalog import query, table
 
@@ -36,7 +35,7 @@ CLEANED_SQL = f"SELECT *, {q.strip(_COLLAPSED)} AS stripped FROM documents"
     """,
 )
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_out(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     cleaned = docs.select("doc_id", text.embeddable(F.col("text")).alias("cleaned"))
     return cleaned.select("doc_id", "cleaned", F.length("cleaned").cast("long").alias("n_chars"))
 
@@ -49,7 +48,7 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def short_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_out(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     return docs.select("doc_id", F.md5(text.clean_for_embedding(F.col("text"), 200)).alias("digest"))
 
 
@@ -66,7 +65,7 @@ _KEPT = f"[k for k in {q.lines('text')} if NOT regexp_full_match(k, '[\\-=_*.]{{
     """,
 )
 def searchable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_out(table(spark, sf_dir, "documents"), "doc_id")
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     name, email = text.leading_name(F.col("text")), text.first_email(F.col("text"))
     return docs.select("doc_id", text.searchable_text(F.col("text"), name, email).alias("chunk"))
 

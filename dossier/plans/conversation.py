@@ -9,61 +9,69 @@ from ..operators import conversations
 from .catalog import query, table
 
 
+def chained(messages: DataFrame) -> DataFrame:
+    """The given conversations strung together into two, of any number of messages."""
+    turn = F.col("conv_id") * 1000 + F.col("turn")
+    return messages.select((F.col("conv_id") % 2).alias("conv_id"), turn.alias("turn"), "role", "text")
+
+
+_CHAINED_SQL = "chained AS (SELECT conv_id % 2 AS conv_id, conv_id * 1000 + turn AS turn, role, text FROM conversations)"
+_PLACED_SQL = f"""
+    {_CHAINED_SQL},
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM chained)
+"""
+
+
 @query(
     "W4",
-    sql="""
+    sql=f"""
+    WITH {_CHAINED_SQL}
     SELECT conv_id, turn, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn
-        ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
-    FROM conversations
+        ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
+    FROM chained
     """,
 )
 def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = conversations.recent_history(table(spark, sf_dir, "conversations"), keep=3)
+    told = conversations.recent_history(chained(table(spark, sf_dir, "conversations")))
     shown = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
     return told.select("conv_id", "turn", F.array_join(shown, "\n").alias("history"))
 
 
-@query(
-    "C2",
-    sql="""
-    SELECT conv_id, 0 AS part, count(*)::INTEGER AS n_messages,
-        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages
-    FROM conversations GROUP BY conv_id
-    """,
-)
+@query("C2", sql=f"WITH {_PLACED_SQL} SELECT conv_id, position, role, text AS content FROM placed")
 def whole_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = conversations.whole_conversations(table(spark, sf_dir, "conversations"))
-    shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return whole.select(
-        "conv_id", "part", F.size("messages").alias("n_messages"), F.array_join(shown, "\n").alias("messages")
-    )
+    return conversations.whole_conversations(chained(table(spark, sf_dir, "conversations")))
 
 
 @query(
     "R9",
-    sql="""
-    SELECT conv_id, 0 AS part,
-        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn) AS text
-    FROM conversations GROUP BY conv_id
+    sql=f"""
+    WITH {_PLACED_SQL},
+    rendered AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS said FROM placed)
+    SELECT conv_id, position, coalesce(sum(length(said)) OVER (PARTITION BY conv_id ORDER BY position
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, said
+    FROM rendered
     """,
 )
 def conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.conversation_texts(table(spark, sf_dir, "conversations"))
+    return conversations.conversation_texts(chained(table(spark, sf_dir, "conversations")))
 
 
 @query(
     "C3",
     sql="""
-    WITH said AS (SELECT conv_id, turn, role, CASE WHEN length(text) % 5 = 0 THEN '/clear' ELSE text END AS text
+    WITH said AS (SELECT conv_id, turn, role, CASE length(text) % 10 WHEN 0 THEN '/clear' WHEN 5 THEN ' /Clear' ELSE text END AS text
         FROM conversations),
-    cleared AS (SELECT conv_id, max(turn) AS last FROM said WHERE text = '/clear' GROUP BY conv_id)
+    cleared AS (SELECT conv_id, max(turn) AS last FROM said WHERE lower(trim(text)) = '/clear' GROUP BY conv_id)
     SELECT s.conv_id, turn, role, text FROM said s LEFT JOIN cleared c USING (conv_id)
     WHERE last IS NULL OR turn > last
     """,
 )
 def messages_since_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").withColumn(
-        "text", F.when(F.length("text") % 5 == 0, F.lit("/clear")).otherwise(F.col("text"))
+        "text",
+        F.when(F.length("text") % 10 == 0, F.lit("/clear"))
+        .when(F.length("text") % 10 == 5, F.lit(" /Clear"))
+        .otherwise(F.col("text")),
     )
     return conversations.since_clear(said).select("conv_id", "turn", "role", "text")
 

@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
 from ..operators import chunking, tokens
-from ..operators.scaling import spread_out
 from . import sqltext as q
 from .catalog import query, table
 
-SMALL_VOCABULARY = 500
-
-
 def _chunk_report(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
@@ -80,13 +76,13 @@ def _recursive_chunks_sql(size: int, overlap: int) -> str:
 
 @query("T1", sql=_recursive_chunks_sql(chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP))
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return _chunk_report(chunking.recursive_chunks(docs))
 
 
 @query("T2", sql=_recursive_chunks_sql(chunking.GATE_CHUNK_SIZE, chunking.GATE_CHUNK_OVERLAP))
 def gate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     size, overlap = chunking.GATE_CHUNK_SIZE, chunking.GATE_CHUNK_OVERLAP
     return _chunk_report(chunking.recursive_chunks(docs, size=size, overlap=overlap))
 
@@ -105,23 +101,19 @@ def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_report(chunking.window_chunks(docs))
 
 
-def _vocabulary_sql(size: int) -> str:
-    return f"""
+_VOCABULARY_SQL = f"""
     counts AS (SELECT term, count(*) AS n FROM (SELECT unnest({q.tokens('text')}) AS term FROM documents) GROUP BY term),
-    vocabulary AS (
-        SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 1)::INTEGER AS id FROM counts
-        ORDER BY n DESC, term LIMIT {size})
-    """
+    vocabulary AS (SELECT term, (row_number() OVER (ORDER BY n DESC, term) + 1)::INTEGER AS id FROM counts)
+"""
 
 
-@query("T4", sql=f"WITH {_vocabulary_sql(SMALL_VOCABULARY)} SELECT term, id FROM vocabulary")
+@query("T4", sql=f"WITH {_VOCABULARY_SQL} SELECT term, id FROM vocabulary")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.build_vocabulary(table(spark, sf_dir, "documents"), size=SMALL_VOCABULARY)
+    return tokens.build_vocabulary(table(spark, sf_dir, "documents"))
 
 
-def _encoded_sql(size: int) -> str:
-    return f"""
-    {_vocabulary_sql(size)},
+_ENCODED_SQL = f"""
+    {_VOCABULARY_SQL},
     places AS (
         SELECT doc_id, unnest(range(len(ts))) AS pos, unnest(ts) AS term
         FROM (SELECT doc_id, {q.tokens('text')} AS ts FROM documents)),
@@ -129,19 +121,19 @@ def _encoded_sql(size: int) -> str:
     encoded AS (
         SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d
         LEFT JOIN (SELECT doc_id, list(id ORDER BY pos) AS ids FROM coded GROUP BY doc_id) USING (doc_id))
-    """
+"""
 
 
-def encoded_documents(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Counting terms and encoding share this one shuffle.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    return tokens.encode(docs, tokens.build_vocabulary(docs, size=size), vocabulary_size=size)
+    return tokens.encode(docs, tokens.build_vocabulary(docs))
 
 
 @query(
     "T4", "T6", "T7",
     sql=f"""
-    WITH {_encoded_sql(SMALL_VOCABULARY)},
+    WITH {_ENCODED_SQL},
     cut AS (SELECT doc_id, ids[1:128] AS ids FROM encoded),
     padded AS (SELECT doc_id, ids, [0 for i in range(128 - len(ids))] AS zeros FROM cut)
     SELECT doc_id, array_to_string(list_concat(ids, zeros), ' ') AS input_ids,
@@ -151,7 +143,7 @@ def encoded_documents(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     """,
 )
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tokens.training_rows(encoded_documents(spark, sf_dir, SMALL_VOCABULARY))
+    rows = tokens.training_rows(encoded_documents(spark, sf_dir))
     shown = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("input_ids", "attention_mask", "labels")]
     return rows.select("doc_id", *shown)
 
@@ -172,14 +164,14 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "T5", "W8",
     sql=f"""
-    WITH {_encoded_sql(tokens.VOCABULARY_SIZE)},
+    WITH {_ENCODED_SQL},
     run AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS place FROM coded),
     blocks AS (SELECT floor(place / 128.0)::BIGINT AS block, list(id ORDER BY place) AS ids FROM run GROUP BY 1)
     SELECT block, array_to_string(ids, ' ') AS input_ids FROM blocks WHERE len(ids) = 128
     """,
 )
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encoded_documents(spark, sf_dir, tokens.VOCABULARY_SIZE)
+    encoded = encoded_documents(spark, sf_dir)
     counted = F.size(word_tokens(F.col("text"))).cast("long").alias("n")
     sizes = table(spark, sf_dir, "documents").select("doc_id", counted)
     blocks = tokens.packed_blocks(encoded, order_values=sizes)
@@ -194,11 +186,11 @@ def _letters(items: list[str]) -> list[list[int]]:
 @query(
     "T4", "U2",
     sql=f"""
-    SELECT doc_id, array_to_string(([length(w) for w in {q.words('text')}])[1:64], ' ') AS ids FROM documents
+    SELECT doc_id, array_to_string(([length(w) for w in {q.words('text')}])[1:128], ' ') AS ids FROM documents
     """,
 )
 def caller_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = tokens.encode_with(docs, _letters)
-    cut = tokens.truncated(F.col("ids"), 64).cast("array<string>")
+    cut = tokens.truncated(F.col("ids")).cast("array<string>")
     return coded.select("doc_id", F.array_join(cut, " ").alias("ids"))

@@ -167,7 +167,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "V5", "V7", "F5", "L2", "L5",
-    sql=f"WITH {_search_sql(20, True)} {_result_columns(20)}",
+    sql=f"WITH {_search_sql(50, True)} {_result_columns(50)}",
 )
 def matched_search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search_store(store_queries(spark, sf_dir), record_store(spark, sf_dir), 50, only_matched=True)

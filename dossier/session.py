@@ -76,3 +76,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def is_file(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished folder in its place; one that is there already goes."""
+    jvm = spark._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(new, True)
+    if not fs.rename(old, new):
+        raise RuntimeError(f"{source} cannot be moved to {target}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any Hadoop file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -65,7 +65,10 @@ def test_report(spark, store):
 def test_edges(spark, store):
     assert search.search_store(asked(spark, "  \n "), store).count() == 0
     assert search.search_store(asked(spark, "hadoop"), store.filter("false")).count() == 0
-    assert [search.result_count(n) for n in (None, 0, -4, 7, 99)] == [5, 5, 1, 7, 20]
+    assert [search.result_count(n) for n in (None, 1, 7, 99)] == [5, 1, 7, 99]
+    for wrong in (0, -4):
+        with pytest.raises(ValueError):
+            search.result_count(wrong)
 
 
 def test_ranking_and_summary(spark):

@@ -50,6 +50,25 @@ def test_compaction(spark, tmp_path):
     assert (stats["total"], stats["collection"], stats["path"]) == (3, "resumes", root)
 
 
+def test_runs_do_not_touch_each_other(spark, tmp_path):
+    root = str(tmp_path)
+    store.write_batch(batch(spark, ("a", 0.1, 1, 0)), root, 0, "one")
+    store.write_batch(batch(spark, ("b", 0.2, 1, 0)), root, 0, "two")
+    store.write_batch(batch(spark, ("a", 0.3, 1, 0)), root, 1, "one")
+    assert current(spark, root) == {"a": 0.3, "b": 0.2}
+    store.compact(spark, root)
+    # A new run writes batch 0 after the compaction; a replay of a held batch changes nothing.
+    store.write_batch(batch(spark, ("c", 0.4, 1, 0)), root, 0, "three")
+    store.write_batch(batch(spark, ("a", 0.1, 1, 0)), root, 0, "one")
+    assert current(spark, root) == {"a": 0.3, "b": 0.2, "c": 0.4}
+    store.compact(spark, root)
+    store.compact(spark, root)
+    store.drop_compacted(spark, root)
+    assert current(spark, root) == {"a": 0.3, "b": 0.2, "c": 0.4}
+    store.write_batch(batch(spark, ("a", 0.5, 2, 0)), root, 2, "one")
+    assert current(spark, root) == {"a": 0.5, "b": 0.2, "c": 0.4}
+
+
 def test_hot_id(spark):
     log = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("doc_id"),
