@@ -25,6 +25,12 @@ JUDGED_REFUSAL = (
     "❌ Only Python-related questions are allowed. "
     "Please ask something related to Python programming."
 )
+ROUTER_PROMPT = """You are a query router. Classify the user query into ONE of these categories:
+            - 'factual': Simple factual questions that need direct information lookup
+            - 'analytical': Questions requiring analysis, comparison, or synthesis of information
+            - 'complex': Multi-part questions or questions requiring step-by-step reasoning
+            
+            Respond with ONLY the category name, nothing else."""
 AGENT_PROMPTS = {
     "conversational": """You are a friendly assistant specialized in Medical Device Software Lifecycle
         Risk Management procedures. You're here to help users understand the document.
@@ -104,6 +110,11 @@ def judge_prompt(question: Column) -> Column:
     return F.concat(F.lit(JUDGE_HEAD), question, F.lit(JUDGE_TAIL))
 
 
+def router_prompt(question: Column) -> Column:
+    """System text and question for the model that names the question's class."""
+    return F.concat(F.lit(f"system: {ROUTER_PROMPT}\nuser: "), question)
+
+
 def agent_system_text(route: Column, context: Column) -> Column:
     """System text of the routed agent with the context filled in."""
     pairs = [F.lit(x) for pair in AGENT_PROMPTS.items() for x in pair]

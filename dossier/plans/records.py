@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..operators import versions
-from ..session import work_folder
+from ..session import rename_suffix, work_folder
 from ..sources import readers, writers
 from . import sqltext as q
 from .catalog import query, table
@@ -87,31 +87,43 @@ def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["p_partkey", "p_name", "p_brand", "p_type"]
     parts = table(spark, sf_dir, "part").select(*columns)
     parts.write.format("xml").option("rootTag", "parts").option("rowTag", "part").save(folder)
-    return readers.xml_corpus(spark, folder, "part", columns)
+    half = F.col("text").substr(-1, 1) >= "N"  # the streaming reader and the splitting one, each for a part of the records
+    split = readers.xml_corpus(spark, folder, "part", columns)
+    return split.filter(half).unionByName(readers.xml_texts(spark, folder).filter(~half))
+
+
+def _markup(value):
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
 
 
 @query(
-    "S4",
+    "S4", "S3",
     sql=f"""
-    SELECT 'json' AS kind, 'item: ' || item_id || ' text: ' || text AS text FROM benchmark
-    UNION ALL SELECT 'xml', 'item: ' || item_id || ' text: ' || text FROM benchmark
-    UNION ALL SELECT 'txt', text FROM (SELECT {q.strip('line')} AS text FROM
+    SELECT 'item: ' || item_id || ' text: ' || text AS text FROM benchmark
+    UNION ALL SELECT 'item: ' || item_id || ' text: ' || text || ' none:' FROM benchmark
+    UNION ALL SELECT 'own ' || item_id || ' note: n' FROM benchmark
+    UNION ALL SELECT text FROM (SELECT {q.strip('line')} AS text FROM
         (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)) WHERE text <> ''
     """,
 )
 def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder of JSON, XML of several record tags, text and unknown suffixes, in any case."""
     root = work_folder(spark, "mixed")
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 0).alias("item"), "text")
-    shown = items.select(F.col("item").cast("string").alias("item"), "text")
-    shown.write.option("maxRecordsPerFile", 1).json(f"{root}/json")
-    shown.write.format("xml").option("rootTag", "items").option("rowTag", "record").save(f"{root}/xml")
-    items.select("text").write.text(f"{root}/txt")
-    children = ["item", "text"]
-    parts = [
-        readers.read_corpus(spark, f"{root}/{kind}", children=children).select(F.lit(kind).alias("kind"), "text")
-        for kind in ("json", "xml", "txt")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), "text")
+    xml = F.concat(
+        F.lit("<r><rec><item>"), "item", F.lit("</item><text>"), _markup(F.col("text")),
+        F.lit("</text><none/></rec><other>own "), "item", F.lit("<note>n</note></other></r>"),
+    )
+    items.select(xml).write.option("maxRecordsPerFile", 1).text(root)
+    rename_suffix(spark, root, ".txt", ".XML")
+    odd = F.col("item").cast("long") % 2 == 1
+    items.filter(odd).select("text").write.mode("append").text(root)
+    rename_suffix(spark, root, ".txt", ".log")
+    items.filter(~odd).select("text").write.mode("append").text(root)
+    items.write.mode("append").option("maxRecordsPerFile", 1).json(root)
+    return readers.read_corpus(spark, root)
 
 
 @query(
@@ -211,17 +223,21 @@ def ruleset_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("answer", prompts.assistant_answer(F.col("text")))
 
 
-def as_docx(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Give every document the bytes of a minimal DOCX file with one paragraph per line."""
+def as_docx(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Give every document the bytes of a DOCX file with one paragraph per line; every eleventh is cut short.
+
+    Paragraphs have tab stops, every third is a hyperlink.
+    """
     head = (
         '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w='
         '"http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
     )
 
     def pack(value: str) -> bytes:
-        body = "".join(
-            f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in value.split("\n")
-        )
+        stops = '<w:pPr><w:tabs><w:tab w:val="left" w:pos="720"/><w:tab w:val="left" w:pos="1440"/></w:tabs></w:pPr>'
+        runs = [f'<w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r>' for line in value.split("\n")]
+        runs = [f"<w:hyperlink>{r}</w:hyperlink>" if i % 3 == 2 else r for i, r in enumerate(runs)]
+        body = "".join(f"<w:p>{stops}{r}</w:p>" for r in runs)
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.writestr("word/document.xml", f"{head}{body}</w:body></w:document>")
@@ -229,7 +245,8 @@ def as_docx(documents: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(content=[pack(v) for v in batch[text]]).drop(columns=[text])
+            packed = [pack(v)[: 40 if n % 11 == 0 else None] for n, v in zip(batch[key], batch[text])]
+            yield batch.assign(content=packed).drop(columns=[text])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != text]
     return documents.mapInPandas(run, ", ".join([*kept, "content binary"]))
@@ -238,8 +255,9 @@ def as_docx(documents: DataFrame, text: str = "text") -> DataFrame:
 @query(
     "S7", "F1", "A9",
     sql=f"""
-    SELECT doc_id, array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) AS text,
-        TRUE AS readable
+    SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN
+            array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) END AS text,
+        doc_id % 11 <> 0 AS readable
     FROM documents
     """,
 )

@@ -278,6 +278,31 @@ def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stand_in_router(items: list[str]) -> list[str]:
+    """Names the class by the cue phrases in the question."""
+    asked = [item.rsplit("\nuser: ", 1)[1].lower() for item in items]
+    return [next((f" {name.upper()}\n" for name, cues in CUES if any(c in a for c in cues)), "factual") for a in asked]
+
+
+@query(
+    "C5", "C4", "C6", "J4", "A11",
+    sql=f"""
+    WITH asked AS (
+        SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 9 = 0 THEN ' Thank YOU ' ELSE text END AS query_text
+        FROM conversations),
+    classed AS (SELECT *, {_CLASS_SQL} AS query_type FROM asked)
+    SELECT conv_id, turn, query_type, {_ROUTE_SQL} AS route, {_K_SQL} AS k FROM classed
+    """,
+)
+def model_routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions classed by a model through the router prompt."""
+    greeted = (F.col("turn") == 0) & (F.col("conv_id") % 9 == 0)
+    asked = table(spark, sf_dir, "conversations").withColumn("query", F.when(greeted, F.lit(" Thank YOU ")).otherwise(F.col("text")))
+    named = routing.classed_by_model(asked, _stand_in_router)
+    cleaned = text.strip(F.col("question_class"))
+    return routing.route_questions(named, cleaned).select("conv_id", "turn", "query_type", "route", "k")
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search queries as questions; every ninth is a greeting."""
     query_text = F.when(F.col("query_id") % 9 == 0, F.lit(" Hello")).otherwise(F.col("query_text"))
@@ -384,6 +409,21 @@ def judged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.judged_by_model(asked, _stand_in_judge, "text").select("conv_id", "turn", "accepted")
 
 
+@query(
+    "F8", "C8", "R8", "U1",
+    sql=f"""
+    SELECT conv_id, turn, contains(text, ' the ') AS accepted,
+        CASE WHEN contains(text, ' the ') THEN length(text) || ' characters read' ELSE {q.quoted(prompts.JUDGED_REFUSAL)} END AS output
+    FROM conversations
+    """,
+)
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model judges, the accepted questions are answered, the others refused."""
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    told = routing.judge_then_answer(asked, _stand_in_judge, _stand_in_model, "text")
+    return told.select("conv_id", "turn", "accepted", "output")
+
+
 @query(
     "C9",
     sql="""
@@ -437,7 +477,7 @@ def _stand_in_embedder(items: list[str]) -> dict:
 
 
 @query(
-    "V10", "V11", "U1", "P6",
+    "V10", "U1",
     sql=f"""
     WITH cleaned AS (SELECT doc_id, text FROM documents),
     counted AS (SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, ' ', '')) AS n_spaces,
@@ -463,16 +503,6 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "U2",
-    sql="SELECT doc_id, length(text) AS n_chars FROM documents",
-)
-def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = modelcalls.map_model(docs, lambda items: [len(i) for i in items], "text", "n_chars", T.LongType())
-    return told.select("doc_id", "n_chars")
-
-
 @query(
     "K4", "S12", "J6", "S8", "T3",
     sql="""

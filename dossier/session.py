@@ -92,3 +92,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder on any Hadoop file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def rename_suffix(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Give the files of a folder another suffix, one by one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(folder)):
+        name = status.getPath().getName()
+        if name.endswith(old):
+            fs.rename(status.getPath(), path(f"{folder}/{name.removesuffix(old)}{new}"))

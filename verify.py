@@ -10,7 +10,7 @@ import time
 
 from dossier import plans
 from dossier.session import local_session
-from tests.oracle import connection, differences
+from dossier.comparison import connection, differences
 
 
 def main() -> int:
