@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,33 +26,46 @@ ROWS = [
     "tail newline\n",
     "one\x0btwo\x0cthree",
 ]
-UNPRINTABLE = re.compile("[^\x09\x0a\x20-\x7e -￿]")
-
-
-def python_name(value):
-    found = [l.strip() for l in value.splitlines() if l.strip()]
-    return found[0] if found and re.match(r"^[A-Za-z .'\-]{2,50}$", found[0]) else "Unknown"
-
-
-def python_email(value):
-    found = re.search(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", value)
-    return found.group(0) if found else "N/A"
-
-
-def python_clean(value, limit=6000):
-    value = UNPRINTABLE.sub(" ", value)
-    value = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", value)).strip()
-    parts = value.split()
-    return " ".join(parts[:limit]) if len(parts) > limit else value
-
-
-def python_chunk(value, name, email, limit=1200):
-    kept = [l.strip() for l in value.splitlines()]
-    kept = [l for l in kept if l and not re.match(r"^[\-=_\*\.]{3,}$", l)]
-    body = "\n".join(kept)
-    parts = body.split()
-    body = " ".join(parts[:limit]) if len(parts) > limit else body
-    return f"Candidate: {name}\nEmail: {email}\n\n{body}"
+NAMES = {2: "Jane Doe", 3: "Ann-Marie O'Neil", 5: "a" * 50, 8: "carriage", 11: "file", 13: "-----", 14: "Only Spaces", 15: "tail newline", 16: "one"}
+EMAILS = {2: "jane.doe+cv@mail.example.com", 4: "a@b.co"}
+CLEANED = [
+    "",
+    "",
+    "Jane Doe\njane.doe+cv@mail.example.com other@x.org",
+    "Ann-Marie O'Neil \nno mail here",
+    "X\nname too short a@b.co",
+    "a" * 50,
+    "a" * 51,
+    "name with digit 7\nfoo@bar",
+    "carriage \nreturn new",
+    "bell and c1 and emoji end",
+    "accents é ü \xa0 wide\u3000space\u2028line",
+    "file group record unit",
+    "a b c\n\nd\n\ne",
+    "-----\n====\n***\n..\nkept line\n ___",
+    "Only Spaces\u2003\nsecond",
+    "tail newline",
+    "one two three",
+]
+BODIES = [
+    "",
+    "",
+    "Jane Doe\njane.doe+cv@mail.example.com other@x.org",
+    "Ann-Marie O'Neil\nno mail here",
+    "X\nname too short a@b.co",
+    "a" * 50,
+    "a" * 51,
+    "name with digit 7\nfoo@bar",
+    "carriage\nreturn\nnew",
+    "bell \x07 and c1\nand emoji \U0001F600 end",
+    "accents é ü \xa0 wide\u3000space\nline",
+    "file\ngroup\nrecord\x1funit",
+    "a  b\t\tc\nd\ne",
+    "..\nkept line",
+    "Only Spaces\nsecond",
+    "tail newline",
+    "one\ntwo\nthree",
+]
 
 
 def evaluate(spark, values, make, type_name="string"):
@@ -63,32 +74,31 @@ def evaluate(spark, values, make, type_name="string"):
 
 
 def test_metadata(spark):
-    assert evaluate(spark, ROWS, text.leading_name) == [python_name(v) for v in ROWS]
-    assert evaluate(spark, ROWS, text.first_email) == [python_email(v) for v in ROWS]
+    assert evaluate(spark, ROWS, text.leading_name) == [NAMES.get(i, "Unknown") for i in range(len(ROWS))]
+    assert evaluate(spark, ROWS, text.first_email) == [EMAILS.get(i, "N/A") for i in range(len(ROWS))]
 
 
 def test_cleaning(spark):
-    assert evaluate(spark, ROWS, text.clean_for_embedding) == [python_clean(v) for v in ROWS]
-    assert evaluate(spark, ROWS, text.embeddable) == [python_clean(v) or None for v in ROWS]
+    assert evaluate(spark, ROWS, text.clean_for_embedding) == CLEANED
+    assert evaluate(spark, ROWS, text.embeddable) == [v or None for v in CLEANED]
     assert evaluate(spark, [None], text.embeddable) == [None]
     assert evaluate(spark, ROWS, text.words) == [v.split() for v in ROWS]
     assert evaluate(spark, ROWS, text.lines) == [[l.strip() for l in v.splitlines() if l.strip()] for v in ROWS]
 
 
-@pytest.mark.parametrize("count", [5999, 6000, 6001])
-def test_word_limit(spark, count):
-    value = "  w\n" * count
-    assert evaluate(spark, [value], text.clean_for_embedding) == [python_clean(value)]
+@pytest.mark.parametrize("count, expected", [(5999, "\n w" * 5999), (6000, "\n w" * 6000), (6001, " w" * 6000)])
+def test_word_limit(spark, count, expected):
+    assert evaluate(spark, ["  w\n" * count], text.clean_for_embedding) == [expected.strip()]
     short = "ab  c d\n" * 500
     assert evaluate(spark, [short], lambda c: text.first_words(c, 1500)) == [short]
     assert evaluate(spark, [short], lambda c: text.first_words(c, 1499)) == [" ".join(short.split()[:1499])]
 
 
 def test_searchable_chunk(spark):
-    long = "word\n---\n" * 1300
-    values = [*ROWS, long]
-    out = evaluate(spark, values, lambda c: text.searchable_text(c, F.lit("N"), F.lit("e@x.io")))
-    assert out == [python_chunk(v, "N", "e@x.io") for v in values]
+    out = evaluate(spark, ROWS, lambda c: text.searchable_text(c, F.lit("N"), F.lit("e@x.io")))
+    assert out == [f"Candidate: N\nEmail: e@x.io\n\n{body}" for body in BODIES]
+    long = evaluate(spark, ["word\n---\n" * 1300], lambda c: text.searchable_text(c, F.lit("N"), F.lit("e")))
+    assert long == ["Candidate: N\nEmail: e\n\n" + " ".join(["word"] * 1200)]
     assert evaluate(spark, ["t"], lambda c: text.searchable_text(c, F.lit(None), F.lit(None))) == [
         "Candidate: Unknown\nEmail: N/A\n\nt"
     ]
