@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import store
 from ..session import work_folder
 from ..streaming import jobs
-from .catalog import query
+from .catalog import query, table
 from .usage import ROLE_SQL, query_log
 
 
@@ -41,14 +41,20 @@ def streamed_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ST1", "K3", "W5",
     sql="""
-    WITH uploads AS (SELECT user_id, ts, value, event_id FROM events),
+    WITH uploads AS (
+        SELECT user_id, ts, value, event_id FROM events
+        UNION ALL SELECT user_id, ts + INTERVAL 1 DAY, value * 2, event_id FROM events WHERE user_id % 2 = 0),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM uploads)
     SELECT 'user ' || user_id AS doc_id, round(value / 7, 4) AS hybrid_score, event_id AS upload FROM ranked WHERE nth = 1
     """,
 )
 def streamed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as uploads, one record per user: the last upload stays."""
+    """Events as uploads in several micro-batches, replayed by a second run, compacted, then added to by a third."""
     folder = work_folder(spark, "upserts")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    events.repartitionByRange(4, "event_id").write.parquet(f"{folder}/in")
+    again = events.filter("user_id % 2 = 0").withColumn("value", F.col("value") * 2)
+    again.withColumn("ts", F.expr("ts + INTERVAL 1 DAY")).write.parquet(f"{folder}/later")
 
     def rows(batch: DataFrame) -> DataFrame:
         return batch.select(
@@ -58,8 +64,11 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("event_id").alias("batch_seq"),
         )
 
-    stream = jobs.table_stream(spark, f"{sf_dir}/events.parquet")
-    jobs.stream_upserts(stream, rows, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    for run, source in enumerate(("in", "in", "later")):
+        stream = jobs.table_stream(spark, f"{folder}/{source}", files_per_trigger=2)
+        jobs.stream_upserts(stream, rows, f"{folder}/store", f"{folder}/checkpoint-{run}").awaitTermination()
+        if run == 1:
+            store.compact(spark, f"{folder}/store")
     current = store.read_store(spark, f"{folder}/store")
     return current.select("doc_id", "hybrid_score", F.col("batch_seq").alias("upload"))
 
@@ -74,7 +83,7 @@ def streamed_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat_ws("", "event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit(".docx")).alias("filename"),
     )
-    fresh = jobs.unseen_files(stream, delay="3650 days")
+    fresh = jobs.unseen_files(stream, delay="1 day")
     jobs.append_to_table(fresh, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("filename")
 
@@ -83,19 +92,19 @@ def streamed_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ST3", "W4",
     sql="""
     SELECT conv_id, turn, role, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id
-        ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
+        ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
     FROM conversations
     """,
 )
 def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message with the four before it, from keyed state."""
+    """Every message with the ten before it, from keyed state."""
     folder = work_folder(spark, "history")
     stream = jobs.table_stream(spark, f"{sf_dir}/conversations.parquet")
     provider = "spark.sql.streaming.stateStore.providerClass"
     earlier = spark.conf.get(provider)
     spark.conf.set(provider, jobs.ROCKSDB_PROVIDER)
     try:
-        told = jobs.live_history(stream, keep=4, lifetime=None)
+        told = jobs.live_history(stream, lifetime=None)
         jobs.append_to_table(told, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(provider, earlier)

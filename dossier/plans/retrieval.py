@@ -10,9 +10,10 @@ from ..functions import gates, prompts, scores, text
 from ..operators import context, modelcalls, nearest, routing, search, store
 from ..operators.chunking import window_chunks
 from ..operators.conversations import recent_history
-from ..session import work_folder
+from ..session import checkpointed, work_folder
 from . import sqltext as q
 from .catalog import query, table
+from .cleaning import CLEANED_SQL
 
 _NEAREST_SQL = """
     WITH gaps AS (
@@ -62,14 +63,32 @@ def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("V6")
+@query(
+    "V6",
+    sql="SELECT vec_id AS query_id, 4 AS hits, TRUE AS exact_distances, TRUE AS recalled FROM embeddings",
+)
 def nearest_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate neighbours from the closest cells of every vector; recall is tested against the exact answer."""
+    """Approximate neighbours from a saved index, read by cell.
+
+    Per query vector: its hits, whether each has its exact distance, and whether
+    nine tenths of all true neighbours were found.
+    """
     vectors = table(spark, sf_dir, "embeddings")
+    queries = _vector_queries(spark, sf_dir)
+    root = work_folder(spark, "cells")
     model = nearest.fit_cells(vectors, cells=16)
-    celled = nearest.assign_cells(vectors, model)
-    found = nearest.nearest_in_cells(_vector_queries(spark, sf_dir), celled, model, 4, 6, vector_id="vec_id")
-    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rk")
+    nearest.assign_cells(vectors, model).write.partitionBy("cell").parquet(root)
+    found = nearest.nearest_in_cells(queries, spark.read.parquet(root), model, 4, 10, vector_id="vec_id")
+    true = nearest.nearest(queries, vectors, 4, "l2", vector_id="vec_id").select("query_id", "vec_id", F.lit(1).alias("true"))
+    hits = found.join(true, ["query_id", "vec_id"], "left").join(queries, "query_id").join(vectors, "vec_id")
+    gap = F.abs(scores.euclidean(F.col("query_vector"), F.col("embedding")) - F.col("distance"))
+    judged = checkpointed(
+        hits.groupBy("query_id").agg(
+            F.count(F.lit(1)).cast("int").alias("hits"), (F.max(gap) < 1e-6).alias("exact_distances"), F.sum("true").alias("right")
+        )
+    )
+    counts = judged.agg(F.sum("right").alias("right"), F.sum("hits").alias("hits")).first()
+    return judged.select("query_id", "hits", "exact_distances", F.lit(counts["right"] >= 0.9 * counts["hits"]).alias("recalled"))
 
 
 @query("V6", "V4", sql=_NEAREST_SQL.format(gap=q.distance("a.embedding", "b.embedding"), k=4))
@@ -492,15 +511,63 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *parts, F.col("error").isNull().alias("embedded"))
 
 
-@query("V11", "V10")
+@query(
+    "V11", "V10", "P6",
+    sql=f"""
+    WITH cleaned AS ({CLEANED_SQL}),
+    cut AS (SELECT doc_id, {q.first_words('stripped', text.EMBEDDING_WORD_LIMIT)} AS text FROM cleaned),
+    buckets AS (
+        SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n
+        FROM (SELECT doc_id, unnest({q.tokens('text')}) AS term FROM cut) GROUP BY ALL),
+    sums AS (
+        SELECT doc_id, sqrt(sum(n * n)) AS length, string_agg(bucket::VARCHAR, ' ' ORDER BY bucket) AS places,
+            round(max(n) / sqrt(sum(n * n)), 3) AS largest, round(min(n) / sqrt(sum(n * n)), 3) AS smallest
+        FROM buckets GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN length > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length, coalesce(places, '') AS places, largest, smallest
+    FROM cut LEFT JOIN sums USING (doc_id) WHERE text <> ''
+    """,
+)
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offline embedder over all documents; length and non-zero count are tested on small texts."""
+    """The offline embedder over all documents: length, non-zero places, largest and smallest value there."""
     done = modelcalls.hashed_embedding(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select(
+    used = F.filter("embedding", lambda x: x != 0)
+    places = F.filter(F.transform("embedding", lambda x, i: F.when(x != 0, i.cast("string"))), lambda p: p.isNotNull())
+    return done.filter("embedding is not null").select(
         "doc_id",
         F.round(scores.norm(F.col("embedding")), 4).alias("length"),
-        F.size(F.filter("embedding", lambda x: x != 0)).alias("terms"),
+        F.array_join(places, " ").alias("places"),
+        F.round(F.array_max(used).cast("double"), 3).alias("largest"),
+        F.round(F.array_min(used).cast("double"), 3).alias("smallest"),
+    )
+
+
+@query(
+    "V12", "S7", "P1", "P2", "P8", "A9", "K3",
+    sql=f"""
+    WITH read AS (
+        SELECT doc_id, array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) AS text
+        FROM documents WHERE doc_id % 11 <> 0)
+    SELECT {q.name('text')} AS name, {q.email('text')} AS email, doc_id || '.docx' AS filename
+    FROM read WHERE {q.strip('text')} <> ''
+    """,
+)
+def ingested_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOCX bytes to stored records in one plan: read, metadata, embed, score against a description, upsert."""
+    from ..operators import matching
+    from ..sources.readers import docx_texts
+    from .records import as_docx
+
+    files = as_docx(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "resume_id")
+    read = docx_texts(files).withColumn("filename", F.concat(F.col("resume_id").cast("string"), F.lit(".docx")))
+    read = read.withColumn("session_id", F.lit("one")).withColumn("seq", F.col("resume_id"))
+    embedded = modelcalls.hashed_embedding(matching.with_metadata(read))
+    described = modelcalls.hashed_embedding(
+        table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.lit("one").alias("session_id"), "text")
     )
+    scored = checkpointed(matching.score_resumes(embedded, described))
+    root = work_folder(spark, "ingest")
+    store.write_batch(matching.store_rows(scored, F.lit("2024-03-01 10:00:00").cast("timestamp")), root, 0)
+    return store.all_records(store.read_store(spark, root)).select("name", "email", "filename")
 
 
 @query(
