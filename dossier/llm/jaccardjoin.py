@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.scaling import join_small
 from ..session import checkpointed
 from .components import connected
+from .shingles import BAND_BITS
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """``doc``, ``key`` (digest of its words), ``n`` (set size), and the segments it may ask for (``x``, ``y``)."""
+    """``doc``, ``key`` (digest of its words), ``n`` (set size) and the segments it may ask for (``x``)."""
 
     def run(batches):
         import pyarrow as pa
@@ -23,18 +24,18 @@ def set_rows(docs: DataFrame) -> DataFrame:
             for text in batch.column(1):
                 words = plain_words(text.as_py())
                 found = shingle_set(words)
-                rows.append((content_key(words), len(found), *own_segments(found)))
-            keys, *numbers = zip(*rows, strict=True) if rows else ((), (), (), ())
+                rows.append((content_key(words), len(found), own_segments(found)))
+            keys, *numbers = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in numbers]], ["doc", "key", "n", "x", "y"]
+                [batch.column(0), pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in numbers]], ["doc", "key", "n", "x"]
             )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, key binary, n long, x long, y long")
+    return docs.mapInArrow(run, f"doc {kind}, key binary, n long, x long")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """``sig``, ``node`` and ``kind`` of the indexed segments of every text.
+    """``sig``, ``node`` and ``asks`` (whether it may) of the indexed segments of every text.
 
     Of equal texts in one task only the first is indexed.
     """
@@ -47,50 +48,69 @@ def signature_rows(docs: DataFrame) -> DataFrame:
 
         seen = set()
         for batch in batches:
-            found, kinds, rows, size = [], [], [], 0
+            found, asking, rows, size = [], [], [], 0
             for row, text in enumerate(batch.column(1)):
                 words = plain_words(text.as_py())
                 key = content_key(words)
                 if words and key not in seen:
                     seen.add(key)
-                    sigs, kind = signatures(shingle_set(words))
+                    sigs, asks = signatures(shingle_set(words))
                     found.append(sigs)
-                    kinds.append(kind)
+                    asking.append(asks)
                     rows.append(np.full(len(sigs), row))
                     size += len(sigs)
                 if found and (size > 200_000 or row + 1 == batch.num_rows):
                     nodes = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    columns = [pa.array(np.concatenate(found).view(np.int64)), nodes, pa.array(np.concatenate(kinds))]
-                    yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "kind"])
-                    found, kinds, rows, size = [], [], [], 0
+                    columns = [pa.array(np.concatenate(found).view(np.int64)), nodes, pa.array(np.concatenate(asking))]
+                    yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "asks"])
+                    found, asking, rows, size = [], [], [], 0
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.filter("doc is not null").mapInArrow(run, f"sig long, node {kind}, kind byte")
+    return docs.filter("doc is not null").mapInArrow(run, f"sig long, node {kind}, asks boolean")
 
 
 def needed(n: Column) -> Column:
-    return F.floor((n + F.floor(n * 4 / 3)) / 7) + 1
+    return F.floor(n / 7) + 1
 
 
 def allocated(shared: DataFrame) -> DataFrame:
-    """Adds ``probe``: whether a set asks for the other sets of this bucket.
+    """Adds ``probe``, ``alone`` and ``weight`` to the rows of buckets with several sets.
 
-    A set must ask in so many of its segments that a linked set at least as
-    large cannot differ in all. Segments that no other set has cost nothing and
-    find nothing, so they are asked for first; of the shared ones those with the
-    smallest buckets make up the number. Sets with too few segments ask in all
-    of them and in their one-deletion neighbourhoods.
+    A set asks in so many of its segments that a linked set at least as large
+    must have one. Segments that no other set has cost nothing and find nothing,
+    so they are asked for first; of the shared ones those with the smallest
+    buckets make up the number. ``alone`` counts a set's segments that no other
+    set has, ``weight`` adds up the sizes of its buckets.
     """
-    of_node = Window.partitionBy("node", "kind")
-    ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("k", "sig")))
-    ranked = ranked.withColumn("count", F.count(F.lit(1)).over(of_node))
+    of_node = Window.partitionBy("node")
+    asked = F.col("asks").cast("long")
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("node", "asks").orderBy("k", "sig")))
+    ranked = ranked.withColumn("count", F.sum(asked).over(of_node)).withColumn("weight", F.sum(F.col("k")).over(of_node))
     spare = F.col("x") - needed(F.col("n"))
-    asks = F.when(spare >= 0, (F.col("kind") == 1) & (F.col("rank") <= F.col("count") - spare)).otherwise(F.col("kind") > 0)
-    return ranked.withColumn("probe", asks)
+    probe = F.col("asks") & ((spare < 0) | (F.col("rank") <= F.col("count") - spare))
+    return ranked.withColumn("probe", probe).withColumn("alone", F.col("x") - F.col("count"))
 
 
-def _fits(small: Column, large: Column) -> Column:
-    return large * 3 <= small * 4
+def _may_link(small: dict[str, Column], large: dict[str, Column]) -> Column:
+    """Whether sizes and shingles that no other set has leave a link possible.
+
+    The smaller set must ask. Of n and m >= n shingles at most (4 n - 3 m) / 7
+    and (4 m - 3 n) / 7 are missing on the other side; a segment found nowhere
+    else holds one that is. The larger set's segments are known to the smaller
+    one within a band only.
+    """
+    n, m = small["n"], large["n"]
+    band = [F.floor((F.length(F.bin(x)) - 1) / BAND_BITS) for x in (n, m)]
+    return (
+        small["probe"]
+        & (n <= m)
+        & (small["alone"] * 7 <= n * 4 - m * 3)
+        & ((band[0] != band[1]) | (large["alone"] * 7 <= m * 4 - n * 3))
+    )
+
+
+def _columns(prefix: str) -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}") for c in ("n", "probe", "alone")}
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -98,16 +118,15 @@ def _pair(a: Column, b: Column) -> list[Column]:
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Each set with the smallest id of its bucket, where one of the two asks: a linear number of pairs."""
-    down = F.col("probe") & (F.col("n") <= F.col("hub.n")) & _fits(F.col("n"), F.col("hub.n"))
-    up = F.col("hub.probe") & (F.col("hub.n") <= F.col("n")) & _fits(F.col("hub.n"), F.col("n"))
-    met = buckets.filter((F.col("node") != F.col("hub.node")) & (down | up))
+    """Each set with the hub of its bucket, where a link is possible: a linear number of pairs."""
+    own, hub = _columns(""), _columns("hub.")
+    met = buckets.filter((F.col("node") != F.col("hub.node")) & (_may_link(own, hub) | _may_link(hub, own)))
     return met.select(*_pair(F.col("hub.node"), F.col("node"))).distinct()
 
 
 def far_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """All pairs that a bucket brings together, that one of the two asks for, and that lie in different groups."""
-    rows = buckets.select("sig", "node", "n", "probe").join(groups, "node", "left")
+    rows = buckets.drop("hub").join(groups, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     of_sig = Window.partitionBy("sig")
     rows = rows.withColumn("low", F.min("component").over(of_sig)).withColumn("high", F.max("component").over(of_sig))
@@ -116,8 +135,7 @@ def far_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     meet = (
         (F.col("x.sig") == F.col("y.sig"))
         & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.n") <= F.col("y.n"))
-        & _fits(F.col("x.n"), F.col("y.n"))
+        & _may_link(_columns("x."), _columns("y."))
     )
     return x.join(y, meet).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
 
@@ -162,12 +180,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unindexed_pairs(infos: DataFrame) -> DataFrame:
-    """Sets with too few segments even with one deletion, with every set they could be linked to by size.
+    """Sets with too few segments to ask in, with every set they could be linked to by size.
 
     A matter of hash luck so rare that the table is all but always empty.
     """
-    need = needed(F.col("n"))
-    odd = infos.filter((F.col("n") > 0) & (F.col("x") + F.col("y") < need)).select(F.col("rep").alias("x"), F.col("n").alias("m"))
+    odd = infos.filter((F.col("n") > 0) & (F.col("x") < needed(F.col("n")))).select(F.col("rep").alias("x"), F.col("n").alias("m"))
     sizes = odd.select("x", F.explode(F.sequence(F.col("m"), F.floor(F.col("m") * 4 / 3))).alias("n"))
     met = sizes.join(infos.select(F.col("rep").alias("y"), "n"), "n").filter("x <> y")
     return met.select(*_pair(F.col("x"), F.col("y")))
@@ -184,14 +201,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc``, ``n_shingles`` and ``component`` (smallest linked id, itself included) per row.
 
     Two documents link when their sets of distinct five-word shingles overlap in
-    75 % of the union. Linked sets of sizes n <= m differ in few shingles, so
-    when hashed into segments most segments are equal. Every distinct text
-    indexes as many segments as its size band asks for; buckets of one set are
-    dropped where they arise, the others tell each set how dear its segments
-    are, and each asks in the cheapest it may. Candidates are verified on whole
-    sets: first each set with one hub per bucket, then all pairs that still lie
-    in different groups, so groups of near copies never emit all their pairs and
-    no link between groups is lost.
+    75 % of the union. Every distinct text indexes part of its segments of the
+    hashed universe, by the size band; of its segments there a linked set at
+    least as large must have most. Buckets of one set are dropped where they
+    arise; the others tell each set how dear its segments are, and each asks in
+    the cheapest it may. Candidates are verified on whole sets: first each set
+    with one hub per bucket, the set with the largest buckets, then all pairs
+    that still lie in different groups. So groups of near copies do not emit all
+    their pairs, and no link between groups is lost.
 
     Shingles are compared by 64-bit hashes. A null or empty text has no shingles
     and links with nothing. Equal texts are one set, whatever their number. A
@@ -209,10 +226,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of_sig = Window.partitionBy("sig")
     shared = signature_rows(docs).withColumn("k", F.count(F.lit(1)).over(of_sig)).filter("k > 1")
     reps = infos.filter("doc = rep and n > 0").select(F.col("doc").alias("node"), "n", "x").dropDuplicates(["node"])
-    shared = allocated(shared.join(reps, "node")).select("sig", "node", "n", "probe")
+    shared = allocated(shared.join(reps, "node")).select("sig", "node", "n", "probe", "alone", "weight")
     buckets = shared.withColumn("asked", F.max("probe").over(of_sig)).withColumn("k", F.count(F.lit(1)).over(of_sig))
-    buckets = buckets.withColumn("hub", F.min(F.struct("node", "n", "probe")).over(of_sig))
-    buckets = checkpointed(buckets.filter("asked and k > 1").drop("asked", "k"))
+    buckets = buckets.withColumn("hub", F.max(F.struct("weight", "node", "n", "probe", "alone")).over(of_sig))
+    buckets = checkpointed(buckets.filter("asked and k > 1").drop("asked", "k", "weight"))
 
     first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(infos)).distinct())
     nodes = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -12,10 +13,12 @@ BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 LETTERS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 64, 256, dtype=np.uint64)
 
-# Bands of set sizes: band k holds 8^k to 8^(k+1) - 1 shingles and has 8^(k+2) segments.
-BAND_BITS = 3
-SMALL_BANDS = 2
-SLACK = 3.5
+# Bands of set sizes: band k holds 64^k to 64^(k+1) - 1 shingles and has 64 * 4096^(k+1) segments, so that
+# hardly ever two shingles of a set share one.
+BAND_BITS = 6
+MOST_BITS = 60
+WHOLE = 256
+SLACK = 6.0
 
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -71,71 +74,75 @@ def band(n: int) -> int:
     return (n.bit_length() - 1) // BAND_BITS
 
 
+def segment_bits(band_number: int) -> int:
+    return min(MOST_BITS, BAND_BITS * (2 * band_number + 3))
+
+
 def needed(n: int) -> int:
-    """Segments of a set of n shingles that cannot all differ from those of a linked set at least as large.
+    """Segments of a set of n shingles of which a linked set at least as large must have one.
 
-    Linked sets differ in at most a seventh of their sizes' sum, and the larger
-    has at most 4 n / 3 shingles.
+    A linked set of m >= n shingles lacks at most (4 n - 3 m) / 7 of them.
     """
-    return (n + 4 * n // 3) // 7 + 1
+    return n // 7 + 1
 
 
 def share(n: int) -> float:
     """Share of the segments that is indexed for sets of n shingles: enough for ``needed`` and some to spare."""
-    return min(1.0, (1 / 3 + SLACK / math.sqrt(n) + 1 / n) / 0.94) if n >= 64 else 1.0
+    return 1.0 if n < WHOLE else min(1.0, 1 / 7 + SLACK / math.sqrt(n))
 
 
-def _segments(hashes, bits: int, below: int):
-    """Sorted tokens of the segments below a limit: tokens, their segments, where segments start."""
-    tokens = np.sort(hashes[(hashes >> np.uint64(64 - bits)) < np.uint64(below)]) if below < 1 << bits else np.sort(hashes)
+def _segments(hashes, bits: int, part: float):
+    """Sorted tokens of the first part of the segments: tokens, their segments, where segments start."""
+    if part < 1:
+        hashes = hashes[(hashes >> np.uint64(64 - bits)) < np.uint64(int(part * (1 << bits)))]
+    tokens = np.sort(hashes)
     segments = tokens >> np.uint64(64 - bits)
     starts = np.flatnonzero(np.concatenate(([True], segments[1:] != segments[:-1]))) if len(tokens) else np.empty(0, dtype=np.int64)
     return tokens, segments, starts
 
 
-def own_segments(shingles) -> tuple[int, int]:
-    """Segments that a set can ask for, and how many of them have a one-deletion neighbourhood."""
+def own_segments(shingles) -> int:
+    """Segments that a set can ask for."""
     n = len(shingles)
-    if not n:
-        return 0, 0
-    k = band(n)
-    bits = BAND_BITS * (k + 2)
-    tokens, _, starts = _segments(mix(shingles), bits, int(share(n) * (1 << bits)))
-    several = int((np.diff(np.append(starts, len(tokens))) > 1).sum()) if k < SMALL_BANDS else 0
-    return len(starts), several
+    return len(_segments(mix(shingles), segment_bits(band(n)), share(n))[2]) if n else 0
 
 
 def signatures(shingles):
-    """Signature and kind per indexed segment of a set.
-
-    Kind 1: a segment of the set's own band that it may ask for. Kind 2: such a
-    segment without one of its shingles (small bands only). Kind 0: indexed for
-    smaller sets that ask, in its own band or the one below.
+    """Signature of every indexed segment of a set, and whether the set may ask for it.
+
+    A set indexes its segments for sets of its own band and, if a set of 3/4 of
+    its size falls there, of the band below. A segment of several shingles is
+    indexed by its deletion neighbourhood as well: each single shingle for the
+    usual two, all smaller selections if there are more. So the segment of a
+    smaller set is found in that of a larger one whenever its shingles are all
+    there, whatever else is.
     """
     n = len(shingles)
     if not n:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int8)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=bool)
     hashes, k = mix(shingles), band(n)
     least = -(-3 * n // 4)
-    found, kinds = [], []
+    found, asking = [], []
     for scheme in (k, k - 1):
         if scheme < 0 or (scheme < k and least >= 1 << BAND_BITS * k):
             continue
-        bits = BAND_BITS * (scheme + 2)
-        tokens, segments, starts = _segments(hashes, bits, int(share(least) * (1 << bits)))
-        asks = segments < np.uint64(int(share(n) * (1 << bits))) if scheme == k else np.zeros(len(tokens), dtype=bool)
+        bits = segment_bits(scheme)
+        tokens, segments, starts = _segments(hashes, bits, share(least))
+        if not len(tokens):
+            continue
         inner = mix(tokens + np.uint64(0x632BE59BD9B4E019))
-        sums = np.add.reduceat(inner, starts) if len(starts) else inner
-        place = (segments + np.uint64(scheme << 56)) * np.uint64(BASE)
-        found.append(mix(sums + place[starts]))
-        kinds.append(asks[starts].astype(np.int8))
-        if scheme < SMALL_BANDS:
-            sizes = np.diff(np.append(starts, len(tokens)))
-            group = np.repeat(np.arange(len(starts)), sizes)
-            several = sizes[group] > 1
-            found.append(mix((sums[group] - inner + place)[several]))
-            kinds.append(2 * asks[several].astype(np.int8))
-    return np.concatenate(found), np.concatenate(kinds)
+        place = (segments + np.uint64(scheme << 61)) * np.uint64(BASE)
+        found.append(mix(np.add.reduceat(inner, starts) + place[starts]))
+        asks = segments[starts] < np.uint64(int(share(n) * (1 << bits))) if share(n) < 1 else np.ones(len(starts), dtype=bool)
+        asking.append(asks & (scheme == k))
+        ends = np.append(starts[1:], len(tokens))
+        for group in np.flatnonzero(ends - starts > 1):
+            first, last = int(starts[group]), int(ends[group])
+            for size in range(1, last - first):
+                for chosen in itertools.combinations(range(first, last), size):
+                    found.append(mix(inner[list(chosen)].sum(keepdims=True) + place[first]))
+                    asking.append(np.zeros(1, dtype=bool))
+    return np.concatenate(found) if found else np.empty(0, dtype=np.uint64), np.concatenate(asking) if asking else np.empty(0, dtype=bool)
 
 
 def linked(a, b) -> bool:
