@@ -119,7 +119,7 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[list[int], l
         grad = np.bincount(col, error[row], size) + ridge * weight / len(y)
         if pairs:
             change = np.bincount(in_row, weight[in_col], len(pairs)) - np.bincount(out_row, weight[out_col], len(pairs))
-            change *= 2 * strength / len(pairs)
+            change = change * (2 * strength / len(pairs))
             grad += np.bincount(in_col, change[in_row], size) - np.bincount(out_col, change[out_row], size)
         full = np.append(grad, error.sum())
         mean = 0.9 * mean + 0.1 * full

@@ -81,6 +81,8 @@ def test_group_terms_lose_their_pull():
     held, _ = toxicity.fit(rows, labels, pairs, len(names), strength=10.0)
     assert abs(held[0] - held[1]) < 0.1 * abs(free[0] - free[1])
     assert held[2] > 1 > -1 > held[3]
+    same, _ = toxicity.fit(rows, labels, [([2], [2])], len(names))
+    assert same.shape == (4,)
 
 
 def test_sentences_are_swapped():
