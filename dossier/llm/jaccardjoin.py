@@ -91,6 +91,10 @@ def allocated(shared: DataFrame) -> DataFrame:
     return ranked.withColumn("probe", probe).withColumn("alone", F.col("x") - F.col("count"))
 
 
+def _band(n: Column) -> Column:
+    return F.floor((F.length(F.bin(n)) - 1) / BAND_BITS)
+
+
 def _may_link(small: dict[str, Column], large: dict[str, Column]) -> Column:
     """Whether sizes and shingles that no other set has leave a link possible.
 
@@ -100,12 +104,11 @@ def _may_link(small: dict[str, Column], large: dict[str, Column]) -> Column:
     one within a band only.
     """
     n, m = small["n"], large["n"]
-    band = [F.floor((F.length(F.bin(x)) - 1) / BAND_BITS) for x in (n, m)]
     return (
         small["probe"]
         & (n <= m)
         & (small["alone"] * 7 <= n * 4 - m * 3)
-        & ((band[0] != band[1]) | (large["alone"] * 7 <= m * 4 - n * 3))
+        & ((_band(n) != _band(m)) | (large["alone"] * 7 <= m * 4 - n * 3))
     )
 
 
@@ -121,45 +124,67 @@ def hub_pairs(buckets: DataFrame) -> DataFrame:
     """Each set with the hub of its bucket, where a link is possible: a linear number of pairs."""
     own, hub = _columns(""), _columns("hub.")
     met = buckets.filter((F.col("node") != F.col("hub.node")) & (_may_link(own, hub) | _may_link(hub, own)))
-    return met.select(*_pair(F.col("hub.node"), F.col("node"))).distinct()
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def far_pairs(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs that a bucket brings together, that one of the two asks for, and that lie in different groups."""
-    rows = buckets.drop("hub").join(groups, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
-    of_sig = Window.partitionBy("sig")
-    rows = rows.withColumn("low", F.min("component").over(of_sig)).withColumn("high", F.max("component").over(of_sig))
-    rows = checkpointed(rows.filter("low <> high").drop("low", "high"))
+def _overlap_left(x: str, y: str) -> Column:
+    """Whether two sets compared with the same hub can still be linked.
+
+    They share at most the smaller of their overlaps with the hub and, outside
+    it, the smaller of what is left there without the shingles nobody else has.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    known = F.when(_band(n) == _band(m), F.col(f"{y}.alone")).otherwise(F.lit(0))
+    outside = F.least(n - F.col(f"{x}.same") - F.col(f"{x}.alone"), m - F.col(f"{y}.same") - known)
+    most = F.least(F.col(f"{x}.same"), F.col(f"{y}.same")) + outside
+    return F.coalesce((F.col(f"{x}.ref") != F.col(f"{y}.ref")) | (most * 7 >= (n + m) * 3), F.lit(True))
+
+
+def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
+    """All pairs that a bucket brings together, that may be linked, and that lie in different groups.
+
+    ``checked`` holds the overlaps of sets with their hubs; each set goes by the
+    hub it overlaps most.
+    """
+    best = checked.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"))
+    best = best.select(F.col("b").alias("node"), F.col("best.a").alias("ref"), F.col("best.same").alias("same"))
+    rows = buckets.drop("hub").join(groups, "node", "left").join(best, "node", "left")
+    rows = checkpointed(rows.withColumn("component", F.coalesce("component", "node")))
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rows = rows.join(mixed.select("sig"), "sig", "left_semi")
     x, y = rows.filter("probe").alias("x"), rows.alias("y")
     meet = (
         (F.col("x.sig") == F.col("y.sig"))
         & (F.col("x.component") != F.col("y.component"))
         & _may_link(_columns("x."), _columns("y."))
+        & _overlap_left("x", "y")
     )
     return x.join(y, meet).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are linked."""
+    """The pairs with the size of their overlap (``same``) and whether they are ``linked``."""
     kind = sets.schema["node"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from dossier.llm.shingles import linked
+        from dossier.llm.shingles import linked, overlap
 
         def numbers(cell):
             return np.frombuffer(cell.as_buffer(), dtype=np.uint64)
 
         for batch in batches:
-            keep = [linked(numbers(x), numbers(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            both = [(numbers(x), numbers(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            same = [overlap(x, y) for x, y in both]
+            links = [linked(len(x), len(y), n) for (x, y), n in zip(both, same, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array(same, pa.int64()), pa.array(links, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "same", "linked"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, same long, linked boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -234,12 +259,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(infos)).distinct())
     nodes = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
     sets = checkpointed(sets_of(docs, nodes))
-    links = checkpointed(verified(first, sets).union(shared_ids(infos)))
+    checked = checkpointed(verified(first, sets))
+    links = checked.filter("linked").select("a", "b").union(shared_ids(infos))
     groups = connected(links)
-    second = checkpointed(far_pairs(buckets, groups).join(first, ["a", "b"], "left_anti"))
+    done = first.select(*_pair(F.col("a"), F.col("b")))
+    second = checkpointed(far_pairs(buckets, groups, checked).join(done, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        more = checkpointed(verified(second, sets))
-        groups = connected(links.union(more))
+        groups = connected(links.union(verified(second, sets).filter("linked").select("a", "b")))
     placed = infos.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return placed.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))

@@ -145,12 +145,13 @@ def signatures(shingles):
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64), np.concatenate(asking) if asking else np.empty(0, dtype=bool)
 
 
-def linked(a, b) -> bool:
-    """Whether two sorted sets overlap in 75 % of their union."""
-    least = min(len(a), len(b))
-    if not least or 4 * least < 3 * max(len(a), len(b)):
-        return False
+def overlap(a, b) -> int:
+    """Shingles that two sorted sets share."""
     both = np.concatenate((a, b))
     both.sort()
-    same = int((both[1:] == both[:-1]).sum())
-    return 100 * same >= 75 * (len(a) + len(b) - same)
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(n: int, m: int, same: int) -> bool:
+    """Whether sets of n and m shingles that share ``same`` of them overlap in 75 % of their union."""
+    return same > 0 and 100 * same >= 75 * (n + m - same)
