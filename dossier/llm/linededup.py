@@ -20,47 +20,68 @@ SIMILARITY = 0.9
 BITS = 64
 BUCKET_LINES = 64
 
-WORD = re.compile(r"[^\W_]+")
+NOT_WORD = re.compile(r"[\W_]+")
 DIGIT = re.compile(r"\d")
 
 
-def normalised(line: str) -> list[str]:
-    """Words of a line: lower case, every digit a 0, without punctuation."""
-    return WORD.findall(DIGIT.sub("0", line.lower()))
+def _plain(text: str) -> str:
+    """Lower case, every digit a 0, without anything that is neither letter, number nor white space."""
+    return " ".join(DIGIT.sub("0", NOT_WORD.sub("", chunk)) for chunk in text.lower().split())
 
 
-def digest(words: list[str]) -> bytes:
-    """128 bits that name a normalised line."""
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+# The same for the Western letters of one byte each, as a table.
+_WESTERN = [bytes([b]).decode("latin-1") for b in range(256)]
+TABLE = bytes(ord(" " if c.isspace() else _plain(c) or "-") for c in _WESTERN)
+DROPPED = bytes(b for b, c in enumerate(_WESTERN) if not c.isspace() and not _plain(c))
 
 
-def simhashes(lines: list[list[str]], word_bits) -> list[int]:
-    """Signed 64-bit SimHash of the distinct words of each line.
+def normalised(line: str) -> list[bytes]:
+    """Words of a line as UTF-8: lower case, every digit a 0, without punctuation."""
+    try:
+        plain = line.encode("latin-1").translate(TABLE, DROPPED)
+    except UnicodeEncodeError:
+        return _plain(line).encode("utf-8", "surrogatepass").split()
+    return plain.split() if line.isascii() else plain.decode("latin-1").encode().split()
 
-    ``word_bits`` gives the 64 hash bits of a word as an array of +1 and -1. A
-    bit is set where the sum over the words is positive.
-    """
-    import numpy as np
-
-    out = []
-    for words in lines:
-        total = np.sum([word_bits[w] for w in set(words)], axis=0, dtype=np.int32)
-        out.append(int(np.packbits(total > 0, bitorder="little").view("<i8")[0]))
-    return out
 
+def digest(words: list[bytes]) -> bytes:
+    """128 bits that name a normalised line; the first 60 are its id in the similarity step."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
-def _word_bits(word: str):
-    import numpy as np
-
-    raw = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return np.unpackbits(np.frombuffer(raw, dtype=np.uint8), bitorder="little").astype(np.int8) * 2 - 1
 
+def simhashes(lines: list[list[bytes]]):
+    """Signed 64-bit SimHash of the distinct words of each line: a bit is set where most words have it.
 
-def edit_distance(a: list[str], b: list[str]) -> int:
+    Bits are counted eight at a time, in the bytes of a 64-bit number, over runs
+    of at most 255 words.
+    """
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    flat: list[int] = []
+    sizes = np.empty(len(lines), dtype=np.int64)
+    for i, words in enumerate(lines):
+        distinct = set(words)
+        sizes[i] = len(distinct)
+        flat.extend(map(xxh64_intdigest, distinct))
+    hashes = np.array(flat, dtype=np.uint64)
+    runs = -(-sizes // 255)
+    first = np.cumsum(runs) - runs
+    line_start = np.cumsum(sizes) - sizes
+    starts = np.repeat(line_start - 255 * first, runs) + 255 * np.arange(int(runs.sum()))
+    most = np.empty((len(lines), 8, 8), dtype=np.uint8)
+    for bit in range(8):
+        ones = (hashes >> np.uint64(bit)) & np.uint64(0x0101010101010101)
+        counts = np.add.reduceat(ones, starts).view(np.uint8).reshape(-1, 8)
+        most[:, :, bit] = np.add.reduceat(counts, first, axis=0, dtype=np.int32) * 2 > sizes[:, None]
+    return np.packbits(most.reshape(len(lines), 64), axis=1, bitorder="little").view("<i8").ravel()
+
+
+def edit_distance(a: list, b: list) -> int:
     """Insertions, deletions and exchanges of words between two lines, bit-parallel."""
     if not a or not b:
         return max(len(a), len(b))
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
@@ -78,7 +99,7 @@ def edit_distance(a: list[str], b: list[str]) -> int:
     return score
 
 
-def alike(a: list[str], b: list[str], similarity: float) -> bool:
+def alike(a: list, b: list, similarity: float) -> bool:
     longest = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - similarity) * longest + 1e-9:
         return False
@@ -86,7 +107,7 @@ def alike(a: list[str], b: list[str], similarity: float) -> bool:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """``doc``, ``line`` (from 0), ``node`` (128-bit digest of the normalised line) and ``simhash``.
+    """``doc``, ``line`` (from 0), whether it is the ``first`` such line of its text, ``node`` (digest) and ``simhash``.
 
     Only lines of at least ``least_words`` words. Rows without an id are left out.
     """
@@ -94,33 +115,43 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import _word_bits, digest, normalised, simhashes
-        from dossier.llm.memo import Memo, kept
+        from dossier.llm.linededup import digest, normalised, simhashes
+
+        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), pa.int64()]
+        held, words, size = [], [], 0
+
+        def table():
+            columns = [*zip(*held, strict=True), simhashes(words)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "line", "first", "node", "simhash"]
+            )
 
-        bits = kept("bits", lambda: Memo(_word_bits))
-        kinds = [id_type, pa.int32(), pa.binary(), pa.int64()]
         for batch in batches:
-            rows, words = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                doc, seen = doc.as_py(), set()
                 for number, line in enumerate((text.as_py() or "").split("\n")):
                     if len(line) >= 2 * least_words - 1:
                         found = normalised(line)
                         if len(found) >= least_words:
-                            rows.append((doc, number, digest(found)))
+                            name = digest(found)
+                            held.append((doc, number, name not in seen, name))
+                            seen.add(name)
                             words.append(found)
-                bits.trim()
-            if rows:
-                columns = [*zip(*rows, strict=True), simhashes(words, bits)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "line", "node", "simhash"]
-                )
+                            size += len(found)
+                if size >= 100_000:
+                    yield table()
+                    held.clear()
+                    words.clear()
+                    size = 0
+        if held:
+            yield table()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    return chosen.mapInArrow(run, f"doc {kind}, line int, node binary, simhash long")
+    return chosen.mapInArrow(run, f"doc {kind}, line int, first boolean, node binary, simhash long")
 
 
 def blocks_for(lines: int, distance: int = DISTANCE) -> int:
@@ -136,14 +167,17 @@ def blocks_for(lines: int, distance: int = DISTANCE) -> int:
 
 
 def block_keys(simhash: Column, blocks: int, equal: int) -> Column:
-    """Keys of all choices of ``equal`` out of ``blocks`` pieces of the SimHash, as an array."""
+    """Keys of all choices of ``equal`` out of ``blocks`` pieces of the SimHash, as an array.
+
+    A key is a hash of the choice and its pieces; what meets by chance is told apart by the distance.
+    """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     keys = []
     for number, chosen in enumerate(itertools.combinations(range(blocks), equal)):
         mask = sum(masks[i] for i in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("k"), simhash.bitwiseAND(F.lit(signed).cast("long")).alias("v")))
+        keys.append(F.xxhash64(F.lit(number), simhash.bitwiseAND(F.lit(signed).cast("long"))))
     return F.array(*keys)
 
 
@@ -152,39 +186,38 @@ def _near(a: Column, b: Column, distance: int) -> Column:
 
 
 def hub_pairs(lines: DataFrame, distance: int) -> DataFrame:
-    """Pairs of each line with the smallest line of its bucket, in buckets that differ in one block only.
+    """Pairs of each line with the smallest id of its bucket, in buckets that differ in one block only.
 
     A linear number of pairs that ties dense groups of variants together.
     """
-    keyed = lines.select("node", "simhash", F.explode(block_keys(F.col("simhash"), distance + 1, distance)).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "simhash")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    hubs = hubs.filter("n > 1").drop("n")
-    pairs = keyed.join(hubs, "key").filter(F.col("node") != F.col("hub.node"))
-    pairs = pairs.filter(_near(F.col("simhash"), F.col("hub.simhash"), distance))
-    return pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    keyed = lines.select("id", "simhash", F.explode(block_keys(F.col("simhash"), distance + 1, distance)).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("_last"), F.min_by("simhash", "id").alias("_sim"))
+    hubs = hubs.filter("hub <> _last").drop("_last")
+    pairs = keyed.join(hubs, "key").filter((F.col("id") != F.col("hub")) & _near(F.col("simhash"), F.col("_sim"), distance))
+    return pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -> DataFrame:
     """All pairs within ``distance`` whose lines are not yet in one group."""
-    grouped = lines.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keyed = grouped.select("node", "simhash", "component", F.explode(block_keys(F.col("simhash"), blocks, blocks - distance)).alias("key"))
+    tied = lines.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keyed = tied.select("id", "simhash", "component", F.explode(block_keys(F.col("simhash"), blocks, blocks - distance)).alias("key"))
     a, b = keyed.alias("x"), keyed.alias("y")
     meet = (
         (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.id") < F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
         & _near(F.col("x.simhash"), F.col("y.simhash"), distance)
     )
-    return a.join(b, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return a.join(b, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def texts_of(nodes: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``node`` and the ``words`` of its first occurrence."""
-    places = lines.join(nodes, "node").select("node", "doc", "line")
+def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and the ``words`` of the line's first occurrence."""
+    places = lines.join(ids, "id").select("id", "doc", "line")
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     if small_rows(places) is not None:
         places = F.broadcast(places)
-    found = chosen.join(places, "doc").select("node", F.element_at(F.split("text", "\n", -1), F.col("line") + 1).alias("text"))
+    found = chosen.join(places, "doc").select("id", F.element_at(F.split("text", "\n", -1), F.col("line") + 1).alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -193,9 +226,9 @@ def texts_of(nodes: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, t
 
         for batch in batches:
             words = [normalised(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["node", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], ["id", "words"])
 
-    return found.mapInArrow(run, "node binary, words array<string>").dropDuplicates(["node"])
+    return found.mapInArrow(run, "id long, words array<binary>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -203,9 +236,9 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
     pairs = checkpointed(pairs)
     if pairs.isEmpty():
         return pairs
-    words = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
-    both = both.join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
+    words = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    both = both.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
 
     def run(batches):
         import pyarrow as pa
@@ -216,7 +249,7 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
             keep = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def repeated_lines(
@@ -239,25 +272,28 @@ def repeated_lines(
     groups. Only narrow rows meet; texts are fetched for candidates alone.
     """
     lines = checkpointed(line_rows(docs, id_col, text_col, least_words))
+    doc = F.when(F.col("first"), F.col("doc"))
     distinct = lines.groupBy("node").agg(
-        F.min(F.struct("doc", "line")).alias("first"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n")
+        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n")
     )
-    distinct = checkpointed(distinct.select("node", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "simhash", "n"))
-    signatures = distinct.select("node", "simhash")
+    name = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
+    distinct = checkpointed(distinct.withColumn("id", name))
+    signatures = distinct.select("id", "simhash")
 
-    def texts(nodes):
-        return texts_of(nodes, distinct, docs, id_col, text_col)
+    def texts(ids):
+        return texts_of(ids, distinct, docs, id_col, text_col)
 
     links = checkpointed(verified(hub_pairs(signatures, distance), texts, similarity))
-    groups = connected(links)
+    groups = connected(links).withColumnRenamed("node", "id")
     more = verified(far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance)), texts, similarity)
     more = checkpointed(more)
     if not more.isEmpty():
-        groups = connected(links.union(more))
-    # Groups of one line that occurs once keep it; all others may have something to remove.
-    placed = distinct.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = placed.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("kept"), F.sum("n").alias("total"))
-    kept = placed.select("node", "component").join(kept.filter("total > 1"), "component").select("node", "kept")
+        groups = connected(links.union(more)).withColumnRenamed("node", "id")
+    # A line that occurs once and has no group stays; any other may have something to remove.
+    placed = distinct.join(groups, "id", "left").filter("n > 1 or component is not null")
+    placed = placed.withColumn("component", F.coalesce("component", "id")).select("node", "component", "doc", "line")
+    first = placed.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("kept"))
+    kept = placed.select("node", "component").join(first, "component").select("node", "kept")
     gone = lines.join(kept, "node").filter((F.col("doc") != F.col("kept.doc")) | (F.col("line") != F.col("kept.line")))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("line", "node")).alias("lines"))
 

@@ -6,9 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, work_folder
+from ..session import checkpointed, remove_folder, work_folder
 from . import chatformat, decontamination, extraction, hostrules, jaccardjoin, langid, linededup, packing, toxicity, warc
-from .files import remove_folder
 from .catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]

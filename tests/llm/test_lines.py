@@ -6,12 +6,12 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dossier.llm import jaccardjoin, linededup, shingles
 from dossier.llm.components import connected
-from dossier.llm.memo import Memo
 
 words = st.lists(st.sampled_from("a b c d e".split()), max_size=12)
 
@@ -31,6 +31,22 @@ def test_edit_distance(a, b):
     assert linededup.edit_distance(a, b) == plain_distance(a, b)
 
 
+def test_simhash_counts_every_word():
+    r = random.Random(6)
+    lines = [[b"w%d" % r.randrange(5000) for _ in range(n)] for n in (1, 5, 254, 255, 256, 600, 3000, 7)]
+    for words, found in zip(lines, linededup.simhashes(lines).tolist(), strict=True):
+        hashes = [xxhash.xxh64_intdigest(w) for w in set(words)]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert found == (bits - (1 << 64) if bits >> 63 else bits)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x17F), max_size=30))
+def test_normalised_lines(line):
+    plain = ["".join("0" if c.isdecimal() else c for c in chunk if c.isalnum()) for chunk in line.lower().split()]
+    assert [w.decode() for w in linededup.normalised(line)] == [w for w in plain if w]
+
+
 class Groups:
     def __init__(self, nodes):
         self.up = {n: n for n in nodes}
@@ -84,7 +100,7 @@ def brute_lines(docs):
                 order.append((d, i, w))
                 first[w] = min(first.get(w, (d, i)), (d, i))
     keys = list(first)
-    sims = linededup.simhashes([list(k) for k in keys], Memo(linededup._word_bits))
+    sims = linededup.simhashes([list(k) for k in keys]).tolist()
     groups = Groups(range(len(keys)))
     for i in range(len(keys)):
         for j in range(i):
@@ -131,11 +147,12 @@ def test_every_block_scheme_brings_near_hashes_together(spark, blocks):
         b = a
         for bit in r.sample(range(64), r.randint(0, 3)):
             b ^= 1 << bit
-        pairs += [(f"{i}a".encode(), a - (1 << 64) if a >> 63 else a), (f"{i}b".encode(), b - (1 << 64) if b >> 63 else b)]
-    rows = spark.createDataFrame(pairs, "node binary, simhash long")
-    none = spark.createDataFrame([], "node binary, component binary")
-    got = {(bytes(x["a"]), bytes(x["b"])) for x in linededup.far_pairs(rows, none, 3, blocks).collect()}
-    assert {(f"{i}a".encode(), f"{i}b".encode()) for i in range(60)} <= got
+        pairs += [(2 * i, a - (1 << 64) if a >> 63 else a), (2 * i + 1, b - (1 << 64) if b >> 63 else b)]
+    rows = spark.createDataFrame(pairs, "id long, simhash long")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {(x["a"], x["b"]) for x in linededup.far_pairs(rows, none, 3, blocks).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(60)} <= got
+    assert all((x["a"] < x["b"]) for x in linededup.hub_pairs(rows, 3).collect())
     assert linededup.blocks_for(1000) == 4 and linededup.blocks_for(10**9) > 4
 
 
@@ -176,6 +193,27 @@ def brute_groups(rows):
     return sorted(((d, len(s), None if d is None else groups.find(d) if s else d) for d, s in sets), key=str)
 
 
+def near_copies(seed):
+    """Copies of one text with up to ten words changed: most pairs are near, many are not linked."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(146)]
+    rows = []
+    for n in range(150):
+        copy = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4, 4, 5, 6, 8, 10)) if seed % 2 else r.randint(2, 6)):
+            copy[r.randrange(len(copy))] = f"e{r.randrange(60)}" if r.random() < 0.5 else f"x{n}-{r.randrange(10**6)}"
+        rows.append((n, " ".join(copy[: r.choice((146, 146, 140, 130))])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dense_groups_against_brute_force(spark, seed):
+    rows = near_copies(seed)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in jaccardjoin.link_documents(frame).collect()]
+    assert sorted(got, key=str) == brute_groups(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_join_against_brute_force(spark, seed):
     rows = similar_texts(seed)
@@ -202,18 +240,24 @@ def test_linked_sets_meet_in_a_segment_whatever_is_left_out(n, seed):
     least = -(-6 * n // 7)
     drop = int(r.integers(0, n - least + 1))
     b = np.unique(np.concatenate((a[drop:], extra[: int(r.integers(0, n))])))
-    if len(b) < len(a) or not shingles.linked(a, b):
+    if len(b) < len(a) or not shingles.linked(len(a), len(b), shingles.overlap(a, b)):
         return
-    sigs, kinds = shingles.signatures(a)
+    sigs, asks = shingles.signatures(a)
     other, _ = shingles.signatures(b)
-    x, y = shingles.own_segments(a)
-    need = shingles.needed(len(a))
-    assert int((kinds == 1).sum()) == x
-    if x >= need:
-        missed = int((~np.isin(sigs[kinds == 1], other)).sum())
-        assert missed < need
-    elif x + y >= need:
-        assert np.isin(sigs[kinds > 0], other).any()
+    assert int(asks.sum()) == shingles.own_segments(a)
+    missed = int((~np.isin(sigs[asks], other)).sum())
+    assert missed < shingles.needed(len(a)) and 7 * missed <= 4 * len(a) - 3 * len(b)
+
+
+def test_crowded_segments_are_found_by_their_parts(monkeypatch):
+    monkeypatch.setattr(shingles, "segment_bits", lambda band: 3)
+    r = np.random.default_rng(2)
+    for _ in range(30):
+        b = np.unique(r.integers(0, 2**64, 24, dtype=np.uint64))
+        a = b[r.random(len(b)) < 0.93]
+        sigs, asks = shingles.signatures(a)
+        other, _ = shingles.signatures(b)
+        assert len(a) >= 1 and np.isin(sigs[asks], other).all()
 
 
 def test_shingle_hashes_are_those_of_the_words():
