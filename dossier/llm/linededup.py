@@ -56,14 +56,14 @@ def simhashes(lines: list[list[bytes]]):
     of at most 255 words.
     """
     import numpy as np
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_64_intdigest
 
     flat: list[int] = []
     sizes = np.empty(len(lines), dtype=np.int64)
     for i, words in enumerate(lines):
         distinct = set(words)
         sizes[i] = len(distinct)
-        flat.extend(map(xxh64_intdigest, distinct))
+        flat.extend(map(xxh3_64_intdigest, distinct))
     hashes = np.array(flat, dtype=np.uint64)
     runs = -(-sizes // 255)
     first = np.cumsum(runs) - runs

@@ -35,7 +35,7 @@ def test_simhash_counts_every_word():
     r = random.Random(6)
     lines = [[b"w%d" % r.randrange(5000) for _ in range(n)] for n in (1, 5, 254, 255, 256, 600, 3000, 7)]
     for words, found in zip(lines, linededup.simhashes(lines).tolist(), strict=True):
-        hashes = [xxhash.xxh64_intdigest(w) for w in set(words)]
+        hashes = [xxhash.xxh3_64_intdigest(w) for w in set(words)]
         bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert found == (bits - (1 << 64) if bits >> 63 else bits)
 
