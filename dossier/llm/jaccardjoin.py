@@ -12,44 +12,46 @@ from .shingles import BAND_BITS
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """``doc``, ``key`` (digest of its words), ``n`` (set size) and the segments it may ask for (``x``)."""
+    """``doc``, ``key`` (digest of its words), ``node`` (number of its text), ``n`` (set size) and the segments it may ask for (``x``)."""
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.shingles import content_key, own_segments, plain_words, shingle_set
+        from dossier.llm.shingles import content_key, own_segments, plain_words, shingle_set, text_node
 
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 words = plain_words(text.as_py())
                 found = shingle_set(words)
-                rows.append((content_key(words), len(found), own_segments(found)))
-            keys, *numbers = zip(*rows, strict=True) if rows else ((), (), ())
+                key = content_key(words)
+                rows.append((key, text_node(key), len(found), own_segments(found)))
+            keys, *numbers = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in numbers]], ["doc", "key", "n", "x"]
+                [batch.column(0), pa.array(keys, pa.binary()), *[pa.array(c, pa.int64()) for c in numbers]], ["doc", "key", "node", "n", "x"]
             )
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, key binary, n long, x long")
+    return docs.mapInArrow(run, f"doc {kind}, key binary, node long, n long, x long")
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """``sig``, ``node`` and ``asks`` (whether it may) of the indexed segments of every text.
+    """``sig``, ``node`` (number of the text) and ``asks`` (whether it may) of the indexed segments of every text.
 
-    Of equal texts in one task only the first is indexed.
+    Of equal texts in one task only the first is indexed, under the number they
+    share; each task that reads such a text gives its rows again.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from dossier.llm.shingles import content_key, plain_words, shingle_set, signatures
+        from dossier.llm.shingles import content_key, plain_words, shingle_set, signatures, text_node
 
         seen = set()
         for batch in batches:
             found, asking, rows, size = [], [], [], 0
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(0)):
                 words = plain_words(text.as_py())
                 key = content_key(words)
                 if words and key not in seen:
@@ -57,16 +59,14 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     sigs, asks = signatures(shingle_set(words))
                     found.append(sigs)
                     asking.append(asks)
-                    rows.append(np.full(len(sigs), row))
+                    rows.append(np.full(len(sigs), text_node(key)))
                     size += len(sigs)
                 if found and (size > 200_000 or row + 1 == batch.num_rows):
-                    nodes = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    columns = [pa.array(np.concatenate(found).view(np.int64)), nodes, pa.array(np.concatenate(asking))]
-                    yield pa.RecordBatch.from_arrays(columns, ["sig", "node", "asks"])
+                    columns = [np.concatenate(found).view(np.int64), np.concatenate(rows), np.concatenate(asking)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "asks"])
                     found, asking, rows, size = [], [], [], 0
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return docs.filter("doc is not null").mapInArrow(run, f"sig long, node {kind}, asks boolean")
+    return docs.filter("doc is not null").select("text").mapInArrow(run, "sig long, node long, asks boolean")
 
 
 def needed(n: Column) -> Column:
@@ -143,13 +143,12 @@ def _overlap_left(x: str, y: str) -> Column:
 def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
     """All pairs that a bucket brings together, that may be linked, and that lie in different groups.
 
-    ``checked`` holds the overlaps of sets with their hubs; each set goes by the
-    hub it overlaps most.
+    ``groups`` holds the component of every node; ``checked`` holds the overlaps
+    of sets with their hubs; each set goes by the hub it overlaps most.
     """
     best = checked.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"))
     best = best.select(F.col("b").alias("node"), F.col("best.a").alias("ref"), F.col("best.same").alias("same"))
-    rows = buckets.drop("hub").join(groups, "node", "left").join(best, "node", "left")
-    rows = checkpointed(rows.withColumn("component", F.coalesce("component", "node")))
+    rows = checkpointed(buckets.drop("hub").join(groups, "node").join(best, "node", "left"))
     mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     rows = rows.join(mixed.select("sig"), "sig", "left_semi")
     x, y = rows.filter("probe").alias("x"), rows.alias("y")
@@ -164,7 +163,6 @@ def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame) -> Data
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs with the size of their overlap (``same``) and whether they are ``linked``."""
-    kind = sets.schema["node"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
@@ -184,37 +182,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, f"a {kind}, b {kind}, same long, linked boolean")
+    return both.mapInArrow(run, "a long, b long, same long, linked boolean")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and its sorted shingle hashes as bytes, for some of the documents."""
+    """``node`` and its sorted shingle hashes as bytes, for texts given by ``node`` and the id of a row that has it (``rep``).
+
+    A row of that id with another text does not count.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.shingles import plain_words, shingle_set
+        from dossier.llm.shingles import content_key, plain_words, shingle_set, text_node
 
+        seen = set()
         for batch in batches:
-            found = [shingle_set(plain_words(t.as_py())).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+            rows = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = plain_words(text.as_py())
+                if node not in seen and text_node(content_key(words)) == node:
+                    seen.add(node)
+                    rows.append((node, shingle_set(words).tobytes()))
+            found, sets = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    chosen = docs.join(nodes.select(F.col("node").alias("doc")).hint("shuffle_hash"), "doc", "left_semi")
-    return chosen.select("doc", "text").mapInArrow(run, f"node {kind}, shingles binary")
+    chosen = docs.join(nodes.select(F.col("rep").alias("doc"), "node").hint("shuffle_hash"), "doc")
+    return chosen.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def unindexed_pairs(infos: DataFrame) -> DataFrame:
+def unindexed_pairs(reps: DataFrame) -> DataFrame:
     """Sets with too few segments to ask in, with every set they could be linked to by size.
 
     A matter of hash luck so rare that the table is all but always empty.
     """
-    odd = infos.filter((F.col("n") > 0) & (F.col("x") < needed(F.col("n")))).select(F.col("rep").alias("x"), F.col("n").alias("m"))
+    odd = reps.filter(F.col("x") < needed(F.col("n"))).select(F.col("node").alias("x"), F.col("n").alias("m"))
     sizes = odd.select("x", F.explode(F.sequence(F.col("m"), F.floor(F.col("m") * 4 / 3))).alias("n"))
-    met = sizes.join(infos.select(F.col("rep").alias("y"), "n"), "n").filter("x <> y")
+    met = sizes.join(reps.select(F.col("node").alias("y"), "n"), "n").filter("x <> y")
     return met.select(*_pair(F.col("x"), F.col("y")))
 
 
+def document_links(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Linked pairs of texts as pairs of the smallest ids that have them."""
+    both = pairs.select("a", "b").join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a")
+    both = both.join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
+    return both.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+
 def shared_ids(infos: DataFrame) -> DataFrame:
     """Links between the texts of rows that share an id."""
     rows = infos.filter("n > 0 and doc is not null").select("doc", "rep")
@@ -249,23 +263,27 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     infos = checkpointed(joined.withColumn("rep", F.coalesce("_rep", "doc")).drop("_rep", "key"))
 
     of_sig = Window.partitionBy("sig")
-    shared = signature_rows(docs).withColumn("k", F.count(F.lit(1)).over(of_sig)).filter("k > 1")
-    reps = infos.filter("doc = rep and n > 0").select(F.col("doc").alias("node"), "n", "x").dropDuplicates(["node"])
-    shared = allocated(shared.join(reps, "node")).select("sig", "node", "n", "probe", "alone", "weight")
+    shared = signature_rows(docs).withColumn("_low", F.min("node").over(of_sig)).withColumn("_high", F.max("node").over(of_sig))
+    shared = shared.filter("_low <> _high").dropDuplicates(["sig", "node"]).select("sig", "node", "asks")
+    shared = shared.withColumn("k", F.count(F.lit(1)).over(of_sig))
+    reps = checkpointed(infos.filter("doc = rep and n > 0").select("node", "n", "x", "rep").dropDuplicates(["node"]))
+    shared = allocated(shared.join(reps.drop("rep"), "node")).select("sig", "node", "n", "probe", "alone", "weight")
     buckets = shared.withColumn("asked", F.max("probe").over(of_sig)).withColumn("k", F.count(F.lit(1)).over(of_sig))
     buckets = buckets.withColumn("hub", F.max(F.struct("weight", "node", "n", "probe", "alone")).over(of_sig))
     buckets = checkpointed(buckets.filter("asked and k > 1").drop("asked", "k", "weight"))
 
-    first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(infos)).distinct())
+    first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(reps)).distinct())
     nodes = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
-    sets = checkpointed(sets_of(docs, nodes))
+    sets = checkpointed(sets_of(docs, reps.join(nodes, "node", "left_semi")))
     checked = checkpointed(verified(first, sets))
-    links = checked.filter("linked").select("a", "b").union(shared_ids(infos))
+    links = checkpointed(document_links(checked.filter("linked"), reps).union(shared_ids(infos)))
     groups = connected(links)
+    tied = reps.select("node", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    tied = tied.select("node", F.coalesce("component", "rep").alias("component"))
     done = first.select(*_pair(F.col("a"), F.col("b")))
-    second = checkpointed(far_pairs(buckets, groups, checked).join(done, ["a", "b"], "left_anti"))
+    second = checkpointed(far_pairs(buckets, tied, checked).join(done, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        groups = connected(links.union(verified(second, sets).filter("linked").select("a", "b")))
+        groups = connected(links.union(document_links(verified(second, sets).filter("linked"), reps)))
     placed = infos.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return placed.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))

@@ -49,6 +49,11 @@ def content_key(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
+def text_node(key: bytes) -> int:
+    """Signed 64-bit number of a text, from its content key."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def shingle_set(words: bytes):
     """Sorted 64-bit hashes of the distinct five-word shingles; of fewer words the whole is one.
 

@@ -267,3 +267,17 @@ def test_shingle_hashes_are_those_of_the_words():
     assert len(shingles.shingle_set(b"a b")) == 1 and len(shingles.shingle_set(b"")) == 0
     again = shingles.shingle_set(shingles.plain_words("zzz the cat sat on the"))
     assert np.isin(again, sets).sum() == 1
+
+
+def test_copies_read_before_the_smallest_id_keep_their_links(spark):
+    r = random.Random(11)
+    rows, expected = [], {}
+    for n in range(6):
+        base = [f"t{n}-{i}" for i in range(120)]
+        variant = list(base)
+        variant[r.randrange(120)] = "changed"
+        rows += [(100 + n, " ".join(base)), (50 + n, " ".join(base)), (10 + n, " ".join(base)), (200 + n, " ".join(variant))]
+        expected |= {d + n: 10 + n for d in (100, 50, 10, 200)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {x["doc"]: x["component"] for x in jaccardjoin.link_documents(frame).collect()} == expected
+    assert sorted(x["doc_id"] for x in jaccardjoin.keep_one(frame).collect()) == list(range(10, 16))
