@@ -252,7 +252,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Shingles are compared by 64-bit hashes. A null or empty text has no shingles
     and links with nothing. Equal texts are one set, whatever their number. A
     null id links with nothing and has a null component; rows that share an id
-    are one document, linked by any of its texts. An empty table gives no rows;
+    are one document, linked by any of its texts, each compared by its own size. An empty table gives no rows;
     other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))

@@ -281,3 +281,15 @@ def test_copies_read_before_the_smallest_id_keep_their_links(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert {x["doc"]: x["component"] for x in jaccardjoin.link_documents(frame).collect()} == expected
     assert sorted(x["doc_id"] for x in jaccardjoin.keep_one(frame).collect()) == list(range(10, 16))
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_texts_of_one_id_are_linked_each_by_its_own_size(spark, kind, turned):
+    short, long = [f"s{i}" for i in range(14)], [f"l{i}" for i in range(1004)]
+    rows = [(7, " ".join(long)), (7, " ".join(short)), (8, " ".join([*short, "more"])), (9, " ".join([*long[:-1], "end"])), (6, "some other words of no one else")]
+    rows = [(str(d) if kind == "string" else d, t) for d, t in (rows[::-1] if turned else rows)]
+    frame = spark.createDataFrame(rows, f"doc_id {kind}, text string").coalesce(1)
+    got = [tuple(x) for x in jaccardjoin.link_documents(frame).collect()]
+    assert sorted(got, key=str) == brute_groups(rows)
+    assert len({c for _, _, c in got}) == 2
