@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -15,10 +16,16 @@ from ..session import checkpointed
 from .components import connected
 
 LEAST_WORDS = 5
-DISTANCE = 3
 SIMILARITY = 0.9
 BITS = 64
+# SimHash bits in which alike lines may differ: all of them, so that the edit similarity alone decides.
+DISTANCE = BITS
+# Up to so many bits, blocks of the SimHash find all pairs.
+NEAR = 3
 BUCKET_LINES = 64
+GRAM_WORDS = 5
+MOST_WINDOW = 16
+HUB_ROUNDS = 3
 
 NOT_WORD = re.compile(r"[\W_]+")
 DIGIT = re.compile(r"\d")
@@ -77,6 +84,74 @@ def simhashes(lines: list[list[bytes]]):
     return np.packbits(most.reshape(len(lines), 64), axis=1, bitorder="little").view("<i8").ravel()
 
 
+def edits(words: int, similarity: float) -> int:
+    """Edits that a line and one of at most as many words may be apart."""
+    return int((1 - similarity) * words + 1e-9)
+
+
+@functools.lru_cache(1 << 16)
+def common_run(words: int, similarity: float) -> int:
+    """Words in a row that a line of that length shares with every line alike; 0 if only equal ones are.
+
+    Of m words of the longer line all but d edits stay, in at most d + 1 runs.
+    """
+    least = 0
+    longer = words
+    while longer - edits(longer, similarity) <= words:
+        d = edits(longer, similarity)
+        if d:
+            run = -(-(longer - d) // (d + 1))
+            least = min(least or run, run)
+        longer += 1
+    return least
+
+
+@functools.lru_cache(16)
+def gram_words(similarity: float) -> int:
+    """Words of a gram: no more than the shortest run that lines alike share."""
+    return min([GRAM_WORDS, *(run for n in range(1, 500) if (run := common_run(n, similarity)))])
+
+
+def run_keys(lines: list[list[bytes]], similarity: float):
+    """Keys of each line, of which lines alike but not equal share one, and two numbers that sketch its words.
+
+    A key is the smallest gram hash in a window of grams no longer than the run
+    of words that the line shares with any line alike; a window inside that run
+    gives both lines a key of the one with the wider windows. The sketch has a
+    bit for the words that occur an odd number of times, so that an edit turns
+    at most two.
+    """
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    hashes = np.fromiter((xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    bits = np.uint64(1) << (hashes & np.uint64(63))
+    high = (hashes & np.uint64(64)) != 0
+    sketch = [np.bitwise_xor.reduceat(np.where(high == side, bits, np.uint64(0)), starts).view(np.int64) for side in (False, True)]
+
+    gram = gram_words(similarity)
+    windows = np.array([min(max(common_run(n, similarity) - gram + 1, 0), MOST_WINDOW) for n in sizes.tolist()], dtype=np.int64)
+    keys = [()] * len(lines)
+    if not windows.any():
+        return keys, sketch
+    least = np.zeros(max(0, len(hashes) - gram + 1), dtype=np.uint64)
+    for i in range(gram):
+        least = (least + hashes[i : i + len(least)]) * np.uint64(0x9E3779B97F4A7C15)
+        least ^= least >> np.uint64(29)
+    grams = least * np.uint64(0xBF58476D1CE4E5B9)
+    least = grams
+    for window in range(1, int(windows.max()) + 1):
+        if window > 1:
+            least = np.minimum(least[:-1], grams[window - 1 :])
+        chosen = np.flatnonzero(windows == window)
+        for i, first, last in zip(chosen.tolist(), starts[chosen].tolist(), (starts + sizes)[chosen].tolist(), strict=True):
+            found = least[first : last - gram - window + 2]
+            keys[i] = np.unique(found).view(np.int64)
+    return keys, sketch
+
+
 def edit_distance(a: list, b: list) -> int:
     """Insertions, deletions and exchanges of words between two lines, bit-parallel."""
     if not a or not b:
@@ -106,25 +181,40 @@ def alike(a: list, b: list, similarity: float) -> bool:
     return edit_distance(a, b) <= (1 - similarity) * longest + 1e-9
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """``doc``, ``line`` (from 0), whether it is the ``first`` such line of its text, ``node`` (digest) and ``simhash``.
+def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, similarity: float, distance: int) -> DataFrame:
+    """``doc``, ``line`` (from 0), whether it is the ``first`` such line of its text, ``node`` (digest) and what finds lines alike.
 
-    Only lines of at least ``least_words`` words. Rows without an id are left out.
+    That is ``simhash``, if ``distance`` bounds it, and, unless blocks of it do,
+    the number of words ``n``, the sketch ``low`` and ``high`` and, once a task,
+    the ``keys``. Only lines of at least ``least_words`` words. Rows without an
+    id are left out.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import digest, normalised, simhashes
+        from dossier.llm.linededup import digest, normalised, run_keys, simhashes
 
-        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), pa.int64()]
-        held, words, size = [], [], 0
+        names = ["doc", "line", "first", "node", "simhash", "n", "low", "high", "keys"]
+        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+        held, words, size, given = [], [], 0, set()
 
         def table():
-            columns = [*zip(*held, strict=True), simhashes(words)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "line", "first", "node", "simhash"]
-            )
+            columns = list(zip(*held, strict=True))
+            nothing = [None] * len(held)
+            columns.append(simhashes(words) if distance < BITS else nothing)
+            if distance <= NEAR:
+                columns += [nothing] * 4
+            else:
+                keys, sketch = run_keys(words, similarity)
+                if len(given) > 1_000_000:
+                    given.clear()
+                for i, name in enumerate(columns[3]):
+                    if name in given:
+                        keys[i] = None
+                    given.add(name)
+                columns += [[len(w) for w in words], *sketch, keys]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -151,10 +241,11 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int) ->
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    return chosen.mapInArrow(run, f"doc {kind}, line int, first boolean, node binary, simhash long")
+    columns = "line int, first boolean, node binary, simhash long, n long, low long, high long, keys array<long>"
+    return chosen.mapInArrow(run, f"doc {kind}, {columns}")
 
 
-def blocks_for(lines: int, distance: int = DISTANCE) -> int:
+def blocks_for(lines: int, distance: int = NEAR) -> int:
     """Number of blocks whose keys keep buckets near ``BUCKET_LINES`` lines at that many lines.
 
     With b blocks, lines within ``distance`` agree in some b - distance of them.
@@ -211,6 +302,58 @@ def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -
     return a.join(b, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def crowded_keys(keyed: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The lines (``id``, ``n``, ``low``, ``high``, ``simhash``) of every ``key`` that several share."""
+    several = keyed.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_z")).filter("_a <> _z").select("key")
+    return keyed.join(several, "key").distinct().join(signatures, "id")
+
+
+def _turned(x: str, y: str) -> Column:
+    """Bits in which the sketches of two lines differ."""
+    low, high = (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("low", "high"))
+    return low + high
+
+
+def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
+    """Whether lengths and sketches leave it possible that two lines are alike."""
+    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "low", "high", "simhash")} for side in (x, y))
+    most = F.floor(F.greatest(a["n"], b["n"]) * F.lit(1 - similarity) + F.lit(1e-9))
+    may = (F.abs(a["n"] - b["n"]) <= most) & (_turned(x, y) <= most * 2)
+    return may if distance >= BITS else may & _near(a["simhash"], b["simhash"], distance)
+
+
+def placed_lines(crowds: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the keys that bring lines of several groups together, with the ``component`` of each line."""
+    rows = checkpointed(crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).filter("_a <> _z").select("key")
+    return rows.join(mixed, "key", "left_semi")
+
+
+def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float) -> DataFrame:
+    """Each line with the nearest of its buckets' hubs that it may be alike and is in no group with.
+
+    A linear number of pairs. A bucket's hub is drawn by a hash, anew at every turn.
+    """
+    line = F.struct("id", "component", "n", "low", "high", "simhash")
+    hubs = rows.groupBy("key").agg(F.min_by(line, F.xxhash64("id", "key", F.lit(turn))).alias("hub"))
+    met = rows.select("key", line.alias("line")).join(hubs, "key").filter("line.component <> hub.component")
+    met = met.filter(_may_be_alike("line", "hub", distance, similarity))
+    best = met.groupBy(F.col("line.id").alias("id")).agg(F.min(F.struct(_turned("line", "hub").alias("turned"), "hub.id")).alias("best"))
+    pair = F.col("id"), F.col("best.id")
+    return best.select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).distinct()
+
+
+def far_run_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """All pairs of lines that share a key, may be alike and are not yet in one group."""
+    meet = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.component") != F.col("y.component"))
+        & _may_be_alike("x", "y", distance, similarity)
+    )
+    return rows.alias("x").join(rows.alias("y"), meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id`` and the ``words`` of the line's first occurrence."""
     places = lines.join(ids, "id").select("id", "doc", "line")
@@ -262,35 +405,52 @@ def repeated_lines(
 ) -> DataFrame:
     """``doc`` and ``lines``: number (from 0, split at line feeds) and digest of its lines that go.
 
-    Lines are alike when their SimHashes differ in at most ``distance`` bits and
-    their word edit similarity (1 - distance / longer line) is ``similarity`` or
-    more; equal normalised lines always are. Of each connected group the
+    Lines are alike when their word edit similarity (1 - distance / longer line)
+    is ``similarity`` or more and, if ``distance`` is given, their SimHashes
+    differ in at most so many bits; equal normalised lines always are. Of each connected group the
     occurrence with the smallest (id, line) stays. Lines of fewer than
-    ``least_words`` words always stay. First every line is compared with one hub
-    per narrow bucket, which ties dense groups with a linear number of pairs; then
-    all pairs that pigeonhole blocks bring together and that lie in different
-    groups. Only narrow rows meet; texts are fetched for candidates alone.
+    ``least_words`` words always stay. First every line is compared with hubs of
+    its buckets, which ties dense groups with a linear number of pairs; then all
+    pairs that lie in different groups and share a run of words that lines alike
+    must share or, for few SimHash bits, that pigeonhole blocks bring together.
+    Only narrow rows meet; texts are fetched for candidates alone.
     """
-    lines = checkpointed(line_rows(docs, id_col, text_col, least_words))
+    by_blocks = distance <= NEAR
+    lines = checkpointed(line_rows(docs, id_col, text_col, least_words, similarity, distance))
     doc = F.when(F.col("first"), F.col("doc"))
     distinct = lines.groupBy("node").agg(
-        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), F.max("simhash").alias("simhash"), F.count(F.lit(1)).alias("n")
+        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), *[F.max(c).alias(c) for c in ("simhash", "n", "low", "high")], F.count(F.lit(1)).alias("_times")
     )
     name = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
     distinct = checkpointed(distinct.withColumn("id", name))
-    signatures = distinct.select("id", "simhash")
+    signatures = distinct.select("id", "simhash", "n", "low", "high")
 
     def texts(ids):
         return texts_of(ids, distinct, docs, id_col, text_col)
 
-    links = checkpointed(verified(hub_pairs(signatures, distance), texts, similarity))
-    groups = connected(links).withColumnRenamed("node", "id")
-    more = verified(far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance)), texts, similarity)
-    more = checkpointed(more)
+    if by_blocks:
+        links = checkpointed(verified(hub_pairs(signatures, distance), texts, similarity))
+        groups = connected(links).withColumnRenamed("node", "id")
+        second = far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance))
+    else:
+        keyed = lines.select(name.alias("id"), F.explode("keys").alias("key"))
+        crowds = checkpointed(crowded_keys(keyed, signatures))
+        links = signatures.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        groups = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        rows = placed_lines(crowds, groups)
+        for turn in range(HUB_ROUNDS):
+            found = checkpointed(verified(hub_run_pairs(rows, turn, distance, similarity), texts, similarity))
+            if found.isEmpty():
+                break
+            links = checkpointed(links.union(found))
+            groups = connected(links).withColumnRenamed("node", "id")
+            rows = placed_lines(crowds, groups)
+        second = far_run_pairs(rows, distance, similarity)
+    more = checkpointed(verified(second, texts, similarity))
     if not more.isEmpty():
         groups = connected(links.union(more)).withColumnRenamed("node", "id")
     # A line that occurs once and has no group stays; any other may have something to remove.
-    placed = distinct.join(groups, "id", "left").filter("n > 1 or component is not null")
+    placed = distinct.join(groups, "id", "left").filter("_times > 1 or component is not null")
     placed = placed.withColumn("component", F.coalesce("component", "id")).select("node", "component", "doc", "line")
     first = placed.groupBy("component").agg(F.min(F.struct("doc", "line")).alias("kept"))
     kept = placed.select("node", "component").join(first, "component").select("node", "kept")

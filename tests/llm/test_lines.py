@@ -293,3 +293,61 @@ def test_texts_of_one_id_are_linked_each_by_its_own_size(spark, kind, turned):
     got = [tuple(x) for x in jaccardjoin.link_documents(frame).collect()]
     assert sorted(got, key=str) == brute_groups(rows)
     assert len({c for _, _, c in got}) == 2
+
+
+def letters(r):
+    return "".join(r.choices("abcdefghij", k=7))
+
+
+def edited_lines(seed):
+    """Lines and copies of them about as many edits apart as word edit similarity 0.9 allows, and one more."""
+    r = random.Random(seed)
+    docs = []
+    for n in [*range(5, 42), 50, 60, 79, 80, 100, 119, 200]:
+        for _ in range(4):
+            base = [letters(r) for _ in range(n)]
+            copy = list(base)
+            most = n // 10
+            for k in range(most + r.randint(0, 1)):
+                at = min(len(copy) - 1, (k + 1) * len(copy) // (most + 1)) if r.random() < 0.7 else r.randrange(len(copy))
+                copy[at : at + r.randint(0, 1)] = [letters(r)] * r.randint(0, 1)
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
+    return docs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_lines_of_the_edit_similarity_are_found(spark, seed):
+    docs = edited_lines(seed)
+    lines = [t.split() for _, t in docs]
+    gone, fuzzy = set(), 0
+    for i in range(0, len(docs), 2):
+        a, b = lines[i], lines[i + 1]
+        if min(len(a), len(b)) >= 5 and 10 * plain_distance(a, b) <= max(len(a), len(b)):
+            gone.add(i + 1)
+            fuzzy += a != b
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"] for x in linededup.dedup_lines(frame).collect() if x["_n_removed"]}
+    assert got == gone and fuzzy > 50
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(5, 120), st.integers(0, 2**32), st.sampled_from([0.9, 0.8, 0.95]))
+def test_lines_alike_share_a_key(n, seed, similarity):
+    r = random.Random(seed)
+    a = [b"%d" % r.randrange(50) for _ in range(n)]
+    b = list(a)
+    for _ in range(r.randint(0, linededup.edits(n, similarity) + 1)):
+        at = r.randrange(len(b))
+        b[at : at + r.randint(0, 1)] = [b"%d" % r.randrange(60)] * r.randint(0, 1)
+    if b and a != b and linededup.alike(a, b, similarity):
+        (x, y), (low, high) = linededup.run_keys([a, b], similarity)
+        assert set(x.tolist()) & set(y.tolist())
+        turned = sum((int(v[0] ^ v[1]) & (1 << 64) - 1).bit_count() for v in (low, high))
+        assert turned <= 2 * linededup.edits(max(len(a), len(b)), similarity)
+
+
+def test_a_bound_on_simhash_bits_still_holds(spark):
+    docs = edited_lines(3)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    removed = [{x["doc_id"] for x in linededup.dedup_lines(frame, distance=d).collect() if x["_n_removed"]} for d in (3, 10, 64)]
+    assert removed[0] <= removed[1] <= removed[2] and len(removed[0]) < len(removed[2])
