@@ -16,6 +16,7 @@ from ..session import checkpointed
 from .components import connected
 
 LEAST_WORDS = 5
+LEAST_LETTERS = 20
 SIMILARITY = 0.9
 BITS = 64
 # SimHash bits in which alike lines may differ: all of them, so that the edit similarity alone decides.
@@ -29,6 +30,8 @@ HUB_ROUNDS = 3
 
 NOT_WORD = re.compile(r"[\W_]+")
 DIGIT = re.compile(r"\d")
+# Thai, Lao, Tibetan, Burmese, Khmer, Japanese and Chinese: written without spaces, so that each letter is a word.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def _plain(text: str) -> str:
@@ -43,14 +46,22 @@ DROPPED = bytes(b for b, c in enumerate(_WESTERN) if not c.isspace() and not _pl
 
 
 def normalised(line: str) -> list[bytes]:
-    """Words of a line as UTF-8: lower case, every digit a 0, without punctuation."""
+    """Words of a line as UTF-8, in scripts without spaces its letters: lower case, every digit a 0, without punctuation."""
     try:
         plain = line.encode("latin-1").translate(TABLE, DROPPED)
     except UnicodeEncodeError:
-        return _plain(line).encode("utf-8", "surrogatepass").split()
+        return UNSPACED.sub(r" \g<0> ", _plain(line)).encode("utf-8", "surrogatepass").split()
     return plain.split() if line.isascii() else plain.decode("latin-1").encode().split()
 
 
+def long_enough(words: list[bytes], least_words: int) -> bool:
+    """Whether a line has so many words parted by spaces, or ``LEAST_LETTERS`` letters and digits in all."""
+    if len(words) >= least_words and all(map(bytes.isascii, words)):
+        return True
+    text = b" ".join(words).decode("utf-8", "surrogatepass")
+    return len(text) - text.count(" ") >= LEAST_LETTERS or len(UNSPACED.sub(" ", text).split()) >= least_words
+
+
 def digest(words: list[bytes]) -> bytes:
     """128 bits that name a normalised line; the first 60 are its id in the similarity step."""
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
@@ -186,18 +197,19 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
 
     That is ``simhash``, if ``distance`` bounds it, and, unless blocks of it do,
     the number of words ``n``, the sketch ``low`` and ``high`` and, once a task,
-    the ``keys``. Only lines of at least ``least_words`` words. Rows without an
-    id are left out.
+    the ``keys``. Only lines that are ``long_enough``. Rows without an id are
+    left out.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import digest, normalised, run_keys, simhashes
+        from dossier.llm.linededup import digest, long_enough, normalised, run_keys, simhashes
 
         names = ["doc", "line", "first", "node", "simhash", "n", "low", "high", "keys"]
         kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
         held, words, size, given = [], [], 0, set()
+        shortest = min(2 * least_words - 1, LEAST_LETTERS)
 
         def table():
             columns = list(zip(*held, strict=True))
@@ -220,9 +232,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc, seen = doc.as_py(), set()
                 for number, line in enumerate((text.as_py() or "").split("\n")):
-                    if len(line) >= 2 * least_words - 1:
+                    if len(line) >= shortest:
                         found = normalised(line)
-                        if len(found) >= least_words:
+                        if found and long_enough(found, least_words):
                             name = digest(found)
                             held.append((doc, number, name not in seen, name))
                             seen.add(name)
@@ -409,7 +421,8 @@ def repeated_lines(
     is ``similarity`` or more and, if ``distance`` is given, their SimHashes
     differ in at most so many bits; equal normalised lines always are. Of each connected group the
     occurrence with the smallest (id, line) stays. Lines of fewer than
-    ``least_words`` words always stay. First every line is compared with hubs of
+    ``least_words`` words parted by spaces and of fewer than ``LEAST_LETTERS``
+    letters and digits always stay; scripts without spaces have letters for words. First every line is compared with hubs of
     its buckets, which ties dense groups with a linear number of pairs; then all
     pairs that lie in different groups and share a run of words that lines alike
     must share or, for few SimHash bits, that pigeonhole blocks bring together.

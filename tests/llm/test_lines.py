@@ -351,3 +351,15 @@ def test_a_bound_on_simhash_bits_still_holds(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     removed = [{x["doc_id"] for x in linededup.dedup_lines(frame, distance=d).collect() if x["_n_removed"]} for d in (3, 10, 64)]
     assert removed[0] <= removed[1] <= removed[2] and len(removed[0]) < len(removed[2])
+
+
+def test_long_lines_of_few_words_are_compared(spark):
+    chinese = "研究人员昨天公布了一项关于城市空气质量的新报告并提出建议"
+    changed = chinese.replace("昨天", "今天")
+    other = "这本书讲述了一个完全不同的故事发生在很久以前的小村庄里面"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงและนครที่มีประชากรมากที่สุดของประเทศไทย"
+    few = "Internationalisation considerations overview"
+    lines = [chinese, chinese, changed, other, thai, thai, few, few.upper(), "All rights reserved.", "All rights reserved.", "版权所有。不得转载", "版权所有。不得转载"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x["doc_id"] for x in linededup.dedup_lines(frame).collect() if x["_n_removed"]}
+    assert got == {1, 2, 5, 7}
