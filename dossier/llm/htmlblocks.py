@@ -12,7 +12,8 @@ BLOCK = frozenset(
     "search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template noframes iframe xmp svg math object canvas audio video".split())
+RAW = frozenset("script style textarea noframes iframe xmp".split())
+EMBEDDED = frozenset("template object canvas audio video".split())
 CLOSES_P = BLOCK - frozenset("button option optgroup".split())
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -32,6 +33,7 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+TEMPLATE = re.compile(r"<template[\s/>]", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
@@ -57,7 +59,9 @@ def blocks(page: str | None) -> list[Block]:
 
     White space inside a block becomes one space, character references are
     decoded, empty blocks are left out. Unclosed and stray tags are repaired the
-    way browsers do for paragraphs, list items and table cells.
+    way browsers do for paragraphs, list items and table cells. Formulas and
+    drawings belong to the text around them; text inside other embedded elements
+    is a block of its own, and what a template holds is not shown.
     """
     page = page or ""
     found: list[Block] = []
@@ -65,12 +69,14 @@ def blocks(page: str | None) -> list[Block]:
     path: tuple = ()
     pieces: list[str] = []
     linked = links = 0
+    moved = False
+    templates = TEMPLATE.search(page) is not None
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text:
+            if text and not (templates and any(tag == "template" for tag, _ in path)):
                 found.append(Block(text, path, min(linked, len(text))))
             pieces.clear()
         linked = 0
@@ -88,6 +94,9 @@ def blocks(page: str | None) -> list[Block]:
         at = token.end()
         text = token["text"]
         if text is not None:
+            if moved and not text.isspace():
+                flush()
+                path, moved = tuple(stack), False
             decoded = html.unescape(text) if "&" in text else text
             pieces.append(decoded)
             if links:
@@ -105,20 +114,27 @@ def blocks(page: str | None) -> list[Block]:
             if tag in BLOCK:
                 flush()
                 close({tag}, set())
-                path = tuple(stack)
+                path, moved = tuple(stack), False
                 links = 0
+            elif tag in EMBEDDED:
+                close({tag}, set())
+                moved = path != tuple(stack)
         elif tag in RAW:
             if not token["rest"].rstrip().endswith("/"):
                 end = RAW_END[tag].search(page, token.end())
                 at = end.end() if end else len(page)
+        elif tag in EMBEDDED:
+            stack.append((tag, _names(token["rest"])))
+            moved = True
         elif tag in BLOCK:
             flush()
             if tag in CLOSES_P:
-                close({"p"}, {"button", "table", "td", "th", "li", "div", "article", "section", "aside", "form"})
+                close({"p"}, {"button", "table", "td", "th", "li", "div", "article", "section", "aside", "form", "object", "template"})
             if tag in SIBLINGS:
-                close(*SIBLINGS[tag])
+                names, scope = SIBLINGS[tag]
+                close(names, scope | {"object", "template"})
             if tag not in VOID:
                 stack.append((tag, _names(token["rest"])))
-            path = tuple(stack)
+            path, moved = tuple(stack), False
     flush()
     return found

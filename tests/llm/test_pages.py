@@ -95,3 +95,14 @@ def test_table(spark, model):
     assert got[0]["text"] == got[1]["text"] == "" and got[2]["text"] == "Some words, a sentence."
     assert got[3]["n_chars"] == len(got[3]["text"]) == 20_000 * 35 - 2
     assert extraction.extract_text(pages.limit(0), model).collect() == []
+
+
+def test_embedded_elements_hide_nothing(model):
+    assert texts("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds") == ["where x=1 holds"]
+    assert texts("<p>a <svg><style>p{}</style><text>b</text></svg> c") == ["a b c"]
+    assert texts("<p>a <audio src=x></audio> b<object data=x>c<object data=y>d</object>e</object> f") == ["a b", "c", "d", "e", "f"]
+    assert texts("<p>a<template><p>hidden<template>x</template>y</template><p>b") == ["a", "b"]
+    for tag in ("video", "object", "audio", "canvas", "svg", "math"):
+        assert texts(f"<div><p>a</p><{tag} id=x><p>b</p></div><p>c</p>") == ["a", "b", "c"]
+        page = f"<article><h1>A long headline here</h1><{tag} src=x><p>First paragraph, with more words to read.</p></article>"
+        assert extract(model, page) == "A long headline here\n\nFirst paragraph, with more words to read."
