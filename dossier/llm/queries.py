@@ -7,7 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, remove_folder, work_folder
-from . import chatformat, decontamination, extraction, hostrules, jaccardjoin, langid, linededup, packing, toxicity, warc
+from . import chatformat, decontamination, exactdedup, extraction, hostrules, jaccardjoin, langid, lexicalsearch, linededup
+from . import packing, spelling, toxicity, warc
 from .catalog import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -229,3 +230,92 @@ FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
 def op3_jaccard_join(spark, sf_dir):
     found = jaccardjoin.link_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER copies AS keep_id, count(*) OVER copies AS group_size,
+       row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)
+WINDOW copies AS (PARTITION BY h)
+"""
+
+
+@query(sql=EXACT_SQL)
+def op11_exact_dedup(spark, sf_dir):
+    return exactdedup.label_copies(table(spark, sf_dir, "documents"))
+
+
+LEXICAL_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), corpus AS (
+    SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0
+), tf AS MATERIALIZED (
+    SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM d) GROUP BY ALL
+), wanted AS (
+    SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(ws) AS t FROM i) GROUP BY ALL
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY t
+), shares AS (
+    SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ws) * n) // l)) AS s
+    FROM tf JOIN d USING (doc_id), corpus
+), scored AS (
+    SELECT item_id, doc_id, sum(q * w * s)::BIGINT AS score
+    FROM wanted JOIN weights USING (t) JOIN shares USING (t) GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
+@query(sql=LEXICAL_SQL)
+def op12_lexical_search(spark, sf_dir):
+    return lexicalsearch.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT list(list_reduce([v, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS steps
+    FROM (SELECT unnest(range(256)) AS v)
+), found AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run
+    FROM documents
+), hexed AS (
+    SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM found GROUP BY doc_id, run
+), hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+    FROM hexed, bits
+), words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+    ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+    SELECT word, n, p, left(word, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), near AS MATERIALIZED (
+    SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+    UNION SELECT a.word, w.word, w.n FROM cut a JOIN words w ON a.rest = w.word
+    UNION SELECT w.word, a.word, a.n FROM cut a JOIN words w ON a.rest = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, min((-n, encode(other), other)) AS top FROM near GROUP BY word
+), formed AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 10 * n THEN top[3] END AS form,
+           CASE WHEN -top[1] >= 10 * n THEN -top[1] END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL
+)
+SELECT formed.word, formed.n, formed.n_near, formed.form, formed.form_n, chain.at AS root
+FROM formed JOIN chain ON chain.word = formed.word JOIN formed f ON f.word = chain.at AND f.form IS NULL
+"""
+
+
+@query(sql=SPELLING_SQL)
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
