@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import gates, prompts, scores, text
-from ..operators import context, modelcalls, nearest, routing, search, store
+from ..operators import context, modelcalls, nearest, routing, search, store, vectorindex
 from ..operators.chunking import window_chunks
 from ..operators.conversations import recent_history
 from ..session import checkpointed, work_folder
@@ -63,32 +63,21 @@ def vector_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "V6",
-    sql="SELECT vec_id AS query_id, 4 AS hits, TRUE AS exact_distances, TRUE AS recalled FROM embeddings",
-)
+@query("V6", "V4", "W2", "L4", sql=_NEAREST_SQL.format(gap=q.distance("a.embedding", "b.embedding"), k=4))
 def nearest_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate neighbours from a saved index, read by cell.
+    """Neighbours from a saved index of codes, certified by the codes' error bounds."""
+    root = work_folder(spark, "vector-index")
+    vectorindex.build_index(table(spark, sf_dir, "embeddings"), root, sub_vectors=64)
+    found = vectorindex.search_index(_vector_queries(spark, sf_dir), root, 4, certified=True)
+    return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rk")
 
-    Per query vector: its hits, whether each has its exact distance, and whether
-    nine tenths of all true neighbours were found.
-    """
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = _vector_queries(spark, sf_dir)
-    root = work_folder(spark, "cells")
-    model = nearest.fit_cells(vectors, cells=16)
-    nearest.assign_cells(vectors, model).write.partitionBy("cell").parquet(root)
-    found = nearest.nearest_in_cells(queries, spark.read.parquet(root), model, 4, 10, vector_id="vec_id")
-    true = nearest.nearest(queries, vectors, 4, "l2", vector_id="vec_id").select("query_id", "vec_id", F.lit(1).alias("true"))
-    hits = found.join(true, ["query_id", "vec_id"], "left").join(queries, "query_id").join(vectors, "vec_id")
-    gap = F.abs(scores.euclidean(F.col("query_vector"), F.col("embedding")) - F.col("distance"))
-    judged = checkpointed(
-        hits.groupBy("query_id").agg(
-            F.count(F.lit(1)).cast("int").alias("hits"), (F.max(gap) < 1e-6).alias("exact_distances"), F.sum("true").alias("right")
-        )
-    )
-    counts = judged.agg(F.sum("right").alias("right"), F.sum("hits").alias("hits")).first()
-    return judged.select("query_id", "hits", "exact_distances", F.lit(counts["right"] >= 0.9 * counts["hits"]).alias("recalled"))
+
+@query("V6")
+def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from 3 of 32 cells of a saved index; what is found depends on the training, so there is no SQL."""
+    root = work_folder(spark, "vector-index")
+    vectorindex.build_index(table(spark, sf_dir, "embeddings"), root, copies=8)
+    return vectorindex.search_index(_vector_queries(spark, sf_dir), root, 4, probes=3)
 
 
 @query("V6", "V4", sql=_NEAREST_SQL.format(gap=q.distance("a.embedding", "b.embedding"), k=4))
