@@ -560,7 +560,7 @@ def ingested_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "K4", "S12", "J6", "S8", "T3",
+    "J6", "S8", "T3",
     sql="""
     SELECT source, count(*) AS chunks, count(DISTINCT page) AS pages, 500 AS chunk_size, 50 AS chunk_overlap
     FROM (SELECT source, doc_id AS page, unnest(range(0, greatest(length(text) - 50 - 1, 0) + 1, 450)) AS start
@@ -593,3 +593,48 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("chunk_size").alias("chunk_size"),
         F.max("chunk_overlap").alias("chunk_overlap"),
     )
+
+
+@query(
+    "K4", "S12", "J6", "S8", "T3",
+    sql="""
+    WITH before AS (SELECT doc_id, 'file ' || source AS source, text FROM documents),
+    after AS (
+        SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN text || ' revised' ELSE text END AS text
+        FROM before WHERE doc_id % 5 <> 1 AND source <> (SELECT min(source) FROM before)),
+    old AS (SELECT doc_id, start, text[start + 1:start + 500] AS chunk
+        FROM (SELECT *, unnest(range(0, greatest(length(text) - 50 - 1, 0) + 1, 450)) AS start FROM before WHERE length(text) > 0)),
+    new AS (SELECT doc_id, source, start, text[start + 1:start + 500] AS chunk
+        FROM (SELECT *, unnest(range(0, greatest(length(text) - 50 - 1, 0) + 1, 450)) AS start FROM after WHERE length(text) > 0)),
+    live AS (
+        SELECT new.*, CASE WHEN source = (SELECT max(source) FROM after) THEN 2 WHEN old.chunk IS NULL THEN 1 ELSE 0 END AS born
+        FROM new LEFT JOIN old ON old.doc_id = new.doc_id AND old.start = new.start AND old.chunk = new.chunk)
+    SELECT source, born, count(*) AS chunks, count(DISTINCT doc_id) AS pages, sum(length(chunk))::BIGINT AS n_chars
+    FROM live GROUP BY source, born
+    """,
+)
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that forgets: all documents; then revised and deleted pages and a deleted source; then one source reloaded.
+
+    Live chunks by source and the generation that embedded them.
+    """
+    from ..sources.readers import document_pages
+
+    root = work_folder(spark, "index")
+    path = F.concat(F.lit("/in/file "), "source", F.lit(".pdf"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", text.file_stem(path).alias("source"))
+    ends = docs.agg(F.min("source").alias("first"), F.max("source").alias("last")).first()
+    left = docs.filter((F.col("doc_id") % 5 != 1) & (F.col("source") != ends["first"]))
+    revised = left.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text")))
+
+    def update(pages: DataFrame, **options) -> None:
+        cut = window_chunks(document_pages(pages, "source", "doc_id"), size=500, overlap=50).drop("start")
+        embed = lambda missing: modelcalls.hashed_embedding(missing, size=32)
+        store.update_index(cut, root, embed, 500, 50, identity=("page",), **options)
+
+    update(docs)
+    update(revised, sources=docs.select("source"))
+    update(revised.filter(F.col("source") == ends["last"]), force_reload=True)
+    return store.read_index(spark, root).groupBy("source", "born").agg(
+        F.count(F.lit(1)).alias("chunks"), F.countDistinct("page").alias("pages"), F.sum(F.length("text")).alias("n_chars")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -68,6 +69,11 @@ def child_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
@@ -78,6 +84,40 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile()
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, True for exactly one of all callers that ask for the same path.
+
+    Rests on the file system's atomic create: HDFS and local disks have it; an
+    object store needs a connector that refuses to overwrite on create.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    try:
+        if target.toUri().getScheme() in (None, "file") and fs.getScheme() == "file":
+            # Hadoop's local file system looks first and creates then; the operating system does both at once.
+            plain = jvm.java.io.File(target.toUri().getPath()).toPath()
+            none = spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+            jvm.java.nio.file.Files.createFile(plain, none)
+        else:
+            fs.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly below ``path`` on any Hadoop file system."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isFile())
+
+
 def move_folder(spark: SparkSession, source: str, target: str) -> None:
     """Put a finished folder in its place; one that is there already goes."""
     jvm = spark._jvm

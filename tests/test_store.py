@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import modelcalls, store, versions
+from dossier.session import claim
 
 COLUMNS = "doc_id string, hybrid_score double, uploaded_at timestamp, batch_seq long"
 
@@ -109,6 +112,95 @@ def test_index_embeds_only_what_is_missing(spark, tmp_path):
     assert store.cached_chunks(spark, f"{tmp_path}/none", "s1", 500, 50) is None
 
 
+def pages_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "source string, page int, chunk_no int, text string")
+
+
+def letters(missing):
+    return modelcalls.embed_texts(missing, lambda items: [[float(len(i))] for i in items])
+
+
+def live(index):
+    return sorted((r["source"], r["page"], r["text"], r["born"]) for r in index.collect())
+
+
+def test_index_forgets(spark, tmp_path):
+    root = f"{tmp_path}/index"
+    update = lambda chunks, **kw: store.update_index(chunks, root, letters, 500, 50, identity=("page",), **kw)
+    update(pages_of(spark, ("007", 1, 0, "a"), ("007", 2, 0, "b"), ("s2", None, 0, "c"), ("s3", 1, 0, "d")))
+    # One page changed, one gone, one source gone, one left alone.
+    at_hand = spark.createDataFrame([("007",), ("s2",)], "source string")
+    rows = update(pages_of(spark, ("007", 1, 0, "A")), sources=at_hand)
+    assert live(rows) == [("007", 1, "A", 1)]
+    assert live(store.read_index(spark, root)) == [("007", 1, "A", 1), ("s3", 1, "d", 0)]
+    # An earlier generation stays readable; a text that comes back is embedded again.
+    assert live(store.read_index(spark, root, 0)) == [("007", 1, "a", 0), ("007", 2, "b", 0), ("s2", None, "c", 0), ("s3", 1, "d", 0)]
+    update(pages_of(spark, ("007", 1, 0, "a")))
+    assert live(store.read_index(spark, root)) == [("007", 1, "a", 2), ("s3", 1, "d", 0)]
+    update(pages_of(spark, ("s3", 1, 0, "d")), force_reload=True)
+    assert live(store.read_index(spark, root)) == [("007", 1, "a", 2), ("s3", 1, "d", 3)]
+    # Nothing is left, and nothing comes of nothing.
+    none = pages_of(spark, ("x", 1, 0, "")).filter("false")
+    assert update(none, sources=spark.createDataFrame([("007",), ("s3",)], "source string")).count() == 0
+    assert store.read_index(spark, root).count() == 0
+    assert store.update_index(none, f"{root}-2", letters, 500, 50, identity=("page",)).count() == 0
+
+
+def test_unfinished_update_is_not_seen(spark, tmp_path):
+    root = f"{tmp_path}/index"
+    store.update_index(pages_of(spark, ("s", 1, 0, "a")), root, letters, 500, 50, identity=("page",))
+
+    def broken(missing):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        store.update_index(pages_of(spark, ("s", 1, 0, "b")), root, broken, 500, 50, identity=("page",))
+    assert live(store.read_index(spark, root)) == [("s", 1, "a", 0)]
+    store.update_index(pages_of(spark, ("s", 1, 0, "b")), root, letters, 500, 50, identity=("page",))
+    assert live(store.read_index(spark, root)) == [("s", 1, "b", 2)]
+
+
+def test_reads_are_pruned_to_the_sources_at_hand(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    root = f"{tmp_path}/index"
+    store.update_index(pages_of(spark, *[(f"s{i}", 1, 0, f"t{i}") for i in range(6)]), root, letters, 500, 50)
+    store.update_index(pages_of(spark, ("s2", 1, 0, "new")), root, letters, 500, 50)
+    plan = store.cached_chunks(spark, root, "s1", 500, 50)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert len(scans) == 2 and all("= s1)" in s[s.index("PartitionFilters") : s.index("PushedFilters")] for s in scans)
+    # An update reads the folders of its sources only, found when the query runs.
+    live_rows = store.read_index(spark, root, sources=store._sources_of(spark, root, 1))
+    plan = live_rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("dynamicpruningexpression(source") == 2
+    assert live(live_rows) == [("s2", 1, "new", 1)]
+
+
+def test_buckets_need_no_shuffle(spark, tmp_path):
+    root = str(tmp_path)
+    wide = "doc_id string, document string, embedding array<float>, uploaded_at timestamp"
+    rows = [(f"d{i}", "text " * 50, [1.0, 2.0], datetime(2024, 1, 1)) for i in range(200)]
+    for number in range(3):
+        store.write_batch(spark.createDataFrame(rows[number * 20 :], wide), root, number)
+        if number == 1:
+            store.compact(spark, root)
+    current = store.read_store(spark, root)
+    plan = current._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "Union" not in plan
+    assert current.count() == 200 and {r["batch_id"] for r in current.collect()} == {0, 1, 2}
+    # A reader that listed before a replay still finds its files afterwards.
+    earlier = store.read_store(spark, root)
+    store.write_batch(spark.createDataFrame(rows[:1], wide), root, 2)
+    assert earlier.count() == 200
+    assert store.read_store(spark, root).filter("batch_id = 2").count() == 1
+
+
+def test_claims_are_given_once(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: claim(spark, f"{tmp_path}/claims/{i % 10}"), range(80)))
+    assert sum(won) == 10
+
+
 def test_versions(spark):
     names = ["gpt2-v1", "t5_v12_lora", "v3_epochs_1", "v4", "vX", "x"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
