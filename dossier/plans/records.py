@@ -223,10 +223,11 @@ def ruleset_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.withColumn("answer", prompts.assistant_answer(F.col("text")))
 
 
-def as_docx(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Give every document the bytes of a DOCX file with one paragraph per line; every eleventh is cut short.
+def as_docx(documents: DataFrame, text: str = "text", first_bytes: int | None = None) -> DataFrame:
+    """Give every document the bytes of a DOCX file with one paragraph per line.
 
-    Paragraphs have tab stops, every third is a hyperlink.
+    Paragraphs have tab stops, every third is a hyperlink. With ``first_bytes`` the
+    files are broken off there.
     """
     head = (
         '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w='
@@ -245,24 +246,30 @@ def as_docx(documents: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = [pack(v)[: 40 if n % 11 == 0 else None] for n, v in zip(batch[key], batch[text])]
-            yield batch.assign(content=packed).drop(columns=[text])
+            yield batch.assign(content=[pack(v)[:first_bytes] for v in batch[text]]).drop(columns=[text])
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != text]
     return documents.mapInPandas(run, ", ".join([*kept, "content binary"]))
 
 
+DOCX_SQL = f"""
+    SELECT doc_id, array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) AS text
+    FROM documents
+"""
+
+
 @query(
     "S7", "F1", "A9",
     sql=f"""
-    SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN
-            array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) END AS text,
-        doc_id % 11 <> 0 AS readable
-    FROM documents
+    SELECT doc_id, text, TRUE AS readable FROM ({DOCX_SQL})
+    UNION ALL SELECT -1 - item_id, NULL, FALSE FROM benchmark
     """,
 )
 def docx_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = readers.docx_texts(as_docx(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """Every document as a DOCX file, and the benchmark items as files that are broken off."""
+    whole = as_docx(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    items = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    read = readers.docx_texts(whole.unionByName(as_docx(items, first_bytes=40)))
     return read.select("doc_id", "text", F.col("error").isNull().alias("readable"))
 
 

@@ -14,6 +14,8 @@ from ..session import checkpointed, work_folder
 from . import sqltext as q
 from .catalog import query, table
 from .cleaning import CLEANED_SQL
+from .matching import TFIDF_SQL
+from .records import DOCX_SQL
 
 _NEAREST_SQL = """
     WITH gaps AS (
@@ -530,33 +532,70 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "V12", "S7", "P1", "P2", "P8", "A9", "K3",
-    sql=f"""
+_INGEST_SQL = f"""
     WITH read AS (
-        SELECT doc_id, array_to_string([l for l in string_split(text, chr(10)) if {q.strip('l')} <> ''], chr(10)) AS text
-        FROM documents WHERE doc_id % 11 <> 0)
-    SELECT {q.name('text')} AS name, {q.email('text')} AS email, doc_id || '.docx' AS filename
-    FROM read WHERE {q.strip('text')} <> ''
-    """,
-)
+        SELECT r.doc_id, r.text, d.source FROM ({DOCX_SQL}) r JOIN documents d USING (doc_id)),
+    items AS (SELECT -1 - item_id AS doc_id, text, 'source' || item_id AS source FROM benchmark),
+    documents AS (SELECT * FROM read UNION ALL SELECT * FROM items),
+    cleaned AS ({CLEANED_SQL}),
+    cut AS (SELECT doc_id, {q.first_words('stripped', text.EMBEDDING_WORD_LIMIT)} AS text FROM cleaned),
+    buckets AS (
+        SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n
+        FROM (SELECT doc_id, unnest({q.tokens('text')}) AS term FROM cut WHERE text <> '') GROUP BY ALL),
+    lengths AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS length FROM buckets GROUP BY doc_id),
+    sessions AS (SELECT doc_id, regexp_extract(source, '\\d+')::BIGINT AS session_id, text FROM documents WHERE doc_id >= 0),
+    dots AS (
+        SELECT s.doc_id, sum(a.n * b.n)::DOUBLE AS dot FROM sessions s JOIN buckets a ON a.doc_id = s.doc_id
+        JOIN buckets b ON b.doc_id = -1 - s.session_id AND b.bucket = a.bucket GROUP BY s.doc_id),
+    {TFIDF_SQL},
+    scored AS (
+        SELECT s.doc_id, s.session_id::VARCHAR AS session_id, {q.name('s.text')} AS name, {q.email('s.text')} AS email,
+            'cv ' || s.doc_id || '.docx' AS filename, coalesce(t.tfidf_score, 0) AS tfidf,
+            coalesce(dot / (la.length * lb.length), 0) AS embedding
+        FROM sessions s JOIN benchmark i ON i.item_id = s.session_id JOIN cut c ON c.doc_id = s.doc_id AND c.text <> ''
+        LEFT JOIN dots ON dots.doc_id = s.doc_id LEFT JOIN lengths la ON la.doc_id = s.doc_id LEFT JOIN lengths lb ON lb.doc_id = -1 - s.session_id
+        LEFT JOIN tfidf t ON t.jd_id = s.session_id AND t.doc_id = s.doc_id),
+    hybrids AS (SELECT *, round(0.4 * tfidf + 0.6 * embedding, 4) AS hybrid_score FROM scored)
+    SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY hybrid_score DESC, doc_id) AS rank, name, email,
+        filename, round(tfidf, 4) AS tfidf_score, round(embedding, 4) AS embedding_score, hybrid_score,
+        hybrid_score >= 0.7 AS matches_jd
+    FROM hybrids
+"""
+
+
+@query("ST1", "V12", "V2", "V3", "V9", "S7", "P1", "P2", "P8", "F4", "A9", "K3", "W1", sql=_INGEST_SQL)
 def ingested_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOCX bytes to stored records in one plan: read, metadata, embed, score against a description, upsert."""
+    """DOCX files that arrive in several micro-batches, scored against their session's description, stored, ranked from the store.
+
+    Beside every document there is a broken file for every description; all files are read
+    again by a second run.
+    """
     from ..operators import matching
-    from ..sources.readers import docx_texts
+    from ..sources.writers import write_files
+    from ..streaming import jobs
     from .records import as_docx
 
-    files = as_docx(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "resume_id")
-    read = docx_texts(files).withColumn("filename", F.concat(F.col("resume_id").cast("string"), F.lit(".docx")))
-    read = read.withColumn("session_id", F.lit("one")).withColumn("seq", F.col("resume_id"))
-    embedded = modelcalls.hashed_embedding(matching.with_metadata(read))
-    described = modelcalls.hashed_embedding(
-        table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.lit("one").alias("session_id"), "text")
+    folder = work_folder(spark, "ingest")
+    session = F.regexp_extract("source", r"(\d+)", 1)
+    docs = table(spark, sf_dir, "documents")
+    placed = docs.select(F.concat(session, F.lit("/cv "), F.col("doc_id").cast("string"), F.lit(".docx")).alias("filename"), "text")
+    items = table(spark, sf_dir, "benchmark")
+    broken = items.select(F.concat(F.col("item_id").cast("string"), F.lit("/broken.docx")).alias("filename"), "text")
+    files = as_docx(placed).unionByName(as_docx(broken, first_bytes=40))
+    count = write_files(files, f"{folder}/in")
+    described = items.select(F.col("item_id").cast("string").alias("session_id"), "text")
+    described = checkpointed(modelcalls.hashed_counts(described))
+    for run in range(2):
+        arriving = jobs.resume_files(spark, f"{folder}/in", files_per_trigger=-(-count // 3))
+        done = jobs.stream_resumes(arriving, described, modelcalls.hashed_counts, f"{folder}/store", f"{folder}/checkpoint-{run}")
+        done.awaitTermination()
+    stored = store.read_store(spark, f"{folder}/store")
+    stored = stored.withColumn("seq", F.regexp_extract("filename", r"(\d+)", 1).cast("long"))
+    ranked = matching.rank_resumes(stored.drop("document", "embedding"))
+    return ranked.select(
+        "session_id", "rank", F.coalesce("name", F.lit("Unknown")).alias("name"), "email", "filename",
+        "tfidf_score", "embedding_score", "hybrid_score", (F.col("matches_jd") == 1).alias("matches_jd"),
     )
-    scored = checkpointed(matching.score_resumes(embedded, described))
-    root = work_folder(spark, "ingest")
-    store.write_batch(matching.store_rows(scored, F.lit("2024-03-01 10:00:00").cast("timestamp")), root, 0)
-    return store.all_records(store.read_store(spark, root)).select("name", "email", "filename")
 
 
 @query(
