@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import quote, unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import claim, file_names
+
 
 def any_version(name: Column) -> Column:
     """Number after a ``v`` anywhere in the name, null when there is none."""
@@ -54,3 +58,34 @@ def latest_path(
     return known.groupBy(family).agg(
         F.max(version).alias("version"), F.max_by(path, F.struct(F.col(version), F.col(path))).alias("path")
     )
+
+
+def claimed_versions(spark: SparkSession, root: str) -> DataFrame:
+    """``(family, version)`` of every claim below ``root``."""
+    names = [n.rpartition("-v") for n in file_names(spark, root)]
+    return spark.createDataFrame([(unquote(f), int(v)) for f, _, v in names], "family string, version int")
+
+
+def claim_next(
+    registry: DataFrame, root: str, mode: str = "first_free", family: str = "family", version: str = "version"
+) -> DataFrame:
+    """``(family, version)``: a version for every family of the registry that no other caller gets.
+
+    Numbers are computed over the registry and earlier claims, then claimed by an
+    atomic create below ``root``; a family that another writer was faster for is
+    computed again. The families pass through the driver one by one.
+    """
+    spark = registry.sparkSession
+    known = registry.select(F.col(family).cast("string").alias("family"), F.col(version).cast("int").alias("version"))
+    left, got = known, []
+    while True:
+        wanted = next_version(left.unionByName(claimed_versions(spark, root).join(left.select("family").distinct(), "family", "left_semi")), mode)
+        lost = []
+        for row in wanted.toLocalIterator():
+            if claim(spark, f"{root}/{quote(row['family'], safe='')}-v{row['next']}"):
+                got.append((row["family"], row["next"]))
+            else:
+                lost.append((row["family"],))
+        if not lost:
+            return spark.createDataFrame(got, "family string, version int")
+        left = known.join(F.broadcast(spark.createDataFrame(lost, "family string")), "family", "left_semi")

@@ -153,7 +153,7 @@ def _rules(parts: DataFrame) -> DataFrame:
 
 
 @query(
-    "S5", "R1", "R5", "A12",
+    "S5", "R1", "R5",
     sql=f"""
     WITH rules AS ({_RULE_SQL})
     SELECT rule_id, 'Rule ID: ' || rule_id || chr(10) || 'Title: ' || title || chr(10) || 'Description: '
@@ -354,7 +354,7 @@ def first_free_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "W7", "L6",
+    "L6",
     sql=f"""
     WITH registry AS ({_REGISTRY_SQL})
     SELECT family, max(version) AS version, family || '/gpt2-v' || max(version) AS path
@@ -363,3 +363,67 @@ def first_free_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.latest_path(_registry(spark, sf_dir))
+
+
+@query(
+    "W6",
+    sql=f"""
+    WITH registry AS ({_REGISTRY_SQL}),
+    taken AS (SELECT DISTINCT family, version FROM registry WHERE version IS NOT NULL),
+    free AS (
+        SELECT f.family, n.version, row_number() OVER (PARTITION BY f.family ORDER BY n.version) AS place
+        FROM (SELECT DISTINCT family FROM registry) f CROSS JOIN (SELECT unnest(range(1, 1000))::INTEGER AS version) n
+        LEFT JOIN taken t ON t.family = f.family AND t.version = n.version WHERE t.version IS NULL)
+    SELECT family, version, place AS claim FROM free WHERE place <= 2
+    """,
+)
+def claimed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two claims in a row for every family: each gets the lowest number that is neither used nor claimed."""
+    root = work_folder(spark, "claims")
+    registry = _registry(spark, sf_dir)
+    first = versions.claim_next(registry, root).withColumn("claim", F.lit(1).cast("long"))
+    return first.unionByName(versions.claim_next(registry, root).withColumn("claim", F.lit(2).cast("long")))
+
+
+@query(
+    "W7", "L6",
+    sql="""
+    WITH named AS (
+        SELECT p_brand AS family, CASE p_partkey % 3 WHEN 0 THEN 'v' || p_size WHEN 1 THEN 'v' || p_size || '_epochs_1'
+            ELSE 'gpt2-v' || p_size END AS name FROM part)
+    SELECT family, max(CASE WHEN regexp_full_match(name, 'v\\d+') THEN name[2:]::INTEGER END) AS exact,
+        max(CASE WHEN regexp_matches(name, '^v\\d+') THEN regexp_extract(name, '^v(\\d+)', 1)::INTEGER END) AS leading,
+        max(regexp_extract(name, 'v(\\d+)', 1)::INTEGER) AS any_place,
+        family || '/v' || max(CASE WHEN regexp_full_match(name, 'v\\d+') THEN name[2:]::INTEGER END) AS path
+    FROM named GROUP BY family
+    """,
+)
+def exact_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest folder that is named ``v<digits>``, beside names that only start so or hold a version."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    name = F.when(kind == 0, F.concat(F.lit("v"), size)).when(kind == 1, F.concat(F.lit("v"), size, F.lit("_epochs_1")))
+    named = table(spark, sf_dir, "part").select(F.col("p_brand").alias("family"), F.coalesce(name, F.concat(F.lit("gpt2-v"), size)).alias("name"))
+    found = named.withColumn("version", versions.exact_version(F.col("name"))).withColumn("path", F.concat("family", F.lit("/"), "name"))
+    latest = versions.latest_path(found).withColumnRenamed("version", "exact")
+    others = named.groupBy("family").agg(
+        F.max(versions.leading_version(F.col("name"))).alias("leading"), F.max(versions.any_version(F.col("name"))).alias("any_place")
+    )
+    return others.join(latest, "family", "left").select("family", "exact", "leading", "any_place", "path")
+
+
+@query(
+    "A12", "K1", "K2",
+    sql="""
+    SELECT 'rules' AS kind, count(*) AS records FROM part WHERE p_size % 4 <> 0
+    UNION ALL SELECT 'texts', count(*) FROM documents
+    """,
+)
+def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records two corpora hold, as told by the writes that made them."""
+    folder = work_folder(spark, "counted")
+    rules = _rules(table(spark, sf_dir, "part")).filter("description is not null")
+    told = [
+        ("rules", writers.write_rule_records(rules, f"{folder}/rules")),
+        ("texts", writers.write_with_end_of_text(table(spark, sf_dir, "documents"), f"{folder}/texts")),
+    ]
+    return spark.createDataFrame(told, "kind string, records long")

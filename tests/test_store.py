@@ -222,3 +222,13 @@ def test_versions(spark):
     assert by_family(versions.next_version(registry, "first_free")) == {"a": 3, "b": 1, "c": 1, "d": 2}
     latest = {r["family"]: (r["version"], r["path"]) for r in versions.latest_path(registry).collect()}
     assert latest == {"a": (4, "a4"), "b": (2, "b2"), "d": (1, "d1")}
+
+
+def test_racing_writers_get_versions_of_their_own(spark, tmp_path):
+    registry = spark.createDataFrame([("a/b", 1), ("a/b", 3), ("c", None)], "family string, version int")
+    with ThreadPoolExecutor(4) as pool:
+        runs = list(pool.map(lambda _: versions.claim_next(registry, str(tmp_path)).collect(), range(4)))
+    got = sorted((r["family"], r["version"]) for rows in runs for r in rows)
+    assert got == [("a/b", 2), ("a/b", 4), ("a/b", 5), ("a/b", 6), ("c", 1), ("c", 2), ("c", 3), ("c", 4)]
+    after = versions.claim_next(registry, str(tmp_path), "after_highest").collect()
+    assert sorted((r["family"], r["version"]) for r in after) == [("a/b", 7), ("c", 5)]
