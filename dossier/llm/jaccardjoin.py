@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scaling import join_small
-from ..session import checkpointed
 from .components import connected
 from .shingles import BAND_BITS
+from .tables import Tables
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _overlap_left(x: str, y: str) -> Column:
     return F.coalesce((F.col(f"{x}.ref") != F.col(f"{y}.ref")) | (most * 7 >= (n + m) * 3), F.lit(True))
 
 
-def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame) -> DataFrame:
+def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame, tables: Tables) -> DataFrame:
     """All pairs that a bucket brings together, that may be linked, and that lie in different groups.
 
     ``groups`` holds the component of every node; ``checked`` holds the overlaps
@@ -148,9 +148,11 @@ def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame) -> Data
     """
     best = checked.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"))
     best = best.select(F.col("b").alias("node"), F.col("best.a").alias("ref"), F.col("best.same").alias("same"))
-    rows = checkpointed(buckets.drop("hub").join(groups, "node").join(best, "node", "left"))
+    rows = buckets.drop("hub").join(groups, "node").join(best, "node", "left").repartition("sig")
     mixed = rows.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rows = rows.join(mixed.select("sig"), "sig", "left_semi")
+    # Only rows of buckets that bring several groups together are kept, dealt out once.
+    rows = tables.write(rows.join(mixed.select("sig"), "sig", "left_semi"))
+    tables.drop(buckets)
     x, y = rows.filter("probe").alias("x"), rows.alias("y")
     meet = (
         (F.col("x.sig") == F.col("y.sig"))
@@ -256,34 +258,40 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    infos = checkpointed(set_rows(docs))
-    copies = infos.filter("n > 0 and doc is not null").groupBy("key").agg(F.min("doc").alias("_rep"), F.count(F.lit(1)).alias("_n"))
+    tables = Tables(docs.sparkSession, "jaccard")
+    found = tables.write(set_rows(docs))
+    copies = found.filter("n > 0 and doc is not null").groupBy("key").agg(F.min("doc").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     copies = copies.filter("_n > 1").drop("_n")
-    joined = join_small(infos, copies, ["key"], "left", spread=["doc"])
-    infos = checkpointed(joined.withColumn("rep", F.coalesce("_rep", "doc")).drop("_rep", "key"))
+    joined = join_small(found, copies, ["key"], "left", spread=["doc"])
+    infos = tables.write(joined.withColumn("rep", F.coalesce("_rep", "doc")).drop("_rep", "key"))
+    tables.drop(found)
 
     of_sig = Window.partitionBy("sig")
     shared = signature_rows(docs).withColumn("_low", F.min("node").over(of_sig)).withColumn("_high", F.max("node").over(of_sig))
     shared = shared.filter("_low <> _high").dropDuplicates(["sig", "node"]).select("sig", "node", "asks")
-    shared = shared.withColumn("k", F.count(F.lit(1)).over(of_sig))
-    reps = checkpointed(infos.filter("doc = rep and n > 0").select("node", "n", "x", "rep").dropDuplicates(["node"]))
-    shared = allocated(shared.join(reps.drop("rep"), "node")).select("sig", "node", "n", "probe", "alone", "weight")
-    buckets = shared.withColumn("asked", F.max("probe").over(of_sig)).withColumn("k", F.count(F.lit(1)).over(of_sig))
+    shared = tables.write(shared.withColumn("k", F.count(F.lit(1)).over(of_sig)))
+    # Lone signatures, most of all, are gone with the shuffle that brought them together.
+    tables.drop()
+    reps = tables.write(infos.filter("doc = rep and n > 0").select("node", "n", "x", "rep").dropDuplicates(["node"]))
+    asked = allocated(shared.join(reps.drop("rep"), "node")).select("sig", "node", "n", "probe", "alone", "weight")
+    buckets = asked.withColumn("asked", F.max("probe").over(of_sig)).withColumn("k", F.count(F.lit(1)).over(of_sig))
     buckets = buckets.withColumn("hub", F.max(F.struct("weight", "node", "n", "probe", "alone")).over(of_sig))
-    buckets = checkpointed(buckets.filter("asked and k > 1").drop("asked", "k", "weight"))
+    buckets = tables.write(buckets.filter("asked and k > 1").drop("asked", "k", "weight"))
+    tables.drop(shared)
 
-    first = checkpointed(hub_pairs(buckets).union(unindexed_pairs(reps)).distinct())
+    first = tables.write(hub_pairs(buckets).union(unindexed_pairs(reps)).distinct())
     nodes = buckets.select("node").union(first.select("a")).union(first.select("b")).distinct()
-    sets = checkpointed(sets_of(docs, reps.join(nodes, "node", "left_semi")))
-    checked = checkpointed(verified(first, sets))
-    links = checkpointed(document_links(checked.filter("linked"), reps).union(shared_ids(infos)))
+    sets = tables.write(sets_of(docs, reps.join(nodes, "node", "left_semi")))
+    checked = tables.write(verified(first, sets))
+    links = tables.write(document_links(checked.filter("linked"), reps).union(shared_ids(infos)))
     groups = connected(links)
     tied = reps.select("node", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     tied = tied.select("node", F.coalesce("component", "rep").alias("component"))
     done = first.select(*_pair(F.col("a"), F.col("b")))
-    second = checkpointed(far_pairs(buckets, tied, checked).join(done, ["a", "b"], "left_anti"))
+    second = tables.write(far_pairs(buckets, tied, checked, tables).join(done, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         groups = connected(links.union(document_links(verified(second, sets).filter("linked"), reps)))
+    tables.keep(infos)
     placed = infos.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc"))
     return placed.select("doc", F.col("n").alias("n_shingles"), component.alias("component"))

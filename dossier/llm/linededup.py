@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scaling import small_rows
-from ..session import checkpointed
 from .components import connected
+from .tables import Tables
 
 LEAST_WORDS = 5
 LEAST_LETTERS = 20
@@ -315,7 +315,11 @@ def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -
 
 
 def crowded_keys(keyed: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The lines (``id``, ``n``, ``low``, ``high``, ``simhash``) of every ``key`` that several share."""
+    """The lines (``id``, ``n``, ``low``, ``high``, ``simhash``) of every ``key`` that several share.
+
+    Keys are dealt out once; the keys that several lines share are found and their lines picked where they lie.
+    """
+    keyed = keyed.repartition("key")
     several = keyed.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_z")).filter("_a <> _z").select("key")
     return keyed.join(several, "key").distinct().join(signatures, "id")
 
@@ -336,7 +340,7 @@ def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
 
 def placed_lines(crowds: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the keys that bring lines of several groups together, with the ``component`` of each line."""
-    rows = checkpointed(crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    rows = crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).repartition("key")
     mixed = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).filter("_a <> _z").select("key")
     return rows.join(mixed, "key", "left_semi")
 
@@ -386,12 +390,12 @@ def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, tex
     return found.mapInArrow(run, "id long, words array<binary>").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs whose lines are alike."""
-    pairs = checkpointed(pairs)
+def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, tables: Tables) -> DataFrame:
+    """The pairs whose lines are alike, written."""
+    pairs = tables.write(pairs)
     if pairs.isEmpty():
         return pairs
-    words = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    words = tables.write(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
     both = both.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb")
 
@@ -404,7 +408,9 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
             keep = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    found = tables.write(both.mapInArrow(run, "a long, b long"))
+    tables.drop(pairs, words)
+    return found
 
 
 def repeated_lines(
@@ -429,39 +435,45 @@ def repeated_lines(
     Only narrow rows meet; texts are fetched for candidates alone.
     """
     by_blocks = distance <= NEAR
-    lines = checkpointed(line_rows(docs, id_col, text_col, least_words, similarity, distance))
+    tables = Tables(docs.sparkSession, "lines")
+    full = tables.write(line_rows(docs, id_col, text_col, least_words, similarity, distance))
+    lines = tables.write(full.select("doc", "line", "node"))
     doc = F.when(F.col("first"), F.col("doc"))
-    distinct = lines.groupBy("node").agg(
+    distinct = full.groupBy("node").agg(
         F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), *[F.max(c).alias(c) for c in ("simhash", "n", "low", "high")], F.count(F.lit(1)).alias("_times")
     )
     name = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
-    distinct = checkpointed(distinct.withColumn("id", name))
+    distinct = tables.write(distinct.withColumn("id", name))
     signatures = distinct.select("id", "simhash", "n", "low", "high")
 
     def texts(ids):
         return texts_of(ids, distinct, docs, id_col, text_col)
 
     if by_blocks:
-        links = checkpointed(verified(hub_pairs(signatures, distance), texts, similarity))
+        tables.drop(full)
+        links = verified(hub_pairs(signatures, distance), texts, similarity, tables)
         groups = connected(links).withColumnRenamed("node", "id")
         second = far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance))
     else:
-        keyed = lines.select(name.alias("id"), F.explode("keys").alias("key"))
-        crowds = checkpointed(crowded_keys(keyed, signatures))
+        keyed = full.select(name.alias("id"), F.explode("keys").alias("key"))
+        crowds = tables.write(crowded_keys(keyed, signatures))
+        tables.drop(full)
         links = signatures.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         groups = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        rows = placed_lines(crowds, groups)
+        rows = tables.write(placed_lines(crowds, groups))
         for turn in range(HUB_ROUNDS):
-            found = checkpointed(verified(hub_run_pairs(rows, turn, distance, similarity), texts, similarity))
+            found = verified(hub_run_pairs(rows, turn, distance, similarity), texts, similarity, tables)
             if found.isEmpty():
                 break
-            links = checkpointed(links.union(found))
+            links, before = tables.write(links.union(found)), links
             groups = connected(links).withColumnRenamed("node", "id")
-            rows = placed_lines(crowds, groups)
+            tables.drop(rows, found, before)
+            rows = tables.write(placed_lines(crowds, groups))
         second = far_run_pairs(rows, distance, similarity)
-    more = checkpointed(verified(second, texts, similarity))
+    more = verified(second, texts, similarity, tables)
     if not more.isEmpty():
         groups = connected(links.union(more)).withColumnRenamed("node", "id")
+    tables.keep(lines, distinct)
     # A line that occurs once and has no group stays; any other may have something to remove.
     placed = distinct.join(groups, "id", "left").filter("_times > 1 or component is not null")
     placed = placed.withColumn("component", F.coalesce("component", "id")).select("node", "component", "doc", "line")
