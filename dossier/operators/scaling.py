@@ -20,6 +20,17 @@ RANGE_ROWS = 50_000
 FEWEST_RANGES, MOST_RANGES = 8, 20_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer pieces than there are; any larger input as it is.
+
+    A small table is often one Parquet row group and so one task, however dear the
+    work on its rows; at scale there are more pieces than cores, and nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < pieces < cores else df
+
+
 def _width(field: T.StructField) -> Column:
     """Approximate bytes of one value."""
     value = F.col(f"`{field.name}`")

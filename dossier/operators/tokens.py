@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_tokens
-from .scaling import RANGE_ROWS, global_position, join_small, running_start
+from .scaling import BROADCAST_ROWS, RANGE_ROWS, global_position, join_small, running_start, small_rows
 
 MAX_LENGTH = 128
 BLOCK_SIZE = 128
 IGNORED_LABEL = -100
+BLOCK_BYTES = 16 * 1024 * 1024
 PAD_ID, UNKNOWN_ID, FIRST_TERM_ID = 0, 1, 2
 
 
@@ -31,27 +35,63 @@ def build_vocabulary(texts: DataFrame, text: str = "text", size: int | None = No
     return placed.select("term", (F.col("position") + (FIRST_TERM_ID - 1)).cast("int").alias("id"))
 
 
+def _token_lists(texts: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+    tokens = F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>"))
+    return texts.select(F.col(doc_id), *more, tokens.alias("terms"))
+
+
+def _coded(lists: pa.ListArray, terms: pa.Array, ids: pa.Array) -> pa.ListArray:
+    """Term lists as id lists; all terms of a batch are looked up at once."""
+    flat = pc.list_flatten(lists)
+    found = pc.take(ids, pc.index_in(flat, value_set=terms)).fill_null(UNKNOWN_ID)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), found.cast(pa.int32()))
+
+
 def encode(
     texts: DataFrame,
     vocabulary: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     vocabulary_size: int | None = None,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(doc_id, ids)`` for every text, an empty array for a text without terms.
 
     ``vocabulary_size`` is a known bound on the vocabulary; without it the
-    vocabulary is measured before it is broadcast.
-
-    Texts are placed by id first, so exploding, the vocabulary join and putting
-    a text back together need no further shuffle.
+    vocabulary is measured. One that fits goes to every task, and texts are
+    coded where they are read. A larger one stays a table: texts are dealt into
+    blocks of about ``block_bytes``, the distinct terms of each block are looked up by
+    a join, and each block is coded with its own terms. Either way a text stays
+    whole; no row per token is made but for the distinct terms of a block.
     """
-    placed = texts.select(doc_id, text).repartition(doc_id)
-    terms = placed.select(doc_id, F.posexplode_outer(word_tokens(F.col(text))).alias("pos", "term"))
-    coded = join_small(terms, vocabulary, ["term"], "left", spread=[doc_id], bound=vocabulary_size)
-    known = F.coalesce(F.col("id"), F.lit(UNKNOWN_ID))
-    ordered = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known.alias("id")))))
-    return coded.groupBy(doc_id).agg(F.transform(ordered, lambda t: t["id"]).alias("ids"))
+    known = vocabulary.select("term", "id")
+    schema = f"{texts.select(doc_id).schema[0].name} {texts.schema[doc_id].dataType.simpleString()}, ids array<int>"
+    fits = vocabulary_size <= BROADCAST_ROWS if vocabulary_size is not None else small_rows(known) is not None
+    if fits:
+        table = known.toArrow()  # measured or bounded above
+        terms, ids = table.column("term").combine_chunks(), table.column("id").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), _coded(batch.column(1), terms, ids)], [doc_id, "ids"])
+
+        return _token_lists(texts, doc_id, text).mapInArrow(run, schema)
+
+    size = texts.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    blocks = int(size // block_bytes) + 1
+    placed = texts.withColumn("_block", F.pmod(F.xxhash64(doc_id), F.lit(blocks)))
+    lists = _token_lists(placed, doc_id, text, "_block")
+    # Terms are made distinct by block before they move.
+    distinct = lists.select(F.col("_block").alias("_of"), F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    looked_up = join_small(distinct, known, ["term"], "inner", spread=["_of"])
+
+    def code(texts_of: pa.Table, terms_of: pa.Table) -> pa.Table:
+        terms, ids = terms_of.column("term").combine_chunks(), terms_of.column("id").combine_chunks()
+        lists_of = texts_of.column("terms").combine_chunks()
+        return pa.table([texts_of.column(doc_id), _coded(lists_of, terms, ids)], [doc_id, "ids"])
+
+    return lists.groupBy("_block").cogroup(looked_up.groupBy("_of")).applyInArrow(code, schema)
 
 
 def encode_with(

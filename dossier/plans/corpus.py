@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
 from ..operators import chunking, tokens
+from ..operators.scaling import spread
+from ..session import work_folder
 from . import sqltext as q
 from .catalog import query, table
 
@@ -125,8 +127,7 @@ _ENCODED_SQL = f"""
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Counting terms and encoding share this one shuffle.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.encode(docs, tokens.build_vocabulary(docs))
 
 
@@ -171,10 +172,9 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encoded_documents(spark, sf_dir)
-    counted = F.size(word_tokens(F.col("text"))).cast("long").alias("n")
-    sizes = table(spark, sf_dir, "documents").select("doc_id", counted)
-    blocks = tokens.packed_blocks(encoded, order_values=sizes)
+    folder = work_folder(spark, "encoded")
+    encoded_documents(spark, sf_dir).write.parquet(folder)  # encoded once; offsets are taken from what was written
+    blocks = tokens.packed_blocks(spark.read.parquet(folder))
     return blocks.select("block", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
 
 

@@ -32,6 +32,21 @@ def test_encode(docs, size):
     assert {r["doc_id"]: r["ids"] for r in coded.collect()} == python_ids(size)
 
 
+@pytest.mark.parametrize("block_bytes", [100, 10**6])
+def test_encode_with_a_vocabulary_that_stays_a_table(spark, docs, block_bytes):
+    texts = docs.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "unheard of")], "doc_id long, text string"))
+    vocabulary = tokens.build_vocabulary(docs, size=5)
+    coded = tokens.encode(texts, vocabulary, vocabulary_size=10**9, block_bytes=block_bytes)
+    assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {**python_ids(5), 900: [], 901: [], 902: [1, 1]}
+
+
+def test_small_vocabulary_moves_no_text(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    texts = spark.read.parquet(f"{tmp_path}/docs")
+    plan = tokens.encode(texts, tokens.build_vocabulary(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "explode" not in plan.lower()
+
+
 @pytest.mark.parametrize("rows_per_range", [7, 1000])
 @pytest.mark.parametrize("block", [4, 16])
 def test_blocks(docs, rows_per_range, block):
