@@ -677,3 +677,32 @@ def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_index(spark, root).groupBy("source", "born").agg(
         F.count(F.lit(1)).alias("chunks"), F.countDistinct("page").alias("pages"), F.sum(F.length("text")).alias("n_chars")
     )
+
+
+_PAID_CALLS = """
+    WITH asked AS (SELECT *, CASE WHEN turn % 2 = 0 THEN 'Say more: ' || role ELSE text END AS prompt FROM conversations),
+    earlier AS (SELECT DISTINCT prompt FROM asked WHERE role = 'user')
+    SELECT conv_id, turn, CASE WHEN length(prompt) % 7 = 0 THEN NULL ELSE length(prompt) || ' characters read, run '
+            || CASE WHEN prompt IN (SELECT prompt FROM earlier) THEN 1 ELSE 2 END END AS response,
+        CASE WHEN length(prompt) % 7 = 0 THEN 'refused' END AS error
+    FROM asked
+"""
+
+
+@query("U1", sql=_PAID_CALLS)
+def paid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts that repeat, the users' in a first run and all in a second: an answer names the run that paid for it."""
+    root = work_folder(spark, "paid")
+    prompt = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Say more: "), "role")).otherwise(F.col("text"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", prompt.alias("prompt"))
+
+    def model(run: int):
+        def call(items: list[str]) -> list[str]:
+            if any(len(item) % 7 == 0 for item in items):
+                raise ValueError("refused")
+            return [f"{len(item)} characters read, run {run}" for item in items]
+
+        return modelcalls.in_time(call, 60.0, at_once=2)
+
+    modelcalls.ask_once(asked.filter("role = 'user'"), model(1), root)
+    return modelcalls.ask_once(asked, model(2), root).select("conv_id", "turn", "response", "error")
