@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import store
 from ..session import work_folder
-from ..streaming import jobs
+from ..streaming import jobs, seen
 from .catalog import query, table
 from .usage import ROLE_SQL, query_log
 
@@ -73,19 +75,77 @@ def streamed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current.select("doc_id", "hybrid_score", F.col("batch_seq").alias("upload"))
 
 
+_BATCHES_SQL = """
+    batches AS (
+        SELECT *, (epoch(ts) - epoch(TIMESTAMP '2024-01-01'))::BIGINT // 691200 AS batch, '' AS note FROM events
+        UNION ALL
+        SELECT *, 9, 'late-' FROM events WHERE (epoch(ts) - epoch(TIMESTAMP '2024-01-01'))::BIGINT // 691200 = 0)
+"""
+
+
+def event_batches(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Events as a stream of files, one for every eight days and at last the first eight days again, marked as late."""
+    events = table(spark, sf_dir, "events")
+    number = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200)) / 691_200)
+    marked = events.withColumn("note", F.lit("")).withColumn("_batch", number)
+    count = marked.agg(F.max("_batch").alias("n")).first()["n"] + 1
+    for batch in range(count):  # one job a file: files are streamed in the order they were written
+        marked.filter(F.col("_batch") == batch).drop("_batch").coalesce(1).write.mode("append").parquet(folder)
+    late = marked.filter("_batch = 0").withColumn("note", F.lit("late-"))
+    late.drop("_batch").coalesce(1).write.mode("append").parquet(folder)
+    return jobs.table_stream(spark, folder, files_per_trigger=1)
+
+
 @query(
     "ST4", "F10",
-    sql="SELECT DISTINCT event_type || '-' || user_id || '.docx' AS filename FROM events",
+    sql=f"""
+    WITH {_BATCHES_SQL},
+    named AS (
+        SELECT note || event_type || '-' || user_id || '.docx' AS filename, ts, dense_rank() OVER (ORDER BY batch) - 1 AS batch,
+            (epoch(ts)::BIGINT // 604800) * 604800 AS period FROM batches),
+    newest AS (SELECT batch, max(ts) AS ts FROM named GROUP BY batch),
+    closed AS (SELECT b.batch, max(e.ts) - INTERVAL 1 DAY AS ts FROM newest b LEFT JOIN newest e ON e.batch < b.batch GROUP BY b.batch)
+    SELECT filename, period, min(n.batch)::INTEGER AS batch FROM named n JOIN closed c USING (batch)
+    WHERE c.ts IS NULL OR period + 604800 > floor(epoch(c.ts)) GROUP BY filename, period
+    """,
 )
 def streamed_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names that are new in their week, over several micro-batches; the last one is too late."""
     folder = work_folder(spark, "files")
-    stream = jobs.table_stream(spark, f"{sf_dir}/events.parquet").select(
+    stream = event_batches(spark, sf_dir, f"{folder}/in").select(
         F.col("ts").cast("timestamp").alias("ts"),
-        F.concat_ws("", "event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit(".docx")).alias("filename"),
+        F.concat("note", "event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit(".docx")).alias("filename"),
+    )
+    seen.stream_new_files(stream, f"{folder}/memory", f"{folder}/checkpoint", timedelta(days=7), timedelta(days=1)).awaitTermination()
+    return seen.new_files(spark, f"{folder}/memory").select("filename", "period", "batch")
+
+
+@query(
+    "ST2", "A2", "A3",
+    sql=f"""
+    WITH log AS (
+        SELECT user_id AS session_id, ts, value AS response_time, CASE event_type WHEN 'click' THEN 'conversational'
+            WHEN 'view' THEN 'factual_agent' ELSE 'other' END AS agent_type
+        FROM events WHERE event_type <> 'error'),
+    begun AS (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS first FROM log),
+    numbered AS (SELECT *, sum(first) OVER (PARTITION BY session_id ORDER BY ts) AS nth FROM begun)
+    SELECT session_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS session_start, count(*) AS total_queries,
+        count(*) FILTER (agent_type = 'conversational') AS conversational,
+        count(*) FILTER (agent_type = 'factual_agent') AS factual_agent,
+        round(avg(response_time), 10) AS avg_response_time
+    FROM numbered GROUP BY session_id, nth HAVING max(ts) + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    """,
+)
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage of every closed session; sessions cross micro-batches, and rows that come a month late change nothing."""
+    folder = work_folder(spark, "sessions")
+    stream = query_log(event_batches(spark, sf_dir, f"{folder}/in"))
+    jobs.append_to_table(jobs.session_usage(stream, "8 hours"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        "session_id", F.date_format("session_start", "yyyy-MM-dd HH:mm").alias("session_start"), "total_queries",
+        "conversational", "factual_agent", F.round("avg_response_time", 10).alias("avg_response_time"),
     )
-    fresh = jobs.unseen_files(stream, delay="1 day")
-    jobs.append_to_table(fresh, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("filename")
 
 
 @query(
