@@ -78,8 +78,8 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "S3", "P10",
     sql="""
-    SELECT 'p_partkey: ' || p_partkey || ' p_name: ' || p_name || ' p_brand: ' || p_brand || ' p_type: ' || p_type
-        AS text FROM part
+    SELECT unnest(['splitting', 'whole']) AS reader,
+        'p_partkey: ' || p_partkey || ' p_name: ' || p_name || ' p_brand: ' || p_brand || ' p_type: ' || p_type AS text FROM part
     """,
 )
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,8 @@ def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["p_partkey", "p_name", "p_brand", "p_type"]
     parts = table(spark, sf_dir, "part").select(*columns)
     parts.write.format("xml").option("rootTag", "parts").option("rowTag", "part").save(folder)
-    half = F.col("text").substr(-1, 1) >= "N"  # the streaming reader and the splitting one, each for a part of the records
-    split = readers.xml_corpus(spark, folder, "part", columns)
-    return split.filter(half).unionByName(readers.xml_texts(spark, folder).filter(~half))
+    split = readers.xml_corpus(spark, folder, "part", columns).withColumn("reader", F.lit("splitting"))
+    return split.unionByName(readers.xml_texts(spark, folder).withColumn("reader", F.lit("whole")))
 
 
 def _markup(value):

@@ -10,6 +10,7 @@ from ..functions import gates, prompts, scores, text
 from ..operators import context, modelcalls, nearest, routing, search, store, vectorindex
 from ..operators.chunking import window_chunks
 from ..operators.conversations import recent_history
+from ..operators.scaling import join_small
 from ..session import checkpointed, work_folder
 from . import sqltext as q
 from .catalog import query, table
@@ -92,12 +93,18 @@ def nearest_in_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rk")
 
 
+def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a vector; those beyond the given vectors start over with the first."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    numbered = docs.withColumn("vec_id", F.col("doc_id") % vectors.count())
+    return join_small(numbered, vectors.select("vec_id", "embedding"), ["vec_id"], spread=["doc_id"]).drop("vec_id")
+
+
 def record_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with vectors as stored records; good quality counts as matching."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Documents as stored records; good quality counts as matching."""
+    docs, labels = _with_vectors(spark, sf_dir), table(spark, sf_dir, "labels")
     score = F.round((F.col("n_chars") % 100) / 100.0, 4)
-    return docs.join(vectors, "doc_id").join(labels, "doc_id", "left").select(
+    return docs.join(labels, "doc_id", "left").select(
         "doc_id",
         F.col("text").alias("document"),
         "embedding",
@@ -132,7 +139,7 @@ def _search_sql(wanted: int, only_matched: bool) -> str:
     store AS (
         SELECT d.doc_id, text AS document, embedding, {q.email('text')} AS email, source || '.docx' AS filename,
             round((n_chars % 100) / 100.0::DOUBLE, 4) AS hybrid_score, coalesce(quality, 0) AS matches_jd
-        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id),
+        FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) LEFT JOIN labels l ON l.doc_id = d.doc_id),
     asked AS (
         SELECT item_id AS query_id, text AS query_text, list_reverse(embedding) AS query_vector
         FROM benchmark JOIN embeddings ON vec_id = item_id),
@@ -199,9 +206,8 @@ def search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with vectors as page passages; every seventh has no page number."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = table(spark, sf_dir, "documents").join(vectors, "doc_id")
+    """Documents as page passages; every seventh has no page number."""
+    docs = _with_vectors(spark, sf_dir)
     page = F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("int"))
     return docs.select(F.col("doc_id").alias("chunk_id"), page.alias("page"), "text", "embedding")
 
@@ -212,7 +218,7 @@ _PASSAGES_SQL = f"""
         FROM benchmark JOIN embeddings ON vec_id = item_id),
     chunks AS (
         SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 <> 0 THEN doc_id::VARCHAR ELSE 'Unknown' END AS page, text,
-            embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+            embedding FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
     close AS (
         SELECT query_id, query_vector, chunks.*, row_number() OVER (PARTITION BY query_id
             ORDER BY {q.distance('query_vector', 'embedding')}, chunk_id) AS rk
