@@ -393,6 +393,38 @@ def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("conv_id", "turn", F.md5(prompt).alias("prompt_digest"))
 
 
+@query(
+    "R7", "W4", "L3", "C7",
+    sql=f"""
+    WITH {_PASSAGES_SQL.replace("asked AS (", "given AS (", 1).replace("FROM asked, chunks", "FROM vectored, chunks")
+        .replace("close AS (", """vectored AS (
+        SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, text AS query_text, list_reverse(embedding) AS query_vector,
+            list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS history
+        FROM conversations JOIN embeddings ON vec_id = (conv_id * 31 + turn) % (SELECT count(*) FROM embeddings)),
+    close AS (""", 1)},
+    classed AS (SELECT *, {_CLASS_SQL} AS query_type FROM vectored),
+    routed AS (SELECT *, {_ROUTE_SQL} AS route, {_K_SQL} AS k FROM classed),
+    found AS (
+        SELECT r.query_id, string_agg({_SECTION_SQL}, {q.quoted(context.SECTION_BREAK)} ORDER BY rk) AS context
+        FROM routed r JOIN close c ON c.query_id = r.query_id AND c.rk <= r.k WHERE query_type <> 'greeting' GROUP BY r.query_id)
+    SELECT conv_id, turn, route, len(coalesce(history, []))::INTEGER AS told,
+        md5(array_to_string(list_concat(list_concat(['system: ' || replace({_SYSTEM_SQL}, '{{context}}', coalesce(context, ''))],
+            coalesce(history, [])), ['user: ' || query_text]), chr(10))) AS prompt_digest
+    FROM routed LEFT JOIN found USING (query_id)
+    """,
+)
+def grounded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as a question: its prompt holds the retrieved sections and the ten messages before it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    told = recent_history(table(spark, sf_dir, "conversations"))
+    asked = told.withColumn("vec_id", (F.col("conv_id") * 31 + F.col("turn")) % vectors.count()).withColumn("query", F.col("text"))
+    vectored = vectors.select("vec_id", F.reverse("embedding").alias("query_vector"))
+    asked = join_small(asked, vectored, ["vec_id"], spread=["conv_id", "turn"]).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    routed = checkpointed(routing.route_questions(asked, gates.cue_class(F.col("query"), CUES)))
+    prompted = routing.with_prompt(routing.with_context(routed, passages(spark, sf_dir)))
+    return prompted.select("conv_id", "turn", "route", F.size("history").alias("told"), F.md5("prompt").alias("prompt_digest"))
+
+
 @query(
     "C8", "F7", "U1",
     sql=f"""
