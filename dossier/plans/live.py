@@ -169,3 +169,35 @@ def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         spark.conf.set(provider, earlier)
     return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "role", "history")
+
+
+@query(
+    "ST3", "W4", "C1",
+    sql="""
+    WITH timed AS (SELECT *, turn * 600 + (turn // 4) * 7200 AS second FROM conversations),
+    begun AS (SELECT *, CASE WHEN second - lag(second) OVER (PARTITION BY conv_id ORDER BY turn) < 3600 THEN 0 ELSE 1 END AS first FROM timed),
+    numbered AS (SELECT *, sum(first) OVER (PARTITION BY conv_id ORDER BY turn) AS session FROM begun)
+    SELECT conv_id, turn, role, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id, session
+        ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history
+    FROM numbered
+    """,
+)
+def streamed_chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages in several micro-batches; after a pause of two hours a conversation starts anew, and a late file changes nothing."""
+    folder = work_folder(spark, "chats")
+    turn = F.col("turn")
+    second = F.lit(1_704_067_200) + turn * 600 + F.floor(turn / 4) * 7200
+    messages = table(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(second))
+    last = messages.agg(F.max("turn").alias("n")).first()["n"] or 0
+    for start in range(0, last + 1, 3):  # files are streamed in the order they were written
+        messages.filter(turn.between(start, start + 2)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    messages.filter(turn < 2).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.table_stream(spark, f"{folder}/in", files_per_trigger=1)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    earlier = spark.conf.get(provider)
+    spark.conf.set(provider, jobs.ROCKSDB_PROVIDER)
+    try:
+        jobs.append_to_table(jobs.session_history(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(provider, earlier)
+    return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "role", "history")
