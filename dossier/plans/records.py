@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..operators import versions
 from ..session import rename_suffix, work_folder
-from ..sources import readers, writers
+from ..sources import readers, splitting, writers
 from . import sqltext as q
 from .catalog import query, table
 
@@ -75,6 +75,28 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_records(_json_documents(table(spark, sf_dir, "part")))
 
 
+@query(
+    "S2", "P9",
+    sql=f"""
+    SELECT text FROM (SELECT {_RECORD_SQL} AS text FROM part UNION ALL SELECT p_name FROM part
+        UNION ALL SELECT {_OTHER_SQL} FROM part UNION ALL SELECT p_size::VARCHAR FROM part)
+    """,
+)
+def one_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts in one JSON array, read by many tasks through byte ranges."""
+    folder = work_folder(spark, "onefile")
+    parts = table(spark, sf_dir, "part")
+    record = F.struct(F.col("p_name").alias("name"), (F.col("p_size") % 5).alias("size"), F.lit("").alias("note"))
+    other = F.struct(F.col("p_brand").alias("brand"), (F.col("p_size") > 25).alias("large"))
+    items = F.array(F.to_json(record), F.to_json(F.array("p_name")), F.to_json(other), F.col("p_size").cast("string"))
+    # A name alone is a string item: the brackets of its own array go.
+    items = F.transform(items, lambda x, i: F.when(i == 1, F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    lines = parts.select(F.lit(1).alias("_order"), F.concat(F.lit(","), F.array_join(items, " ,\t")).alias("value"))
+    ends = spark.createDataFrame([(0, '["first"'), (2, "]")], "_order int, value string")
+    lines.unionByName(ends).orderBy("_order").select("value").coalesce(1).write.text(folder)
+    return splitting.split_json_records(spark, folder, 50_000, "*.txt").filter("text <> 'first'")
+
+
 @query(
     "S3", "P10",
     sql="""
