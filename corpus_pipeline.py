@@ -10,30 +10,51 @@ from dossier.session import work_folder
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the classifier, fitted on the labelled ones among them, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones among them, does not reject.
+
+    Null and empty texts are scored like any other, rows without an id or with a shared one each by
+    its own text; an empty table stays empty and other columns pass through.
+    """
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Documents without the lines that repeat one that stays; ``n_chars`` counts what is left."""
+    """Documents without the lines that repeat one that stays; ``n_chars`` counts what is left.
+
+    A null text stays null, one without any line left becomes empty, a row without an id is left
+    alone, rows that share an id are compared line by line, an empty table stays empty.
+    """
     kept = linededup.dedup_lines(docs)
-    chars = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    _, removed = linededup.count_columns(docs)
+    chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """One document, the one with the smallest id, of each group of linked documents."""
+    """One document, the one with the smallest id, of each group of linked documents.
+
+    Null and empty texts and rows without an id link with nothing and stay; rows that share an id
+    are one document and stay or go together; an empty table stays empty.
+    """
     return jaccardjoin.keep_one(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    """Documents that the contamination rule does not catch, unchanged."""
+    """Documents that the contamination rule does not catch, unchanged.
+
+    Null and wordless texts and rows without an id are judged like any other, by their own text;
+    without benchmark items, or without documents, nothing changes.
+    """
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of the documents left, packed into token windows."""
+    """Pieces of the documents left, packed into token windows.
+
+    A null or empty text is its closing id alone; every row is a document of its own, whatever its id;
+    an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, word_tokenizer())
 
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .naming import unused
+
 WINDOW = 13
 COVERAGE_PERCENT = 5
 SHARD_WORDS = 400_000
@@ -249,9 +251,14 @@ def is_contaminated(found: str = "_found", coverage_percent: int = COVERAGE_PERC
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, coverage_percent: int = COVERAGE_PERCENT, **options) -> DataFrame:
-    """The documents whose words are hit to less than ``coverage_percent``, unchanged."""
-    found = find_items(docs, items, **options)
-    return found.filter(~is_contaminated(coverage_percent=coverage_percent)).drop("_found")
+    """The documents whose words are hit to less than ``coverage_percent``, unchanged.
+
+    Null and wordless texts stay, rows that share an id are judged one by one, an empty
+    table stays empty, and columns of any name pass through.
+    """
+    (out,) = unused(docs.columns, "_found")
+    found = find_items(docs, items, out=out, **options)
+    return found.filter(~is_contaminated(out, coverage_percent)).drop(out)
 
 
 def remove_spans(
@@ -267,8 +274,9 @@ def remove_spans(
     A removed span takes the characters from its first to its last word; the
     rest of the text stays as it is. Null texts stay null.
     """
-    found = find_items(docs, items, text_col=text_col, **options)
-    found = found.filter(~is_contaminated(coverage_percent=coverage_percent))
+    (out,) = unused(docs.columns, "_found")
+    found = find_items(docs, items, text_col=text_col, out=out, **options)
+    found = found.filter(~is_contaminated(out, coverage_percent))
     columns = docs.columns
 
     def run(batches):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_folder
+from .naming import unused
 
 # A digest of more than this share of all rows is frequent; at most 1 / SHARE digests are.
 SHARE = 0.001
@@ -18,16 +19,6 @@ MOST_CANDIDATES = 2000
 MERGERS = 64
 
 
-def _unused(columns: list[str], *names: str) -> list[str]:
-    """The names, each with underscores in front until no column has it in any case."""
-    taken, found = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        found.append(name)
-    return found
-
-
 def text_digest(text: Column, normalise: Callable[[Column], Column] | None = None) -> Column:
     """Lowercase hex SHA-256 of the normalised text in UTF-8; null is the empty text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -117,7 +108,7 @@ def drop_copies(
     empty, null ids smallest, an empty table stays empty, and columns of any name
     pass through.
     """
-    digest, keep, mark = _unused(docs.columns, "_digest", "_keep", "_tied")
+    digest, keep, mark = unused(docs.columns, "_digest", "_keep", "_tied")
     sha = text_digest(F.col(f"`{text_col}`"), normalise)
     copies = Copies(docs, id_col, sha)
     # How many rows share the winner's id and text; nearly always one.

@@ -298,6 +298,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that are linked to one with a smaller id through any chain of links."""
+    """``docs`` without the documents that are linked to one with a smaller id through any chain of links.
+
+    Null and empty texts and null ids link with nothing and stay; rows that share an id stay or go
+    together; an empty table stays empty; other columns, whatever their names, pass through.
+    """
     gone = link_documents(docs, id_col, text_col).filter("component <> doc").select(F.col("doc").alias(id_col)).distinct()
     return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scaling import small_rows
 from .components import connected
+from .naming import unused
 from .tables import Tables
 
 LEAST_WORDS = 5
@@ -483,19 +484,29 @@ def repeated_lines(
     return gone.groupBy("doc").agg(F.collect_set(F.struct("line", "node")).alias("lines"))
 
 
+def count_columns(docs: DataFrame) -> list[str]:
+    """Names of the columns that :func:`dedup_lines` adds: lines before, and lines removed.
+
+    ``_n_lines`` and ``_n_removed``, with further underscores where ``docs`` has such columns itself.
+    """
+    return unused(docs.columns, "_n_lines", "_n_removed")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the lines that repeat one that stays, with ``_n_lines`` and ``_n_removed``.
+    """``docs`` without the lines that repeat one that stays, with the columns named by :func:`count_columns`.
 
     Null texts stay null and count no line; a text all of whose lines go becomes
     empty. Rows without an id keep their lines and are not compared; equal lines
     of the same number in rows that share an id stay or go together. An empty
-    table stays empty; other columns pass through.
+    table stays empty; other columns, whatever their names, pass through.
     """
-    gone = repeated_lines(docs, id_col, text_col, **options).select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col("_doc"), "left").drop("_doc")
-    joined = joined.withColumn("_n_lines", F.lit(0)).withColumn("_n_removed", F.lit(0))
-    schema = joined.drop("_lines").schema
-    text_at, lines_at = joined.columns.index(text_col), joined.columns.index("_lines")
+    counted = count_columns(docs)
+    doc_of, lines_of = unused([*docs.columns, *counted], "_doc", "_lines")
+    gone = repeated_lines(docs, id_col, text_col, **options).select(F.col("doc").alias(doc_of), F.col("lines").alias(lines_of))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`") == F.col(doc_of), "left").drop(doc_of)
+    joined = joined.withColumn(counted[0], F.lit(0)).withColumn(counted[1], F.lit(0))
+    schema = joined.drop(lines_of).schema
+    text_at, lines_at = joined.columns.index(text_col), joined.columns.index(lines_of)
 
     def run(batches):
         import pyarrow as pa

@@ -193,8 +193,9 @@ def coalesced(rows: Iterator[tuple[str, int, int]], range_bytes: int, gap_bytes:
 def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
     """Records that the rows of ``index`` select, with payloads (null for revisits).
 
-    The selected rows are spread by archive and stretch of 4 ranges, sorted by
-    offset, and each run of near neighbours is one read.
+    The selected rows are spread by archive and stretch of ``range_bytes``, over one task for
+    each such stretch of all they read, sorted by offset, and each run of near
+    neighbours is one read.
     """
 
     def run(batches):
@@ -217,6 +218,9 @@ def read_records(index: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
             rows = [parse_record(gzip.decompress(raw[at : at + length])) for at, length in members]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    stretch = F.floor(F.col("offset") / F.lit(4 * range_bytes))
-    ordered = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    stretch = F.floor(F.col("offset") / F.lit(range_bytes))
+    # The rows dealt out are tiny, what they read is not: tasks are numbered by the bytes behind them.
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-size // range_bytes))
+    ordered = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(run, RECORD)

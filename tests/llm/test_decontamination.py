@@ -102,3 +102,12 @@ def test_removal(spark):
     assert [r["doc_id"] for r in kept] == [3]
     digest = dec.find_items(docs, items).select(F.sha2(F.array_join("_found.items", ","), 256).alias("h")).collect()
     assert digest[2]["h"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([(1, LONG, "mine", 5), (2, "clean words", "too", 6)], "doc_id long, text string, _found string, __FOUND int")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = dec.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean words", "too", 6)]
+    cut = dec.remove_spans(docs, items, coverage_percent=101)
+    assert cut.columns == docs.columns and sorted(tuple(r) for r in cut.collect()) == [(1, "", "mine", 5), (2, "clean words", "too", 6)]

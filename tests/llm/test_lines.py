@@ -363,3 +363,14 @@ def test_long_lines_of_few_words_are_compared(spark):
     frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     got = {x["doc_id"] for x in linededup.dedup_lines(frame).collect() if x["_n_removed"]}
     assert got == {1, 2, 5, 7}
+
+
+def test_clashing_columns_of_lines_pass_through(spark):
+    line = "the same long line of quite a few words"
+    rows = [(1, f"{line}\nown words of the first document here", 1, "a", 7, "b"), (2, f"{line}\nx", 2, "c", 8, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc int, _lines string, _n_lines int, _N_REMOVED string")
+    cleaned = linededup.dedup_lines(docs)
+    lines, removed = linededup.count_columns(docs)
+    assert cleaned.columns == [*docs.columns, lines, removed] and len({c.lower() for c in cleaned.columns}) == 8
+    got = sorted(tuple(r) for r in cleaned.collect())
+    assert got == [(*rows[0], 2, 0), (2, "x", *rows[1][2:], 2, 1)]

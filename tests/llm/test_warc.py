@@ -74,3 +74,11 @@ def test_ranges():
         ("a", 0, 15, [(0, 10), (10, 5)]), ("a", 40, 5, [(0, 5)]), ("a", 45, 100, [(0, 100)]), ("b", 0, 3, [(0, 3)]),
     ]
     assert list(warc.coalesced(iter(rows[:3]), 50, 100)) == [("a", 0, 45, [(0, 10), (10, 5), (40, 5)])]
+
+
+def test_reads_are_spread_over_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(sha2(cast(id AS string), 512), 20) AS html")
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write_archives(pages.repartition(2), folder)
+    records = warc.read_records(index, folder, range_bytes=4096, gap_bytes=64)
+    assert records.count() == 400 and records.rdd.getNumPartitions() > 8
