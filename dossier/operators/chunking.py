@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Separators from the coarsest to the finest, and the sizes of chunks and overlaps.
 SEPARATORS = ("\n\n", "\n", " ", "")
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
 GATE_CHUNK_SIZE, GATE_CHUNK_OVERLAP = 500, 50
