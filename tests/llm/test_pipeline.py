@@ -28,7 +28,7 @@ def test_entry_lists_everything():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
     numbers = sorted(int(n.split("_")[0][2:]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_stages(spark, tmp_path):
