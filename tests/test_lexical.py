@@ -82,3 +82,14 @@ def test_bounds_and_equality(spark, pairs):
         score = got.get(i, 0.0)
         assert -1e-12 <= score <= 1 + 1e-12
         assert score == pytest.approx(two_text_score(b, a), abs=1e-12)
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    from dossier.operators import lexical
+
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 40)
+    docs = spark.createDataFrame([(i, f"spark data{i}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, "spark query") for i in range(10)], "jd_id long, text string")
+    scored = lexical.tfidf_scores(docs, asked)
+    assert scored.rdd.getNumPartitions() >= 60 * 10 // 40
+    assert scored.count() == 600
