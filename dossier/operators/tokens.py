@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import word_tokens
-from .scaling import BROADCAST_ROWS, RANGE_ROWS, global_position, join_small, running_start, small_rows
+from .scaling import BROADCAST_ROWS, RANGE_ROWS, global_position, running_start, small_rows
 
 MAX_LENGTH = 128
 BLOCK_SIZE = 128
@@ -84,7 +84,8 @@ def encode(
     lists = _token_lists(placed, doc_id, text, "_block")
     # Terms are made distinct by block before they move.
     distinct = lists.select(F.col("_block").alias("_of"), F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    looked_up = join_small(distinct, known, ["term"], "inner", spread=["_of"])
+    # A term has one row a block, so no key is hot and the vocabulary moves once.
+    looked_up = distinct.join(known, "term")
 
     def code(texts_of: pa.Table, terms_of: pa.Table) -> pa.Table:
         terms, ids = terms_of.column("term").combine_chunks(), terms_of.column("id").combine_chunks()

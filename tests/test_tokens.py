@@ -40,6 +40,11 @@ def test_encode_with_a_vocabulary_that_stays_a_table(spark, docs, block_bytes):
     assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {**python_ids(5), 900: [], 901: [], 902: [1, 1]}
 
 
+def test_large_vocabulary_is_not_repeated(docs):
+    coded = tokens.encode(docs, tokens.build_vocabulary(docs), vocabulary_size=10**9, block_bytes=100)
+    assert "sequence(" not in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_small_vocabulary_moves_no_text(spark, tmp_path):
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
     texts = spark.read.parquet(f"{tmp_path}/docs")
