@@ -8,7 +8,7 @@ import itertools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.scaling import small_rows
@@ -28,6 +28,8 @@ BUCKET_LINES = 64
 GRAM_WORDS = 5
 MOST_WINDOW = 16
 HUB_ROUNDS = 3
+# The numbers of 64 bits that sketch the words of a line.
+SKETCH = ("s0", "s1", "s2", "s3")
 
 NOT_WORD = re.compile(r"[\W_]+")
 DIGIT = re.compile(r"\d")
@@ -124,14 +126,28 @@ def gram_words(similarity: float) -> int:
     return min([GRAM_WORDS, *(run for n in range(1, 500) if (run := common_run(n, similarity)))])
 
 
-def run_keys(lines: list[list[bytes]], similarity: float):
-    """Keys of each line, of which lines alike but not equal share one, and two numbers that sketch its words.
+def occurrences(hashes, sizes):
+    """How often the word at each place has come before in its line."""
+    import numpy as np
+
+    line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    own = (hashes ^ (line * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(own, kind="stable")
+    sorted_own = own[order]
+    starts = np.flatnonzero(np.concatenate(([True], sorted_own[1:] != sorted_own[:-1])))
+    before = np.empty(len(hashes), dtype=np.uint64)
+    before[order] = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    return before
+
+
+def run_keys(lines: list[list[bytes]], similarity: float, numbers: int = 2):
+    """Keys of each line, of which lines alike but not equal share one, and ``numbers`` (a power of two) that sketch its words.
 
     A key is the smallest gram hash in a window of grams no longer than the run
     of words that the line shares with any line alike; a window inside that run
-    gives both lines a key of the one with the wider windows. The sketch has a
-    bit for the words that occur an odd number of times, so that an edit turns
-    at most two.
+    gives both lines a key of the one with the wider windows. The sketch turns a
+    bit for every word with the number of its occurrence, so that an edit turns
+    at most two and words said over and over do not cancel out.
     """
     import numpy as np
     from xxhash import xxh3_64_intdigest
@@ -139,9 +155,10 @@ def run_keys(lines: list[list[bytes]], similarity: float):
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     hashes = np.fromiter((xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
-    bits = np.uint64(1) << (hashes & np.uint64(63))
-    high = (hashes & np.uint64(64)) != 0
-    sketch = [np.bitwise_xor.reduceat(np.where(high == side, bits, np.uint64(0)), starts).view(np.int64) for side in (False, True)]
+    counted = (hashes + occurrences(hashes, sizes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    bits = np.uint64(1) << (counted >> np.uint64(58))
+    place = (counted >> np.uint64(40)) % np.uint64(numbers)
+    sketch = [np.bitwise_xor.reduceat(np.where(place == i, bits, np.uint64(0)), starts).view(np.int64) for i in range(numbers)]
 
     gram = gram_words(similarity)
     windows = np.array([min(max(common_run(n, similarity) - gram + 1, 0), MOST_WINDOW) for n in sizes.tolist()], dtype=np.int64)
@@ -197,7 +214,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
     """``doc``, ``line`` (from 0), whether it is the ``first`` such line of its text, ``node`` (digest) and what finds lines alike.
 
     That is ``simhash``, if ``distance`` bounds it, and, unless blocks of it do,
-    the number of words ``n``, the sketch ``low`` and ``high`` and, once a task,
+    the number of words ``n``, the numbers of its ``SKETCH`` and, once a task,
     the ``keys``. Only lines that are ``long_enough``. Rows without an id are
     left out.
     """
@@ -205,10 +222,10 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import digest, long_enough, normalised, run_keys, simhashes
+        from dossier.llm.linededup import SKETCH, digest, long_enough, normalised, run_keys, simhashes
 
-        names = ["doc", "line", "first", "node", "simhash", "n", "low", "high", "keys"]
-        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+        names = ["doc", "line", "first", "node", "simhash", "n", *SKETCH, "keys"]
+        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * (2 + len(SKETCH)), pa.list_(pa.int64())]
         held, words, size, given = [], [], 0, set()
         shortest = min(2 * least_words - 1, LEAST_LETTERS)
 
@@ -217,9 +234,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
             nothing = [None] * len(held)
             columns.append(simhashes(words) if distance < BITS else nothing)
             if distance <= NEAR:
-                columns += [nothing] * 4
+                columns += [nothing] * (2 + len(SKETCH))
             else:
-                keys, sketch = run_keys(words, similarity)
+                keys, sketch = run_keys(words, similarity, len(SKETCH))
                 if len(given) > 1_000_000:
                     given.clear()
                 for i, name in enumerate(columns[3]):
@@ -254,7 +271,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    columns = "line int, first boolean, node binary, simhash long, n long, low long, high long, keys array<long>"
+    columns = f"line int, first boolean, node binary, simhash long, n long, {' long, '.join(SKETCH)} long, keys array<long>"
     return chosen.mapInArrow(run, f"doc {kind}, {columns}")
 
 
@@ -316,24 +333,23 @@ def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -
 
 
 def crowded_keys(keyed: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The lines (``id``, ``n``, ``low``, ``high``, ``simhash``) of every ``key`` that several share.
+    """The lines (``id``, ``n``, the ``SKETCH``, ``simhash``) of every ``key`` that several share.
 
-    Keys are dealt out once; the keys that several lines share are found and their lines picked where they lie.
+    Keys are dealt out once: the window sees the smallest and largest id of a key where its lines lie.
     """
-    keyed = keyed.repartition("key")
-    several = keyed.groupBy("key").agg(F.min("id").alias("_a"), F.max("id").alias("_z")).filter("_a <> _z").select("key")
-    return keyed.join(several, "key").distinct().join(signatures, "id")
+    of_key = Window.partitionBy("key")
+    several = keyed.withColumn("_a", F.min("id").over(of_key)).withColumn("_z", F.max("id").over(of_key)).filter("_a <> _z")
+    return several.select("id", "key").distinct().join(signatures, "id")
 
 
 def _turned(x: str, y: str) -> Column:
     """Bits in which the sketches of two lines differ."""
-    low, high = (F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("low", "high"))
-    return low + high
+    return functools.reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH])
 
 
 def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
     """Whether lengths and sketches leave it possible that two lines are alike."""
-    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "low", "high", "simhash")} for side in (x, y))
+    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "simhash")} for side in (x, y))
     most = F.floor(F.greatest(a["n"], b["n"]) * F.lit(1 - similarity) + F.lit(1e-9))
     may = (F.abs(a["n"] - b["n"]) <= most) & (_turned(x, y) <= most * 2)
     return may if distance >= BITS else may & _near(a["simhash"], b["simhash"], distance)
@@ -341,9 +357,10 @@ def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
 
 def placed_lines(crowds: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows of the keys that bring lines of several groups together, with the ``component`` of each line."""
-    rows = crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).repartition("key")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).filter("_a <> _z").select("key")
-    return rows.join(mixed, "key", "left_semi")
+    of_key = Window.partitionBy("key")
+    rows = crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.withColumn("_a", F.min("component").over(of_key)).withColumn("_z", F.max("component").over(of_key))
+    return mixed.filter("_a <> _z").drop("_a", "_z")
 
 
 def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float) -> DataFrame:
@@ -351,7 +368,7 @@ def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float)
 
     A linear number of pairs. A bucket's hub is drawn by a hash, anew at every turn.
     """
-    line = F.struct("id", "component", "n", "low", "high", "simhash")
+    line = F.struct("id", "component", "n", *SKETCH, "simhash")
     hubs = rows.groupBy("key").agg(F.min_by(line, F.xxhash64("id", "key", F.lit(turn))).alias("hub"))
     met = rows.select("key", line.alias("line")).join(hubs, "key").filter("line.component <> hub.component")
     met = met.filter(_may_be_alike("line", "hub", distance, similarity))
@@ -441,11 +458,11 @@ def repeated_lines(
     lines = tables.write(full.select("doc", "line", "node"))
     doc = F.when(F.col("first"), F.col("doc"))
     distinct = full.groupBy("node").agg(
-        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), *[F.max(c).alias(c) for c in ("simhash", "n", "low", "high")], F.count(F.lit(1)).alias("_times")
+        F.min(doc).alias("doc"), F.min_by("line", doc).alias("line"), *[F.max(c).alias(c) for c in ("simhash", "n", *SKETCH)], F.count(F.lit(1)).alias("_times")
     )
     name = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
     distinct = tables.write(distinct.withColumn("id", name))
-    signatures = distinct.select("id", "simhash", "n", "low", "high")
+    signatures = distinct.select("id", "simhash", "n", *SKETCH)
 
     def texts(ids):
         return texts_of(ids, distinct, docs, id_col, text_col)

@@ -374,3 +374,22 @@ def test_clashing_columns_of_lines_pass_through(spark):
     assert cleaned.columns == [*docs.columns, lines, removed] and len({c.lower() for c in cleaned.columns}) == 8
     got = sorted(tuple(r) for r in cleaned.collect())
     assert got == [(*rows[0], 2, 0), (2, "x", *rows[1][2:], 2, 1)]
+
+
+def test_words_said_over_and_over_turn_bits_of_the_sketch():
+    lines = [w.split() for w in ("the " * 40 + "ly " * 40, "the " * 40 + "er " * 40, "the " * 40 + "er " * 38)]
+    _, sketch = linededup.run_keys([[w.encode() for w in words] for words in lines], 0.9, 4)
+
+    def turned(i, j):
+        return sum((int(s[i] ^ s[j]) & (1 << 64) - 1).bit_count() for s in sketch)
+
+    assert turned(0, 1) > 2 * linededup.edits(80, 0.9) and turned(1, 2) <= 4
+
+
+def test_crowded_keys_deal_out_the_keys_once(spark):
+    keyed = spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, 8), (4, 9), (4, 9)], "id long, key long")
+    lines = spark.createDataFrame([(i, i * 10) for i in range(1, 5)], "id long, n long")
+    found = linededup.crowded_keys(keyed, lines)
+    assert sorted(tuple(r) for r in found.select("id", "key", "n").collect()) == [(1, 7, 10), (2, 7, 20)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1
