@@ -15,21 +15,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import scores
 from ..session import checkpointed
-from .nearest import fit_cells
+from .nearest import WAVES, RunningBest, _sum_in_order, fit_cells
 from .scaling import keep_top
 
 SAMPLE_ROWS = 50_000
 CODES = 256
 ROUNDS = 12
-QUERY_ROWS = 4_000
+# Queries and codes of a group, and rows of one batch of queries by cell.
+QUERY_ROWS, CODE_ROWS, ENTERED_ROWS = 4_000, 50_000, 10_000
 TILE = 4_000_000
+# Pairs whose exact distances are taken at a time.
+PAIRS = 200_000
 # Bounds and distances are compared with this much room for rounding.
 ROOM = 1e-5
 
@@ -195,136 +197,167 @@ def read_codec(spark: SparkSession, root: str) -> Codec:
     )
 
 
-class Candidates:
-    """Per query the codes seen so far that may be among its closest."""
-
-    def __init__(self, keep: int):
-        self.keep, self.held = keep, []
-        self.rows = 0
-
-    def add(self, queries: np.ndarray, gaps: np.ndarray, ids: pa.Array, homes: np.ndarray, wanted: np.ndarray) -> None:
-        """Keep the wanted ones of a (query, code) matrix of distances."""
-        at, col = np.nonzero(wanted)
-        if len(at):
-            self.held.append((queries[at], gaps[at, col], ids.take(pa.array(col)), homes[col]))
-            self.rows += len(at)
-
-    def cut(self) -> None:
-        """No more than ``keep`` per query."""
-        if not self.held:
-            return
-        queries, gaps, homes = (np.concatenate([h[i] for h in self.held]) for i in (0, 1, 3))
-        ids = pa.concat_arrays([h[2] for h in self.held])
-        if self.keep:
-            order = np.lexsort((gaps, queries))
-            sorted_queries = queries[order]
-            place = np.arange(len(order)) - np.searchsorted(sorted_queries, sorted_queries, side="left")
-            order = order[place < self.keep]
-            queries, gaps, homes, ids = queries[order], gaps[order], homes[order], ids.take(pa.array(order))
-        self.held, self.rows = [(queries, gaps, ids, homes)], len(queries)
-
-
-def _code_scan(
-    codes: DataFrame, codec: Codec, asked: pd.DataFrame, enter: np.ndarray, keep: int, limit: np.ndarray | None
-) -> DataFrame:
-    """Distances from queries to the codes of the cells that they enter.
+def _entered(asked: DataFrame, codec: Codec, probes: int | None) -> DataFrame:
+    """The ``cell`` rows of every query: its ``probes`` closest, or all that may hold a vector within its ``limit``."""
+    used = codec.radius >= 0
 
-    Without ``limit`` the ``keep`` closest codes per query and task come out; with a
-    ``limit`` per query all home codes whose true distance may be at most that.
-    """
-    matrix = np.stack(asked["query_vector"].to_numpy()).astype(np.float64)
-    names = asked["query_id"].to_numpy()
-    squares = (matrix**2).sum(1)
-    id_type = codes.schema["vector_id"].dataType
-    query_type = asked.attrs["query_type"]
-    arrow_names = pa.array(names, to_arrow_type(query_type), from_pandas=True)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Candidates(keep if limit is None else 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            for cell in np.unique(cells):
-                queries = np.flatnonzero(enter[:, cell])
-                if not len(queries):
-                    continue
-                piece = batch.take(pa.array(np.flatnonzero(cells == cell)))
-                flat = np.frombuffer(b"".join(piece.column("code").to_pylist()), np.uint8).reshape(piece.num_rows, -1)
-                near = codec.centres[cell] + codec.decode(flat)
-                square = piece.column("square").to_numpy()
-                error = piece.column("error").to_numpy()
-                home = piece.column("home").to_numpy()
-                step = max(1, TILE // piece.num_rows)
-                for at in range(0, len(queries), step):
-                    some = queries[at : at + step]
-                    # Whole queries against decoded codes: one matrix product instead of a look-up per sub-vector.
-                    gaps = np.sqrt(np.maximum(squares[some][:, None] + square[None] - 2 * matrix[some] @ near.T, 0))
-                    if limit is not None:
-                        wanted = (gaps - error[None] <= limit[some][:, None] + ROOM) & (home == cell)[None]
-                    elif piece.num_rows > keep:
-                        wanted = gaps <= np.partition(gaps, keep - 1, axis=1)[:, keep - 1 : keep]
-                    else:
-                        wanted = np.ones(gaps.shape, bool)
-                    best.add(some, gaps, piece.column("vector_id"), home, wanted)
-                if best.keep and best.rows > TILE:
-                    best.cut()
-                elif not best.keep and best.rows > TILE // 4:
-                    yield from out(best)
-                    best = Candidates(0)
-        best.cut()
-        yield from out(best)
-
-    def out(best: Candidates) -> Iterator[pa.RecordBatch]:
-        for queries, gaps, ids, homes in best.held:
-            columns = [arrow_names.take(pa.array(queries)), ids, pa.array(homes, pa.int32()), pa.array(gaps)]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vector_id", "home", "near"])
-
-    schema = f"query_id {query_type.simpleString()}, vector_id {id_type.simpleString()}, home int, near double"
-    return codes.mapInArrow(scan, schema)
-
-
-def _exact(found: DataFrame, asked: DataFrame, whole: DataFrame) -> DataFrame:
-    """True distances of candidates; only the partitions of their homes are read."""
-    found = checkpointed(found)
-    homes = [r["home"] for r in found.select("home").distinct().collect()]  # at most one per cell
-    named = found.select("query_id", "vector_id", "home")
-    there = whole.filter(F.col("home").isin(homes)).select("vector_id", "vector", "home")
-    # Candidates are narrow; whole vectors stay where they are read unless there are very many candidates.
-    few = found.count() <= 500_000
-    pairs = there.join(F.broadcast(named) if few else named, ["vector_id", "home"])
-    # One block of queries: QUERY_ROWS rows at most.
-    pairs = pairs.join(F.broadcast(asked), "query_id")
-    return pairs.select("query_id", "vector_id", scores.euclidean(F.col("query_vector"), F.col("vector")).alias("distance"))
-
-
-def _search_block(
-    spark: SparkSession, asked: DataFrame, root: str, codec: Codec, k: int, probes: int, rescore: int, certified: bool
-) -> DataFrame:
-    packed = asked.toPandas()
-    packed.attrs["query_type"] = asked.schema["query_id"].dataType
-    gaps = codec.cell_gaps(np.stack(packed["query_vector"].to_numpy()).astype(np.float64))
-    used = codec.radius >= 0
-    order = np.argsort(np.where(used[None], gaps, np.inf), axis=1, kind="stable")[:, :probes]
-    enter = np.zeros(gaps.shape, bool)
-    np.put_along_axis(enter, order, True, axis=1)
-    enter &= used[None]
+            if not batch.num_rows:
+                continue
+            gaps = codec.cell_gaps(_matrix(batch.column("query_vector")))
+            if probes is None:
+                limit = batch.column("limit").to_numpy(zero_copy_only=False)
+                enter = gaps - codec.radius[None] <= limit[:, None] + ROOM
+            else:
+                order = np.argsort(np.where(used[None], gaps, np.inf), axis=1, kind="stable")[:, :probes]
+                enter = np.zeros(gaps.shape, bool)
+                np.put_along_axis(enter, order, True, axis=1)
+            at, cells = np.nonzero(enter & used[None])
+            # A piece at a time: a query may enter all cells.
+            for first in range(0, len(at), ENTERED_ROWS):
+                some = slice(first, first + ENTERED_ROWS)
+                piece = batch.take(pa.array(at[some]))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(cells[some], pa.int32())], [*batch.schema.names, "cell"])
+
+    return asked.mapInArrow(run, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def _in_groups(left: DataFrame, right: DataFrame, run, schema: str, query_rows: int) -> DataFrame:
+    """``run(cell, left, right)`` on Arrow tables of bounded size; each left row meets every right row of its cell once.
+
+    Left rows are cut into blocks by ``query_id``, right rows into shards by
+    ``vector_id``. Only the row counts of cells reach the driver.
+    """
+    cut = {}
+    for side, rows, most in (("left", left, query_rows), ("right", right, CODE_ROWS)):
+        counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cell
+        parts = [-(-counts.get(c, 0) // most) for c in range(max(counts, default=-1) + 1)]
+        # The last entry stands for cells that this side does not have.
+        cut[side] = F.array(*[F.lit(n).cast("long") for n in [*parts, 0]]), len(parts)
 
-    def cells(mask: np.ndarray) -> DataFrame:
-        """Only the folders of cells that some query enters."""
-        return spark.read.parquet(f"{root}/codes").filter(F.col("cell").isin([int(c) for c in np.flatnonzero(mask.any(0))]))
+    def parts_of(side: str) -> Column:
+        table, known = cut[side]
+        return F.element_at(table, F.least(F.col("cell"), F.lit(known)) + 1)
 
-    whole = spark.read.parquet(f"{root}/vectors")
-    rough = _code_scan(cells(enter), codec, packed, enter, rescore, None)
-    # A vector's code may lie in several of the probed cells.
-    once = rough.groupBy("query_id", "vector_id", "home").agg(F.min("near").alias("near"))
-    best = keep_top(once, ["query_id"], [F.col("near"), F.col("vector_id")], rescore, "_place").drop("_place")
-    found = _exact(best, asked, whole)
-    if not certified:
-        return found
-    reached = keep_top(found, ["query_id"], [F.col("distance"), F.col("vector_id")], k, "_place").filter(F.col("_place") == k)
-    limits = {r["query_id"]: r["distance"] for r in reached.select("query_id", "distance").collect()}  # one per query of the block
-    limit = np.array([limits.get(q, np.inf) for q in packed["query_id"]])
-    open_cells = used[None] & (gaps - codec.radius[None] <= limit[:, None] + ROOM)
-    return _exact(_code_scan(cells(open_cells), codec, packed, open_cells, 0, limit), asked, whole)
+    def numbers(side: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), parts_of(side) - 1))
+
+    group = ["cell", "shard", "block"]
+    parts = WAVES * left.sparkSession.sparkContext.defaultParallelism
+    left = left.filter(parts_of("right") > 0).withColumn("block", F.pmod(F.xxhash64("query_id"), parts_of("left")))
+    left = left.withColumn("shard", numbers("right")).repartition(parts, *group)
+    right = right.filter(parts_of("left") > 0).withColumn("shard", F.pmod(F.xxhash64("vector_id"), parts_of("right")))
+    right = right.withColumn("block", numbers("left")).repartition(parts, *group)
+
+    def work(key, some: pa.Table, others: pa.Table) -> pa.Table:
+        return run(key[0].as_py(), some.combine_chunks(), others.combine_chunks())
+
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(work, schema)
+
+
+def _table_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _matrix(column.combine_chunks()) if len(column) else np.zeros((0, 0))
+
+
+def _decoded(codec: Codec, cell: int, codes: pa.Table) -> np.ndarray:
+    flat = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
+    return codec.centres[cell] + codec.decode(flat)
+
+
+def _code_gaps(queries: np.ndarray, near: np.ndarray, square: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances from queries to decoded codes, some queries at a time.
+
+    Whole queries against decoded codes: one matrix product instead of a look-up per sub-vector.
+    """
+    step = max(1, TILE // max(1, len(near)))
+    for at in range(0, len(queries), step):
+        some = queries[at : at + step]
+        yield at, np.sqrt(np.maximum((some**2).sum(1)[:, None] + square[None] - 2 * some @ near.T, 0))
+
+
+def _nearest_codes(entered: DataFrame, codes: DataFrame, codec: Codec, keep: int, query_rows: int) -> DataFrame:
+    """The ``keep`` closest codes of every query and group of codes."""
+
+    def run(cell: int, asked: pa.Table, some: pa.Table) -> pa.Table:
+        rows, cols, near = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if asked.num_rows and some.num_rows:
+            decoded = _decoded(codec, cell, some)
+            for at, gaps in _code_gaps(_table_matrix(asked.column("query_vector")), decoded, some.column("square").to_numpy()):
+                chosen = np.argpartition(gaps, keep - 1, axis=1)[:, :keep] if some.num_rows > keep else np.tile(np.arange(some.num_rows), (len(gaps), 1))
+                rows.append(np.repeat(np.arange(at, at + len(gaps)), chosen.shape[1]))
+                cols.append(chosen.ravel())
+                near.append(np.take_along_axis(gaps, chosen, axis=1).ravel())
+        row, col = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
+        columns = [asked.column("query_id").take(row), some.column("vector_id").take(col), some.column("home").take(col), pa.array(np.concatenate(near))]
+        return pa.table(columns, ["query_id", "vector_id", "home", "near"])
+
+    kinds = entered.schema["query_id"].dataType.simpleString(), codes.schema["vector_id"].dataType.simpleString()
+    return _in_groups(entered, codes, run, f"query_id {kinds[0]}, vector_id {kinds[1]}, home int, near double", query_rows)
+
+
+def _found(asked: pa.Table, vectors: pa.Table, row: np.ndarray, col: np.ndarray, gaps: np.ndarray) -> pa.Table:
+    columns = [asked.column("query_id").take(pa.array(row)), vectors.column("vector_id").take(pa.array(col)), pa.array(gaps)]
+    return pa.table(columns, ["query_id", "vector_id", "distance"])
+
+
+def _exact(found: DataFrame, asked: DataFrame, whole: DataFrame, query_rows: int) -> DataFrame:
+    """True distances of candidates; only the partitions of their homes are read.
+
+    A query meets the vectors of a home once, with the ids of its candidates there.
+    """
+    listed = found.groupBy("query_id", F.col("home").alias("cell")).agg(F.collect_list("vector_id").alias("wanted"))
+    listed = checkpointed(listed.join(asked, "query_id"))
+    homes = [r["cell"] for r in listed.select("cell").distinct().collect()]  # at most one per cell
+    there = whole.filter(F.col("home").isin(homes)).withColumnRenamed("home", "cell")
+
+    def run(cell: int, some: pa.Table, vectors: pa.Table) -> pa.Table:
+        wanted = some.column("wanted").combine_chunks()
+        rows, places = wanted.value_parent_indices(), pc.index_in(wanted.flatten(), vectors.column("vector_id").combine_chunks())
+        # Candidates of other shards have no place.
+        known = pc.is_valid(places)
+        row = rows.filter(known).to_numpy(zero_copy_only=False)
+        col = places.filter(known).to_numpy(zero_copy_only=False)
+        left, right = _table_matrix(some.column("query_vector")), _table_matrix(vectors.column("vector"))
+        gaps = [np.empty(0)]
+        for at in range(0, len(row), PAIRS):
+            span = slice(at, at + PAIRS)
+            gaps.append(np.sqrt(_sum_in_order(left[row[span]], right[col[span]], True)))
+        return _found(some, vectors, row.astype(np.int64), col.astype(np.int64), np.concatenate(gaps))
+
+    kinds = asked.schema["query_id"].dataType.simpleString(), whole.schema["vector_id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, vector_id {kinds[1]}, distance double"
+    return _in_groups(listed, there, run, schema, query_rows)
+
+
+def _certified(limited: DataFrame, codes: DataFrame, whole: DataFrame, codec: Codec, k: int, query_rows: int) -> DataFrame:
+    """The ``k`` closest vectors of every query and group, of those whose codes leave a distance within the query's ``limit``."""
+    there = codes.filter("cell = home").select("vector_id", F.col("cell"), "code", "square", "error")
+    there = checkpointed(there.join(whole.withColumnRenamed("home", "cell"), ["vector_id", "cell"]))
+
+    def run(cell: int, some: pa.Table, vectors: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        if not some.num_rows or not vectors.num_rows:
+            return _found(some, vectors, none, none, np.empty(0))
+        asked, limit = _table_matrix(some.column("query_vector")), some.column("limit").to_numpy()
+        error, open_codes = vectors.column("error").to_numpy(), np.zeros(vectors.num_rows, bool)
+        for at, gaps in _code_gaps(asked, _decoded(codec, cell, vectors), vectors.column("square").to_numpy()):
+            open_codes |= (gaps - error[None] <= limit[at : at + len(gaps)][:, None] + ROOM).any(axis=0)
+        place = np.flatnonzero(open_codes)
+        if not len(place):
+            return _found(some, vectors, none, none, np.empty(0))
+        # Ties go to the smaller id: places are numbered in the order of ids.
+        ids = np.array(vectors.column("vector_id").take(pa.array(place)).to_pylist())
+        place = place[np.argsort(ids, kind="stable")]
+        best = RunningBest(asked, k, "l2")
+        best.add(np.arange(len(place)), _table_matrix(vectors.column("vector").take(pa.array(place))))
+        row, at, gaps = best.result()
+        near = gaps <= limit[row] + ROOM
+        return _found(some, vectors, row[near], place[at[near]], gaps[near])
+
+    entered = _entered(limited, codec, None)
+    kinds = limited.schema["query_id"].dataType.simpleString(), whole.schema["vector_id"].dataType.simpleString()
+    return _in_groups(entered, there, run, f"query_id {kinds[0]}, vector_id {kinds[1]}, distance double", query_rows)
 
 
 def search_index(
@@ -347,28 +380,27 @@ def search_index(
     neighbour is missed when it lies in no probed cell or behind that many closer codes.
     With ``certified`` nothing is missed: the k-th distance found so far and the
     codes' errors tell which other cells and codes could still hold a closer vector,
-    and those are compared too. Queries go in blocks of ``query_rows``, each
-    sent to the tasks whole; codes are read in place and never shuffled. Ties
+    and those are compared too. Queries and codes meet by cell in groups of at most about
+    ``query_rows`` and ``CODE_ROWS`` of them; only counts of cells reach the driver. Ties
     go to the smaller id; null query vectors find nothing.
     """
     spark = queries.sparkSession
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query_vector"))
     asked = asked.filter("query_vector is not null")
     codec = read_codec(spark, root)
-    rows = asked.count()
-    blocks = -(-rows // query_rows)
-    # Hashed blocks are uneven; half as many more keep them below the bound with room.
-    blocks = blocks if blocks <= 1 else blocks + blocks // 2 + 1
-    found = None
-    for number in range(blocks):
-        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        if blocks > 1 and block.isEmpty():
-            continue
-        part = _search_block(spark, block, root, codec, k, probes, rescore, certified)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        id_type = spark.read.parquet(f"{root}/vectors").schema["vector_id"].dataType
-        fields = [("query_id", asked.schema["query_id"].dataType), ("vector_id", id_type), ("distance", T.DoubleType())]
-        found = spark.createDataFrame([], T.StructType([T.StructField(n, t) for n, t in fields]))
+    codes, whole = spark.read.parquet(f"{root}/codes"), spark.read.parquet(f"{root}/vectors")
+    entered = _entered(asked, codec, probes)
+    cells = [r["cell"] for r in entered.select("cell").distinct().collect()]  # at most one per cell
+    # Only the folders of cells that some query enters.
+    rough = _nearest_codes(entered, codes.filter(F.col("cell").isin(cells)), codec, rescore, query_rows)
+    # A vector's code may lie in several of the probed cells.
+    once = rough.groupBy("query_id", "vector_id", "home").agg(F.min("near").alias("near"))
+    best = keep_top(once, ["query_id"], [F.col("near"), F.col("vector_id")], rescore, "_place").drop("_place")
+    found = _exact(best, asked, whole, query_rows)
+    if certified:
+        reached = keep_top(found, ["query_id"], [F.col("distance"), F.col("vector_id")], k, "_place").filter(F.col("_place") == k)
+        limits = reached.select("query_id", F.col("distance").alias("limit"))
+        limited = asked.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        found = _certified(checkpointed(limited), codes, whole, codec, k, query_rows)
     top = keep_top(found, ["query_id"], [F.col("distance"), F.col("vector_id")], k, rank)
     return top.select(F.col("query_id").alias(query_id), F.col("vector_id").alias(vector_id), "distance", rank)

@@ -84,3 +84,31 @@ def test_nothing_to_find(spark, tmp_path):
     vectorindex.build_index(frame(spark, vectors(), "vec_id long, embedding array<float>"), root, cells=4, sub_vectors=2)
     none = spark.createDataFrame([(1, None)], "query_id long, query_vector array<float>")
     assert vectorindex.search_index(none, root).collect() == []
+
+
+def test_queries_and_limits_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    stored, asked = vectors(), vectors(9, 120)
+    root = f"{tmp_path}/index"
+    vectorindex.build_index(frame(spark, stored, "vec_id long, embedding array<float>"), root, cells=4, sub_vectors=4)
+    kind = type(spark.range(1))
+    collect, to_pandas = kind.collect, kind.toPandas
+    taken = []
+
+    def collected(self):
+        taken.append((self.columns, rows := collect(self)))
+        return rows
+
+    def as_pandas(self):
+        taken.append((self.columns, rows := to_pandas(self)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toPandas", as_pandas)
+    queries = frame(spark, asked, "query_id long, query_vector array<float>")
+    df = vectorindex.search_index(queries, root, 4, probes=1, certified=True, query_rows=16)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    for columns, rows in taken:
+        assert not {"query_id", "query_vector"} & set(columns)
+        assert len(rows) <= 4 * vectorindex.CODES
+    monkeypatch.undo()
+    assert found(df.withColumnRenamed("vec_id", "vector_id")) == brute(asked, stored, 4, "l2")
