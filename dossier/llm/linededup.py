@@ -6,6 +6,7 @@ import functools
 import hashlib
 import itertools
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,10 @@ MOST_WINDOW = 16
 HUB_ROUNDS = 3
 # The numbers of 64 bits that sketch the words of a line.
 SKETCH = ("s0", "s1", "s2", "s3")
+# Lines of more words than this have a wider sketch as well, about a bit a word, of at most so many numbers.
+WIDE_WORDS, WIDE_MOST = 384, 64
+# Pairs whose words become Python objects at a time.
+PAIRS_AT_ONCE = 64
 
 NOT_WORD = re.compile(r"[\W_]+")
 DIGIT = re.compile(r"\d")
@@ -140,6 +145,34 @@ def occurrences(hashes, sizes):
     return before
 
 
+def counted_words(lines: list[list[bytes]]):
+    """Hash of every word, a hash of it with the number of its occurrence in its line, and the sizes of lines."""
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
+
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    hashes = np.fromiter((xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
+    return hashes, (hashes + occurrences(hashes, sizes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9), sizes
+
+
+def wide_sketches(lines: list[list[bytes]]) -> list:
+    """The sketch of each line of more than ``WIDE_WORDS`` words in as many numbers as keep it from filling up, else None.
+
+    Their count is a power of two; folded in halves it is the sketch of fewer numbers.
+    """
+    import numpy as np
+
+    wide = [None] * len(lines)
+    for i, words in enumerate(lines):
+        if len(words) > WIDE_WORDS:
+            counted = counted_words([words])[1]
+            numbers = min(WIDE_MOST, 1 << (-(-len(words) // 64) - 1).bit_length())
+            found = np.zeros(numbers, np.uint64)
+            np.bitwise_xor.at(found, ((counted >> np.uint64(40)) % np.uint64(numbers)).astype(np.int64), np.uint64(1) << (counted >> np.uint64(58)))
+            wide[i] = found.view(np.int64)
+    return wide
+
+
 def run_keys(lines: list[list[bytes]], similarity: float, numbers: int = 2):
     """Keys of each line, of which lines alike but not equal share one, and ``numbers`` (a power of two) that sketch its words.
 
@@ -150,12 +183,9 @@ def run_keys(lines: list[list[bytes]], similarity: float, numbers: int = 2):
     at most two and words said over and over do not cancel out.
     """
     import numpy as np
-    from xxhash import xxh3_64_intdigest
 
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    hashes = np.fromiter((xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
+    hashes, counted, sizes = counted_words(lines)
     starts = np.cumsum(sizes) - sizes
-    counted = (hashes + occurrences(hashes, sizes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     bits = np.uint64(1) << (counted >> np.uint64(58))
     place = (counted >> np.uint64(40)) % np.uint64(numbers)
     sketch = [np.bitwise_xor.reduceat(np.where(place == i, bits, np.uint64(0)), starts).view(np.int64) for i in range(numbers)]
@@ -204,10 +234,12 @@ def edit_distance(a: list, b: list) -> int:
 
 
 def alike(a: list, b: list, similarity: float) -> bool:
+    """Whether two lines are alike; words that one has more often than the other are edits, so most others are told without a distance."""
     longest = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - similarity) * longest + 1e-9:
+    most = (1 - similarity) * longest + 1e-9
+    if abs(len(a) - len(b)) > most or longest - (Counter(a) & Counter(b)).total() > most:
         return False
-    return edit_distance(a, b) <= (1 - similarity) * longest + 1e-9
+    return edit_distance(a, b) <= most
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, similarity: float, distance: int) -> DataFrame:
@@ -215,17 +247,17 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
 
     That is ``simhash``, if ``distance`` bounds it, and, unless blocks of it do,
     the number of words ``n``, the numbers of its ``SKETCH`` and, once a task,
-    the ``keys``. Only lines that are ``long_enough``. Rows without an id are
+    its ``wide`` one and the ``keys``. Only lines that are ``long_enough``. Rows without an id are
     left out.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import SKETCH, digest, long_enough, normalised, run_keys, simhashes
+        from dossier.llm.linededup import SKETCH, digest, long_enough, normalised, run_keys, simhashes, wide_sketches
 
-        names = ["doc", "line", "first", "node", "simhash", "n", *SKETCH, "keys"]
-        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * (2 + len(SKETCH)), pa.list_(pa.int64())]
+        names = ["doc", "line", "first", "node", "simhash", "n", *SKETCH, "wide", "keys"]
+        kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * (2 + len(SKETCH)), *[pa.list_(pa.int64())] * 2]
         held, words, size, given = [], [], 0, set()
         shortest = min(2 * least_words - 1, LEAST_LETTERS)
 
@@ -234,16 +266,17 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
             nothing = [None] * len(held)
             columns.append(simhashes(words) if distance < BITS else nothing)
             if distance <= NEAR:
-                columns += [nothing] * (2 + len(SKETCH))
+                columns += [nothing] * (3 + len(SKETCH))
             else:
                 keys, sketch = run_keys(words, similarity, len(SKETCH))
+                wide = wide_sketches(words)
                 if len(given) > 1_000_000:
                     given.clear()
                 for i, name in enumerate(columns[3]):
                     if name in given:
-                        keys[i] = None
+                        keys[i] = wide[i] = None
                     given.add(name)
-                columns += [[len(w) for w in words], *sketch, keys]
+                columns += [[len(w) for w in words], *sketch, wide, keys]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
@@ -271,7 +304,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).filter("doc is not null")
-    columns = f"line int, first boolean, node binary, simhash long, n long, {' long, '.join(SKETCH)} long, keys array<long>"
+    columns = f"line int, first boolean, node binary, simhash long, n long, {' long, '.join(SKETCH)} long, wide array<long>, keys array<long>"
     return chosen.mapInArrow(run, f"doc {kind}, {columns}")
 
 
@@ -333,7 +366,7 @@ def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -
 
 
 def crowded_keys(keyed: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The lines (``id``, ``n``, the ``SKETCH``, ``simhash``) of every ``key`` that several share.
+    """The lines (``id``, ``n``, the ``SKETCH`` and ``wide`` one, ``simhash``) of every ``key`` that several share.
 
     Keys are dealt out once: the window sees the smallest and largest id of a key where its lines lie.
     """
@@ -347,11 +380,26 @@ def _turned(x: str, y: str) -> Column:
     return functools.reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH])
 
 
+def _widely_turned(x: Column, y: Column) -> Column:
+    """Bits in which two wide sketches differ, the larger folded once; null where one is missing or more than twice the other."""
+
+    def folded(a: Column, other: Column) -> Column:
+        half = F.size(other)
+        halves = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) == 2 * half, halves).otherwise(a)
+
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(bits, F.lit(0), lambda total, one: total + one))
+
+
 def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
     """Whether lengths and sketches leave it possible that two lines are alike."""
-    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "simhash")} for side in (x, y))
+    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "simhash", "wide")} for side in (x, y))
     most = F.floor(F.greatest(a["n"], b["n"]) * F.lit(1 - similarity) + F.lit(1e-9))
-    may = (F.abs(a["n"] - b["n"]) <= most) & (_turned(x, y) <= most * 2)
+    # Each edit turns two bits, one that adds or takes a word only one.
+    gap = F.abs(a["n"] - b["n"])
+    may = (gap <= most) & (_turned(x, y) <= most * 2 - gap)
+    may = may & F.coalesce(_widely_turned(a["wide"], b["wide"]) <= most * 2 - gap, F.lit(True))
     return may if distance >= BITS else may & _near(a["simhash"], b["simhash"], distance)
 
 
@@ -368,7 +416,7 @@ def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float)
 
     A linear number of pairs. A bucket's hub is drawn by a hash, anew at every turn.
     """
-    line = F.struct("id", "component", "n", *SKETCH, "simhash")
+    line = F.struct("id", "component", "n", *SKETCH, "wide", "simhash")
     hubs = rows.groupBy("key").agg(F.min_by(line, F.xxhash64("id", "key", F.lit(turn))).alias("hub"))
     met = rows.select("key", line.alias("line")).join(hubs, "key").filter("line.component <> hub.component")
     met = met.filter(_may_be_alike("line", "hub", distance, similarity))
@@ -389,7 +437,7 @@ def far_run_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFram
 
 
 def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and the ``words`` of the line's first occurrence."""
+    """``id`` and the ``words`` of the line's first occurrence, parted by spaces."""
     places = lines.join(ids, "id").select("id", "doc", "line")
     chosen = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     if small_rows(places) is not None:
@@ -402,10 +450,10 @@ def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, tex
         from dossier.llm.linededup import normalised
 
         for batch in batches:
-            words = [normalised(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], ["id", "words"])
+            words = [b" ".join(normalised(t.as_py() or "")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["id", "words"])
 
-    return found.mapInArrow(run, "id long, words array<binary>").dropDuplicates(["id"])
+    return found.mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, tables: Tables) -> DataFrame:
@@ -420,10 +468,14 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similari
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.linededup import alike
+        from dossier.llm.linededup import PAIRS_AT_ONCE, alike
 
         for batch in batches:
-            keep = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = []
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                some = batch.slice(at, PAIRS_AT_ONCE)
+                both = zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)
+                keep += [alike(x.split(b" "), y.split(b" "), similarity) for x, y in both]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     found = tables.write(both.mapInArrow(run, "a long, b long"))
@@ -474,7 +526,8 @@ def repeated_lines(
         second = far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance))
     else:
         keyed = full.select(name.alias("id"), F.explode("keys").alias("key"))
-        crowds = tables.write(crowded_keys(keyed, signatures))
+        wide = full.filter("wide is not null").select(name.alias("id"), "wide").dropDuplicates(["id"])
+        crowds = tables.write(crowded_keys(keyed, signatures.join(wide, "id", "left")))
         tables.drop(full)
         links = signatures.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         groups = links.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -393,3 +393,53 @@ def test_crowded_keys_deal_out_the_keys_once(spark):
     assert sorted(tuple(r) for r in found.select("id", "key", "n").collect()) == [(1, 7, 10), (2, 7, 20)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(key") == 1
+
+
+def long_lines(seed, n, changed):
+    """Two lines of about ``n`` words that share a stretch, and a copy of the first with ``changed`` edits."""
+    r = random.Random(seed)
+    a, b = ([f"{side}{r.randrange(10**6)}" for _ in range(n)] for side in "ab")
+    b[200:230] = a[100:130]
+    copy = list(a)
+    for at in r.sample(range(len(copy)), changed):
+        copy[at] = r.choice(("", f"c{at}", f"c{at} c{at}"))
+    return [" ".join(words).split() for words in (a, b, copy)]
+
+
+def run_row_pairs(spark, lines):
+    encoded = [[w.encode() for w in words] for words in lines]
+    keys, sketch = linededup.run_keys(encoded, 0.9, 4)
+    wide = linededup.wide_sketches(encoded)
+    rows = [
+        (i, i, k, len(lines[i]), *[int(s[i]) for s in sketch], None if wide[i] is None else wide[i].tolist(), 0)
+        for i, own in enumerate(keys) for k in own.tolist()
+    ]
+    columns = "id long, component long, key long, n long, s0 long, s1 long, s2 long, s3 long, wide array<long>, simhash long"
+    found = linededup.far_run_pairs(spark.createDataFrame(rows, columns), linededup.BITS, 0.9)
+    return {(r["a"], r["b"]) for r in found.collect()}
+
+
+@pytest.mark.parametrize("n", [300, 700, 1020, 1100, 3000, 9000])
+def test_long_lines_that_share_a_stretch_are_told_apart_before_they_pair(spark, n):
+    lines = long_lines(n, n, n // 24)
+    assert linededup.alike(lines[0], lines[2], 0.9) and not linededup.alike(lines[0], lines[1], 0.9)
+    assert run_row_pairs(spark, lines) == {(0, 2)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(385, 5000), st.integers(0, 2**32))
+def test_wide_sketches_of_lines_alike_differ_in_two_bits_an_edit(n, seed):
+    r = random.Random(seed)
+    lines = long_lines(seed, n, r.randint(0, n // 15))
+    a, b = (w for w in linededup.wide_sketches([[w.encode() for w in lines[i]] for i in (0, 2)]))
+    if b is not None and linededup.alike(lines[0], lines[2], 0.9):
+        while len(a) != len(b):
+            a, b = (x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) == max(len(a), len(b)) else x for x in (a, b))
+        most = linededup.edits(max(len(lines[0]), len(lines[2])), 0.9)
+        assert sum((int(x) & (1 << 64) - 1).bit_count() for x in a ^ b) <= 2 * most
+
+
+def test_lines_of_other_words_need_no_distance(monkeypatch):
+    monkeypatch.setattr(linededup, "edit_distance", None)
+    a, b, _ = long_lines(1, 500, 0)
+    assert not linededup.alike(a, b, 0.9)
