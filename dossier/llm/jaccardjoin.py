@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.scaling import join_small
 from .components import connected
 from .shingles import BAND_BITS
+from .sketches import turned_bits
 from .tables import Tables
 
 
@@ -140,11 +141,23 @@ def _overlap_left(x: str, y: str) -> Column:
     return F.coalesce((F.col(f"{x}.ref") != F.col(f"{y}.ref")) | (most * 7 >= (n + m) * 3), F.lit(True))
 
 
-def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame, tables: Tables) -> DataFrame:
+def _sketches_allow(x: str, y: str) -> Column:
+    """Whether the sketches of two sets leave a link possible.
+
+    Every shingle that only one of them has turns one bit, and linked sets of n
+    and m shingles have at most (n + m) / 7 of those.
+    """
+    turned = turned_bits(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"))
+    return F.coalesce(turned * 7 <= F.col(f"{x}.n") + F.col(f"{y}.n"), F.lit(True))
+
+
+def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame, tables: Tables, sketches: DataFrame) -> DataFrame:
     """All pairs that a bucket brings together, that may be linked, and that lie in different groups.
 
     ``groups`` holds the component of every node; ``checked`` holds the overlaps
-    of sets with their hubs; each set goes by the hub it overlaps most.
+    of sets with their hubs; each set goes by the hub it overlaps most. Its sketch
+    tells most unlike sets apart where they meet, so that a pair is not named
+    again in each of the many segments that such sets may share.
     """
     best = checked.groupBy("b").agg(F.max(F.struct("same", "a")).alias("best"))
     best = best.select(F.col("b").alias("node"), F.col("best.a").alias("ref"), F.col("best.same").alias("same"))
@@ -153,12 +166,14 @@ def far_pairs(buckets: DataFrame, groups: DataFrame, checked: DataFrame, tables:
     # Only rows of buckets that bring several groups together are kept, dealt out once.
     rows = tables.write(rows.join(mixed.select("sig"), "sig", "left_semi"))
     tables.drop(buckets)
+    rows = rows.join(sketches, "node", "left")
     x, y = rows.filter("probe").alias("x"), rows.alias("y")
     meet = (
         (F.col("x.sig") == F.col("y.sig"))
         & (F.col("x.component") != F.col("y.component"))
         & _may_link(_columns("x."), _columns("y."))
         & _overlap_left("x", "y")
+        & _sketches_allow("x", "y")
     )
     return x.join(y, meet).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
 
@@ -190,13 +205,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and its sorted shingle hashes as bytes, for texts given by ``node`` and the id of a row that has it (``rep``).
 
-    A row of that id with another text does not count.
+    The sketch of the set comes with it. A row of that id with another text does not count.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        from dossier.llm.shingles import content_key, plain_words, shingle_set, text_node
+        from dossier.llm.shingles import content_key, parity_sketch, plain_words, shingle_set, text_node
 
         seen = set()
         for batch in batches:
@@ -205,12 +220,14 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 words = plain_words(text.as_py())
                 if node not in seen and text_node(content_key(words)) == node:
                     seen.add(node)
-                    rows.append((node, shingle_set(words).tobytes()))
-            found, sets = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    found = shingle_set(words)
+                    rows.append((node, found.tobytes(), parity_sketch(found)))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            kinds = pa.int64(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "shingles", "sketch"])
 
     chosen = docs.join(nodes.select(F.col("rep").alias("doc"), "node").hint("shuffle_hash"), "doc")
-    return chosen.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return chosen.select("node", "text").mapInArrow(run, "node long, shingles binary, sketch array<long>")
 
 
 def unindexed_pairs(reps: DataFrame) -> DataFrame:
@@ -288,7 +305,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tied = reps.select("node", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     tied = tied.select("node", F.coalesce("component", "rep").alias("component"))
     done = first.select(*_pair(F.col("a"), F.col("b")))
-    second = tables.write(far_pairs(buckets, tied, checked, tables).join(done, ["a", "b"], "left_anti"))
+    second = tables.write(far_pairs(buckets, tied, checked, tables, sets.select("node", "sketch")).join(done, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         groups = connected(links.union(document_links(verified(second, sets).filter("linked"), reps)))
     tables.keep(infos)

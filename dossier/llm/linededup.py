@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.scaling import small_rows
 from .components import connected
 from .naming import unused
+from .sketches import turned_bits
 from .tables import Tables
 
 LEAST_WORDS = 5
@@ -380,18 +381,6 @@ def _turned(x: str, y: str) -> Column:
     return functools.reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH])
 
 
-def _widely_turned(x: Column, y: Column) -> Column:
-    """Bits in which two wide sketches differ, the larger folded once; null where one is missing or more than twice the other."""
-
-    def folded(a: Column, other: Column) -> Column:
-        half = F.size(other)
-        halves = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q))
-        return F.when(F.size(a) == 2 * half, halves).otherwise(a)
-
-    bits = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(bits, F.lit(0), lambda total, one: total + one))
-
-
 def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
     """Whether lengths and sketches leave it possible that two lines are alike."""
     a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "simhash", "wide")} for side in (x, y))
@@ -399,7 +388,7 @@ def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
     # Each edit turns two bits, one that adds or takes a word only one.
     gap = F.abs(a["n"] - b["n"])
     may = (gap <= most) & (_turned(x, y) <= most * 2 - gap)
-    may = may & F.coalesce(_widely_turned(a["wide"], b["wide"]) <= most * 2 - gap, F.lit(True))
+    may = may & F.coalesce(turned_bits(a["wide"], b["wide"]) <= most * 2 - gap, F.lit(True))
     return may if distance >= BITS else may & _near(a["simhash"], b["simhash"], distance)
 
 

@@ -19,6 +19,8 @@ BAND_BITS = 6
 MOST_BITS = 60
 WHOLE = 256
 SLACK = 6.0
+# Sketches of sets have at most so many numbers of 64 bits.
+SKETCH_MOST = 64
 
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -150,6 +152,18 @@ def signatures(shingles):
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64), np.concatenate(asking) if asking else np.empty(0, dtype=bool)
 
 
+def parity_sketch(shingles):
+    """A bit of parity for every half shingle or less, as a power of two of 64-bit numbers, at most ``SKETCH_MOST``.
+
+    Folded in halves it is the sketch of fewer numbers; a shingle more or less turns one bit.
+    """
+    numbers = min(SKETCH_MOST, 1 << max(0, -(-len(shingles) // 32) - 1).bit_length())
+    hashes = mix(shingles ^ np.uint64(0xD6E8FEB86659FD93))
+    found = np.zeros(numbers, np.uint64)
+    np.bitwise_xor.at(found, ((hashes >> np.uint64(32)) % np.uint64(numbers)).astype(np.int64), np.uint64(1) << (hashes >> np.uint64(58)))
+    return found.view(np.int64)
+
+
 def overlap(a, b) -> int:
     """Shingles that two sorted sets share."""
     both = np.concatenate((a, b))

@@ -443,3 +443,35 @@ def test_lines_of_other_words_need_no_distance(monkeypatch):
     monkeypatch.setattr(linededup, "edit_distance", None)
     a, b, _ = long_lines(1, 500, 0)
     assert not linededup.alike(a, b, 0.9)
+
+
+def test_unlike_sets_that_share_many_segments_are_told_apart_where_they_meet(spark, monkeypatch):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    common = words(500)
+    texts = [" ".join(common + words(330)) for _ in range(12)]
+    copy = texts[3].split()
+    copy[600] = "other"
+    texts.append(" ".join(copy))
+    named, plain = [], jaccardjoin.verified
+
+    def verified(pairs, sets):
+        named.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(jaccardjoin, "verified", verified)
+    found = jaccardjoin.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc"]: r["component"] for r in found.collect()} == {i: 3 if i == 12 else i for i in range(13)}
+    assert sum(named[1:]) <= 1
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 5000), st.integers(0, 400), st.integers(0, 400), st.integers(0, 2**32))
+def test_sketches_of_sets_differ_in_a_bit_a_shingle_at_most(n, gone, come, seed):
+    g = np.random.default_rng(seed)
+    numbers = g.integers(0, 1 << 63, n + come, dtype=np.uint64)
+    a, b = numbers[:n], numbers[min(gone, n - 1) :]
+    x, y = shingles.parity_sketch(a), shingles.parity_sketch(b)
+    while len(x) != len(y):
+        x, y = (s[: len(s) // 2] ^ s[len(s) // 2 :] if len(s) == max(len(x), len(y)) else s for s in (x, y))
+    assert sum((int(s) & (1 << 64) - 1).bit_count() for s in x ^ y) <= min(gone, n - 1) + come
