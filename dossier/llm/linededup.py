@@ -256,7 +256,9 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
         import pyarrow as pa
 
         from dossier.llm.linededup import SKETCH, digest, long_enough, normalised, run_keys, simhashes, wide_sketches
+        from dossier.llm.memo import forget
 
+        forget()
         names = ["doc", "line", "first", "node", "simhash", "n", *SKETCH, "wide", "keys"]
         kinds = [id_type, pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * (2 + len(SKETCH)), *[pa.list_(pa.int64())] * 2]
         held, words, size, given = [], [], 0, set()
@@ -366,14 +368,15 @@ def far_pairs(lines: DataFrame, groups: DataFrame, distance: int, blocks: int) -
     return a.join(b, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def crowded_keys(keyed: DataFrame, signatures: DataFrame) -> DataFrame:
+def crowded_keys(keyed: DataFrame, signatures: DataFrame, narrowed: Callable[[DataFrame], DataFrame] = lambda keys: keys) -> DataFrame:
     """The lines (``id``, ``n``, the ``SKETCH`` and ``wide`` one, ``simhash``) of every ``key`` that several share.
 
     Keys are dealt out once: the window sees the smallest and largest id of a key where its lines lie.
+    ``narrowed`` gets the shared keys and may write them before their lines are joined.
     """
     of_key = Window.partitionBy("key")
     several = keyed.withColumn("_a", F.min("id").over(of_key)).withColumn("_z", F.max("id").over(of_key)).filter("_a <> _z")
-    return several.select("id", "key").distinct().join(signatures, "id")
+    return narrowed(several.select("id", "key")).distinct().join(signatures, "id")
 
 
 def _turned(x: str, y: str) -> Column:
@@ -515,9 +518,17 @@ def repeated_lines(
         second = far_pairs(signatures, groups, distance, blocks_for(distinct.count(), distance))
     else:
         keyed = full.select(name.alias("id"), F.explode("keys").alias("key"))
-        wide = full.filter("wide is not null").select(name.alias("id"), "wide").dropDuplicates(["id"])
-        crowds = tables.write(crowded_keys(keyed, signatures.join(wide, "id", "left")))
-        tables.drop(full)
+        wide = tables.write(full.filter("wide is not null").select(name.alias("id"), "wide").dropDuplicates(["id"]))
+        shared = []
+
+        def narrowed(keys):
+            # Lone keys, most of them, are gone from the disk before the lines of the others are joined.
+            shared.append(tables.write(keys))
+            tables.drop(full)
+            return shared[0]
+
+        crowds = tables.write(crowded_keys(keyed, signatures.join(wide, "id", "left"), narrowed))
+        tables.drop(wide, *shared)
         links = signatures.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         groups = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
         rows = tables.write(placed_lines(crowds, groups))

@@ -40,3 +40,8 @@ def kept(name: str, make: Callable):
             del _KEPT[old]
         _KEPT[name] = make()
     return _KEPT[name]
+
+
+def forget() -> None:
+    """Give up what earlier steps kept in this worker process."""
+    _KEPT.clear()

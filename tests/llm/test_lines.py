@@ -445,6 +445,16 @@ def test_lines_of_other_words_need_no_distance(monkeypatch):
     assert not linededup.alike(a, b, 0.9)
 
 
+def test_shared_keys_are_given_alone_before_their_lines_are_joined(spark):
+    keyed = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id long, key long")
+    lines = spark.createDataFrame([(i, i * 10) for i in range(1, 4)], "id long, n long")
+    given = []
+    found = linededup.crowded_keys(keyed, lines, lambda keys: given.append(keys) or keys)
+    assert given[0].columns == ["id", "key"]
+    assert sorted(map(tuple, given[0].collect())) == [(1, 7), (2, 7)]
+    assert sorted(map(tuple, found.select("id", "n").collect())) == [(1, 10), (2, 20)]
+
+
 def test_unlike_sets_that_share_many_segments_are_told_apart_where_they_meet(spark, monkeypatch):
     r = random.Random(5)
     words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]

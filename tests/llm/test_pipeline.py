@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from dossier.llm import decontamination, jaccardjoin, linededup, toxicity
+from dossier.llm import decontamination, jaccardjoin, linededup, memo, toxicity
 from dossier.llm.memo import Memo
 from dossier.llm.queries import QUERIES, SQL
 
@@ -78,3 +78,31 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "x " * (1 << 20), None, None, 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    try:
+        spark.conf.unset(name)
+        corpus_pipeline.pack(spark, docs, SF_DIR)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+        found = [r["n"] for r in docs.mapInArrow(run, "n long").collect()]
+        assert sum(found) == 6 and max(found) <= 3
+        spark.conf.set(name, "1m")
+        corpus_pipeline.pack(spark, docs, SF_DIR)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_workers_forget_what_earlier_steps_kept():
+    memo.kept("toxic:a", dict)["chunk"] = 1
+    memo.forget()
+    assert memo.kept("toxic:a", dict) == {}
