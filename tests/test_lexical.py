@@ -93,3 +93,38 @@ def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
     scored = lexical.tfidf_scores(docs, asked)
     assert scored.rdd.getNumPartitions() >= 60 * 10 // 40
     assert scored.count() == 600
+
+
+ODD = [
+    (1, 10, "spark data"), (1, 10, "Spark lake the"), (1, 20, "lake"), (None, 10, "data data"), (None, 10, "the lake"),
+    (2, None, "spark"), (3, 30, "spark data lake"), (4, 10, None), (5, 10, "x"), (6, 10, "quite other terms"),
+]
+
+
+def test_paired_blocks_equal_the_joins(spark, monkeypatch):
+    """Rows of one id, in pieces of any size, null ids and sessions, and two descriptions of one session."""
+    docs = spark.createDataFrame(ODD * 3, "doc_id long, s long, text string")
+    asked = [(1, 10, "spark data data"), (2, 10, "the lake"), (2, 10, "data"), (3, None, "spark"), (4, 20, "lake and spark")]
+    jds = spark.createDataFrame(asked, "jd_id long, s long, text string")
+
+    def found():
+        scored = lexical.tfidf_scores(docs, jds, on=["s"])
+        assert scored.columns == ["jd_id", "doc_id", "s", "tfidf_score"]
+        return sorted(map(tuple, scored.collect()), key=repr)
+
+    monkeypatch.setattr(lexical, "PAIRED_ROWS", 0)
+    joined = found()
+    assert len(joined) == 5
+    for rows in (1, 2, 1_000):
+        monkeypatch.setattr(lexical, "PAIRED_ROWS", 200_000)
+        monkeypatch.setattr(lexical, "PAIRED_DOCUMENTS", rows)
+        assert found() == joined
+
+
+def test_paired_scores_are_not_exploded(spark):
+    """Terms of a document stay in its row: no row per word, no join and no list collected from such rows."""
+    docs = spark.createDataFrame(DOCS, "doc_id long, session_id long, text string")
+    jds = spark.createDataFrame(JDS, "session_id long, text string")
+    scored = lexical.tfidf_scores(docs, jds.withColumn("jd", F.col("session_id")), desc_id="jd", on=["session_id"])
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "MapInArrow" in plan
