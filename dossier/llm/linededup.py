@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -30,6 +31,8 @@ BUCKET_LINES = 64
 GRAM_WORDS = 5
 MOST_WINDOW = 16
 HUB_ROUNDS = 3
+# Buckets of at most so many lines give all their pairs after the first turn of hubs.
+FEW_LINES = 16
 # The numbers of 64 bits that sketch the words of a line.
 SKETCH = ("s0", "s1", "s2", "s3")
 # Lines of more words than this have a wider sketch as well, about a bit a word, of at most so many numbers.
@@ -152,7 +155,7 @@ def counted_words(lines: list[list[bytes]]):
     from xxhash import xxh3_64_intdigest
 
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    hashes = np.fromiter((xxh3_64_intdigest(w) for words in lines for w in words), np.uint64, int(sizes.sum()))
+    hashes = np.fromiter(map(xxh3_64_intdigest, itertools.chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
     return hashes, (hashes + occurrences(hashes, sizes) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9), sizes
 
 
@@ -206,9 +209,19 @@ def run_keys(lines: list[list[bytes]], similarity: float, numbers: int = 2):
         if window > 1:
             least = np.minimum(least[:-1], grams[window - 1 :])
         chosen = np.flatnonzero(windows == window)
-        for i, first, last in zip(chosen.tolist(), starts[chosen].tolist(), (starts + sizes)[chosen].tolist(), strict=True):
-            found = least[first : last - gram - window + 2]
-            keys[i] = np.unique(found).view(np.int64)
+        if not len(chosen):
+            continue
+        # Windows of all lines of that width one after the other; one minimum stays the least of several in a row.
+        first, many = starts[chosen], sizes[chosen] - gram - window + 2
+        ends = np.cumsum(many)
+        found = least[np.repeat(first - ends + many, many) + np.arange(ends[-1])]
+        new = np.concatenate(([True], found[1:] != found[:-1]))
+        new[ends[:-1]] = True
+        kept = np.concatenate(([0], np.cumsum(new)))
+        found = found[new].view(np.int64)
+        for i, begin, end in zip(chosen.tolist(), kept[ends - many].tolist(), kept[ends].tolist(), strict=True):
+            own = found[begin:end]
+            keys[i] = own if end - begin < 2 * len(set(own.tolist())) else np.unique(own)
     return keys, sketch
 
 
@@ -271,16 +284,21 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, least_words: int, sim
             if distance <= NEAR:
                 columns += [nothing] * (3 + len(SKETCH))
             else:
-                keys, sketch = run_keys(words, similarity, len(SKETCH))
-                wide = wide_sketches(words)
+                # A line that this task has given before goes by its name alone.
                 if len(given) > 1_000_000:
                     given.clear()
-                for i, name in enumerate(columns[3]):
-                    if name in given:
-                        keys[i] = wide[i] = None
-                    given.add(name)
-                columns += [[len(w) for w in words], *sketch, wide, keys]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                own, slots = [], []
+                for line, name in zip(words, columns[3], strict=True):
+                    slots.append(None if name in given else len(own))
+                    if name not in given:
+                        given.add(name)
+                        own.append(line)
+                keys, sketch = run_keys(own, similarity, len(SKETCH)) if own else ((), [()] * len(SKETCH))
+                slots = pa.array(slots, pa.int64())
+                found = ([len(w) for w in own], *sketch, wide_sketches(own), keys)
+                columns += [pa.array(c, k).take(slots) for c, k in zip(found, kinds[5:], strict=True)]
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -396,11 +414,11 @@ def _may_be_alike(x: str, y: str, distance: int, similarity: float) -> Column:
 
 
 def placed_lines(crowds: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of the keys that bring lines of several groups together, with the ``component`` of each line."""
+    """Rows of the keys that bring lines of several groups together, with the ``component`` of each line and the number of lines of its key, ``crowd``."""
     of_key = Window.partitionBy("key")
     rows = crowds.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rows.withColumn("_a", F.min("component").over(of_key)).withColumn("_z", F.max("component").over(of_key))
-    return mixed.filter("_a <> _z").drop("_a", "_z")
+    return mixed.withColumn("crowd", F.count(F.lit(1)).over(of_key)).filter("_a <> _z").drop("_a", "_z")
 
 
 def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float) -> DataFrame:
@@ -417,15 +435,27 @@ def hub_run_pairs(rows: DataFrame, turn: int, distance: int, similarity: float)
     return best.select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).distinct()
 
 
+def length_class(n: Column, similarity: float) -> Column:
+    """The class of a line of ``n`` words; lines alike are in the same or in neighbouring ones."""
+    return F.floor(F.ln(n) / F.lit(1e-6 - math.log(max(similarity, 1e-9))))
+
+
 def far_run_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """All pairs of lines that share a key, may be alike and are not yet in one group."""
+    """All pairs of lines that share a key, may be alike and are not yet in one group.
+
+    Lines meet only those of their key that are about as long.
+    """
+    sized = rows.withColumn("size", length_class(F.col("n"), similarity))
+    meeting = sized.withColumn("meets", F.explode(F.array(F.col("size"), F.col("size") + 1)))
     meet = (
         (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.size") == F.col("y.meets"))
+        & ((F.col("x.size") != F.col("y.size")) | (F.col("x.id") < F.col("y.id")))
         & (F.col("x.component") != F.col("y.component"))
         & _may_be_alike("x", "y", distance, similarity)
     )
-    return rows.alias("x").join(rows.alias("y"), meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pair = F.col("x.id"), F.col("y.id")
+    return sized.alias("x").join(meeting.alias("y"), meet).select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b")).distinct()
 
 
 def texts_of(ids: DataFrame, lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -493,7 +523,8 @@ def repeated_lines(
     letters and digits always stay; scripts without spaces have letters for words. First every line is compared with hubs of
     its buckets, which ties dense groups with a linear number of pairs; then all
     pairs that lie in different groups and share a run of words that lines alike
-    must share or, for few SimHash bits, that pigeonhole blocks bring together.
+    must share or, for few SimHash bits, that pigeonhole blocks bring together;
+    small buckets give theirs at once, only crowded ones are compared with more hubs before.
     Only narrow rows meet; texts are fetched for candidates alone.
     """
     by_blocks = distance <= NEAR
@@ -531,16 +562,22 @@ def repeated_lines(
         tables.drop(wide, *shared)
         links = signatures.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         groups = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        rows = tables.write(placed_lines(crowds, groups))
+        rows, few, placed = crowds.withColumn("component", F.col("id")), None, crowds
         for turn in range(HUB_ROUNDS):
-            found = verified(hub_run_pairs(rows, turn, distance, similarity), texts, similarity, tables)
-            if found.isEmpty():
+            pairs = hub_run_pairs(rows, turn, distance, similarity)
+            if few is not None:
+                pairs = pairs.union(far_run_pairs(few, distance, similarity)).distinct()
+            found = verified(pairs, texts, similarity, tables)
+            if turn and found.isEmpty():
                 break
             links, before = tables.write(links.union(found)), links
             groups = connected(links).withColumnRenamed("node", "id")
-            tables.drop(rows, found, before)
-            rows = tables.write(placed_lines(crowds, groups))
-        second = far_run_pairs(rows, distance, similarity)
+            placed, earlier = tables.write(placed_lines(rows.drop("component", "crowd"), groups)), placed
+            tables.drop(found, before, earlier)
+            # Small buckets give their pairs in the second turn and are done with then.
+            few = placed.filter(F.col("crowd") <= FEW_LINES) if not turn else None
+            rows = placed.filter(F.col("crowd") > FEW_LINES) if not turn else placed
+        second = far_run_pairs(rows, distance, similarity) if few is None else far_run_pairs(placed, distance, similarity)
     more = verified(second, texts, similarity, tables)
     if not more.isEmpty():
         groups = connected(links.union(more)).withColumnRenamed("node", "id")

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from dossier.llm import jaccardjoin, linededup, shingles
 from dossier.llm.components import connected
@@ -485,3 +486,39 @@ def test_sketches_of_sets_differ_in_a_bit_a_shingle_at_most(n, gone, come, seed)
     while len(x) != len(y):
         x, y = (s[: len(s) // 2] ^ s[len(s) // 2 :] if len(s) == max(len(x), len(y)) else s for s in (x, y))
     assert sum((int(s) & (1 << 64) - 1).bit_count() for s in x ^ y) <= min(gone, n - 1) + come
+
+
+@pytest.mark.parametrize("similarity", [0.9, 0.8, 0.5, 1.0])
+def test_lines_alike_are_in_neighbouring_length_classes(spark, similarity):
+    lengths = spark.range(1, 5_001).select(F.col("id").alias("n"), linededup.length_class(F.col("id"), similarity).alias("c"))
+    of = {r["n"]: r["c"] for r in lengths.collect()}
+    for n in of:
+        assert of[n] - of[n - linededup.edits(n, similarity)] <= 1 if n > linededup.edits(n, similarity) else True
+
+
+def test_lines_of_a_key_meet_only_those_about_as_long(spark):
+    """Lines of one key, nearly all of lengths far apart: the join's keys part them, not its condition."""
+    rows = [(i, i, 7, 20 * 2**i, 0, 0, 0, 0, None, 0) for i in range(12)] + [(100, 100, 7, 22, 1, 0, 0, 0, None, 0)]
+    columns = "id long, component long, key long, n long, s0 long, s1 long, s2 long, s3 long, wide array<long>, simhash long"
+    found = linededup.far_run_pairs(spark.createDataFrame(rows, columns), linededup.BITS, 0.9)
+    assert [tuple(r) for r in found.collect()] == [(0, 100)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "meets" in plan and "size#" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_small_buckets_are_not_compared_with_hubs_again(spark, monkeypatch):
+    """After the first turn the hubs see crowded buckets only, and the lines that go are the same."""
+    docs = edited_lines(5)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    turns, real = [], linededup.hub_run_pairs
+
+    def seen(rows, turn, *rest):
+        turns.append((turn, rows.groupBy("key").count().filter("count <= 16").count()))
+        return real(rows, turn, *rest)
+
+    monkeypatch.setattr(linededup, "hub_run_pairs", seen)
+    whole = sorted((r["doc"], sorted(x["line"] for x in r["lines"])) for r in linededup.repeated_lines(frame).collect())
+    assert turns[0][1] > 0 and all(small == 0 for _, small in turns[1:])
+    for few in (0, 10**6):
+        monkeypatch.setattr(linededup, "FEW_LINES", few)
+        assert sorted((r["doc"], sorted(x["line"] for x in r["lines"])) for r in linededup.repeated_lines(frame).collect()) == whole
